@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +42,22 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
         return
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a session, wherever it was imported from."""
+    context = spark.sparkContext
+    if getattr(context, "_recbench_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="recbench-code-")  # the driver serves the file from here for as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / f"{package.name}-{uuid.uuid4().hex[:8]}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(path))
+    context._recbench_shipped = True
+
+
 class Tables:
     """Intermediate tables written to the shared folder, so that a lost executor costs no lineage.
 
@@ -46,6 +65,7 @@ class Tables:
     """
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/recbench-{uuid.uuid4().hex}"
         atexit.register(_delete_at_exit, spark, self.root)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, exact_dedup, line_dedup, mixing
+from . import chat, common, exact_dedup, line_dedup, mixing, near_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,10 +126,15 @@ select q.doc_id, q.size, q.source_size, round(q.target, 6) as target, (q.size *
 from queued q left join takes t on q.r = t.r
 """
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(_documents(spark, sf_dir), common.Tables(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op6_line_dedup": op6_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
+    "op10_near_dedup": op10_near_dedup,
 }
 SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op6_line_dedup": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
