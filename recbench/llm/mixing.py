@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import WORD, Tables, text_of
 
 #: Documents that one bucket of a running sum holds on average.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_096
 MOST_BUCKETS = 1 << 16
 
 
