@@ -55,7 +55,8 @@ def root_to_leaf_paths(nodes: DataFrame, tables: Tables, top: int = 1) -> DataFr
     for k in range(len(jumps) - 2, -1, -1):
         up = jumps[k].filter("up is not null").select("tree", "node", "up")
         more = found.join(up, ["tree", "node"]).select("tree", "path", F.col("up").alias("node"), (F.col("position") - (1 << k)).alias("position"))
-        found = found.unionByName(more)
+        # Written, as the next round reads it twice.
+        found = tables.write(found.unionByName(more), f"found{k}")
     return found
 
 
