@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, exact_dedup, line_dedup, mixing, near_dedup
+from . import chat, common, exact_dedup, language_id, line_dedup, mixing, near_dedup, packing, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_documents(spark, sf_dir), common.Tables(spark))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
@@ -44,6 +48,10 @@ from safe group by conv_id
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(_documents(spark, sf_dir), common.Tables(spark))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(_documents(spark, sf_dir).select("doc_id", "text"), common.Tables(spark)).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -74,6 +82,11 @@ left join counts c on d.doc_id is not distinct from c.doc_id and d.text = c.text
 """
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(_documents(spark, sf_dir), common.Tables(spark))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir), keep="max")
 
@@ -131,8 +144,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_language_id": op3_language_id,
     "op6_line_dedup": op6_line_dedup,
+    "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_near_dedup": op10_near_dedup,

@@ -49,6 +49,9 @@ class _Powers:
         return cls.up, cls.down
 
 
+powers = _Powers.of
+
+
 @dataclass
 class Words:
     """Words of rows first to last (exclusive): hashes, byte ranges in data, and where each row's words begin."""
