@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, exact_dedup, language_id, line_dedup, mixing, near_dedup, packing, token_counts
+from . import chat, common, exact_dedup, graph_ann, language_id, line_dedup, mixing, near_dedup, packing, suffix_tree_lm, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(_documents(spark, sf_dir), common.Tables(spark))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score_texts(_documents(spark, sf_dir), common.Tables(spark))
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), common.Tables(spark))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(_documents(spark, sf_dir).select("doc_id", "text"), common.Tables(spark)).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -147,6 +155,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_language_id": op3_language_id,
+    "op4_lm_scoring": op4_lm_scoring,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
