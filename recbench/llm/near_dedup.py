@@ -17,8 +17,11 @@ from .components import connected_components
 #: So SIDE * SIDE tables cost 2 * SIDE * DEPTH MinHash values. At a similarity of 0.85, a pair meets in no table with a
 #: probability of 2 * (1 - 0.85 ** DEPTH) ** SIDE, which is 0.0004 here.
 SIDE, DEPTH = 9, 3
-#: Pairs that agree in fewer of the 54 MinHash values aren't confirmed; at a similarity of 0.85 that has a chance of 1e-5.
-LEAST_AGREEING = 32
+#: Pairs that agree in fewer of the 54 MinHash values aren't confirmed; at a similarity of 0.85 that has a chance of 1e-4.
+LEAST_AGREEING = 35
+#: Buckets of more classes bring 32-bit shingle hashes along when they are searched whole, so that only pairs that are
+#: links, but for a chance collision of hashes, come out to be confirmed.
+SMALL = 8
 #: Members of one block of a bucket that is searched whole.
 BLOCK = 1024
 _RANDOM = np.random.default_rng(20240602)
@@ -93,13 +96,14 @@ def _grams(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in textkernel.words(batch.column(1)):
-                fa, fb, grams = [], [], []
+                fa, fb, grams, short = [], [], [], []
                 for x in textkernel.shingle_sets(w, size):
+                    short.append((x >> np.uint64(32)).astype(np.uint32).tobytes())
                     fa.append(int(x.sum(dtype=np.uint64)))
                     fb.append(int(textkernel.mix(x ^ _PLUS[0]).sum(dtype=np.uint64)))
                     grams.append(x.tobytes())
                 u64 = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([u64(fa), u64(fb), pa.array(grams, pa.binary())], ["fa", "fb", "grams"])
+                yield pa.RecordBatch.from_arrays([u64(fa), u64(fb), pa.array(grams, pa.binary()), pa.array(short, pa.binary())], ["fa", "fb", "grams", "short"])
 
     return run
 
@@ -124,22 +128,35 @@ def _confirm(percent: int):
     return run
 
 
-def _block_pairs(key: int, cid: np.ndarray, component: np.ndarray, role: np.ndarray, halves: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a query (role 1) and a member of one block whose components differ and that meet here first."""
+def _block_pairs(percent: int, key: int, cid: np.ndarray, component: np.ndarray, role: np.ndarray, halves: np.ndarray, low: np.ndarray, short: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a query (role 1) and a member of one block whose components differ and that meet here first.
+
+    Where shingle hashes came along, only pairs similar enough by these.
+    """
+    if short[0]:
+        sets = [np.frombuffer(x, np.uint32) for x in short]
+        distinct, at = np.unique(np.concatenate(sets), return_inverse=True)
+        cuts = np.cumsum([len(x) for x in sets])
+        places, marked = np.split(at, cuts[:-1]), np.zeros(len(distinct), bool)
     members = np.flatnonzero(role != 1)
-    at = int((table_keys(halves[:1])[0] == np.uint64(key & (1 << 64) - 1)).argmax())
+    first = int((table_keys(halves[:1])[0] == np.uint64(key & (1 << 64) - 1)).argmax())
     out: list[tuple[np.ndarray, np.ndarray]] = [(cid[:0], cid[:0])]
     for i in np.flatnonzero(role == 1):
         m = members[(component[members] != component[i]) & ((role[members] == 0) | (cid[members] > cid[i]))]
         m = m[(low[m] == low[i]).sum(axis=1) >= LEAST_AGREEING]
         same = halves[m] == halves[i]
-        m = m[same[:, :SIDE].argmax(axis=1) * SIDE + same[:, SIDE:].argmax(axis=1) == at]
+        m = m[same[:, :SIDE].argmax(axis=1) * SIDE + same[:, SIDE:].argmax(axis=1) == first]
+        if short[0] and len(m):
+            marked[places[i]] = True
+            common = np.array([np.count_nonzero(marked[places[j]]) for j in m])
+            marked[places[i]] = False
+            m = m[100 * common >= percent * (len(places[i]) + np.array([len(places[j]) for j in m]) - common)]
         out.append((np.full(len(m), cid[i]), cid[m]))
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of the blocks of rows (key, block, cid, component, role, halves, low) sorted by (key, block)."""
+def _cross_pairs(percent: int):
+    """Pairs (a, b) of the blocks of rows (key, block, cid, component, role, halves, low, short) sorted by (key, block)."""
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         n = t.num_rows
@@ -147,29 +164,33 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         halves = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint64).reshape(n, 2 * SIDE)
         low = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(n, len(_TIMES))
         cut = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
-        found = [_block_pairs(int(key[i]), cid[i:j], component[i:j], role[i:j], halves[i:j], low[i:j]) for i, j in zip([0, *cut], [*cut, n], strict=True)]
+        short = t.column(7).to_pylist()
+        found = [_block_pairs(percent, int(key[i]), cid[i:j], component[i:j], role[i:j], halves[i:j], low[i:j], short[i:j]) for i, j in zip([0, *cut], [*cut, n], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in (0, 1)], ["a", "b"])
 
-    kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        cut = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
-        first = int(cut[0]) if len(cut) else batch.num_rows
-        last = int(cut[-1]) if len(cut) else batch.num_rows
-        if kept and (kept[-1].column(0)[-1].as_py(), kept[-1].column(1)[-1].as_py()) != (int(key[0]), int(block[0])):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cut = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
+            first = int(cut[0]) if len(cut) else batch.num_rows
+            last = int(cut[-1]) if len(cut) else batch.num_rows
+            if kept and (kept[-1].column(0)[-1].as_py(), kept[-1].column(1)[-1].as_py()) != (int(key[0]), int(block[0])):
+                yield pairs(pa.Table.from_batches(kept))
+                kept = []
+            if not len(cut):
+                kept.append(batch)
+                continue
+            yield pairs(pa.Table.from_batches([*kept, batch.slice(0, first)]))
+            if last > first:
+                yield pairs(pa.Table.from_batches([batch.slice(first, last - first)]))
+            kept = [batch.slice(last)]
+        if kept:
             yield pairs(pa.Table.from_batches(kept))
-            kept = []
-        if not len(cut):
-            kept.append(batch)
-            continue
-        yield pairs(pa.Table.from_batches([*kept, batch.slice(0, first)]))
-        if last > first:
-            yield pairs(pa.Table.from_batches([batch.slice(first, last - first)]))
-        kept = [batch.slice(last)]
-    if kept:
-        yield pairs(pa.Table.from_batches(kept))
+
+    return run
 
 
 def near_dedup(docs: DataFrame, tables: Tables, shingle: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,11 +228,13 @@ def near_dedup(docs: DataFrame, tables: Tables, shingle: int = 5, percent: int =
     agreeing = first.join(low.toDF("a", "low_a"), "a").join(low.toDF("b", "low_b"), "b").mapInArrow(_agreeing, "a long, b long")
     some = members.select("cid").distinct().join(classes.select("cid", "rep", "fa", "fb"), "cid")
     text = rows.join(some.select(F.col("rep").alias("_rep")).distinct(), F.col("doc_id").eqNullSafe(F.col("_rep"))).select("doc_id", "text")
-    grams = text.mapInArrow(_grams(shingle), "fa long, fb long, grams binary")
-    sets = tables.write(grams.join(some.select("cid", "fa", "fb"), ["fa", "fb"]).dropDuplicates(["cid"]).select("cid", "grams"), "sets")
+    grams = text.mapInArrow(_grams(shingle), "fa long, fb long, grams binary, short binary")
+    sets = tables.write(grams.join(some.select("cid", "fa", "fb"), ["fa", "fb"]).dropDuplicates(["cid"]).select("cid", "grams", "short"), "sets")
+
+    full_sets = sets.select("cid", "grams")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.toDF("a", "grams_a"), "a").join(sets.toDF("b", "grams_b"), "b").select("a", "b", "grams_a", "grams_b")
+        both = pairs.join(full_sets.toDF("a", "grams_a"), "a").join(full_sets.toDF("b", "grams_b"), "b").select("a", "b", "grams_a", "grams_b")
         return both.mapInArrow(_confirm(percent), "a long, b long")
 
     links = tables.write(confirmed(agreeing), "links")
@@ -225,10 +248,12 @@ def near_dedup(docs: DataFrame, tables: Tables, shingle: int = 5, percent: int =
     most = F.col("component") == F.col("largest")
     everywhere = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(1).alias("role")))
     here = F.array(F.struct(own.alias("block"), F.when(most, 0).otherwise(2).alias("role")))
-    dealt = mixed.select("key", "cid", "component", F.explode(F.when(most, here).otherwise(F.concat(here, everywhere))).alias("x")).select("key", "x.block", "cid", "component", "x.role")
-    dealt = dealt.join(classes.select("cid", "halves", "low"), "cid").select("key", "block", "cid", "component", "role", "halves", "low")
+    dealt = mixed.select("key", "n", "cid", "component", F.explode(F.when(most, here).otherwise(F.concat(here, everywhere))).alias("x")).select("key", "n", "x.block", "cid", "component", "x.role")
+    dealt = tables.write(dealt.join(classes.select("cid", "halves", "low"), "cid"), "dealt")
+    columns = ["key", "block", "cid", "component", "role", "halves", "low", "short"]
+    dealt = dealt.filter(F.col("n") <= SMALL).withColumn("short", F.lit(b"")).select(*columns).unionByName(dealt.filter(F.col("n") > SMALL).join(sets.select("cid", "short"), "cid").select(*columns))
     dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
-    second = dealt.mapInArrow(_cross_pairs, "a long, b long")
+    second = dealt.mapInArrow(_cross_pairs(percent), "a long, b long")
     more = tables.write(confirmed(second), "more-links")
     labels = connected_components(links.unionByName(more), tables, "final").withColumnRenamed("node", "cid")
 
