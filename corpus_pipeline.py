@@ -1,4 +1,70 @@
-"""A corpus pipeline in stages, each calling an operator of recbench.llm; the stages follow as their operators land."""
+"""A training corpus from documents in five stages; each calls one operator of recbench.llm and acts on what it says.
 
-STAGES = []
+Every stage is written as Parquet and read again by the next. All but the last return the columns of documents.
+Documents that share an id but not their text stay or go together in the near-duplicate stage; elsewhere each counts
+for itself.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recbench.llm.common import Tables, text_of
+from recbench.llm.exact_dedup import exact_dedup
+from recbench.llm.language_id import identify_languages
+from recbench.llm.mixing import mix
+from recbench.llm.near_dedup import near_dedup
+from recbench.llm.packing import pack
+
+#: Least share of the likeliest language; below it, or without a letter, a document is rejected.
+LEAST_SHARE = 0.5
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model tells apart from the others."""
+    said = identify_languages(docs, Tables(spark), carry=True)
+    return said.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("row.*")
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text: the largest id."""
+    kept = exact_dedup(docs, keep="max").filter("kept").select(F.col("doc_id").alias("_id"), "text_sha256").distinct()
+    rows = docs.withColumn("_sha256", F.sha2(text_of(F.col("text")), 256))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha256") == F.col("text_sha256")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_sha256"]).drop("_sha256")
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates."""
+    kept = near_dedup(docs, Tables(spark)).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as the mix takes."""
+    taken = mix(docs, Tables(spark)).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    taken = taken.groupBy("_id", "_hash").agg(F.sum("_times").cast("int").alias("_times"), F.count(F.lit(1)).alias("_rows"))
+    rows = docs.withColumn("_text_hash", F.xxhash64(text_of(F.col("text"))))
+    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
+    # Rows alike in id and text share their copies.
+    nth = F.expr("sequence(1, greatest(1, int(ceil(_times / _rows))))")
+    return rows.withColumn("_nth", F.explode(nth)).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 1,024 tokens."""
+    out = pack(docs, Tables(spark))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("language_id", identified), ("exact_dedup", without_copies), ("near_dedup", without_near_copies), ("mixing", mixed), ("packing", packed)]
+#: SQL can't express the language models, MinHash tables and tokenizers; tests hold run() against brute force instead.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, tables = spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables(spark)
+    for name, stage in STAGES:
+        docs = tables.write(stage(spark, docs, sf_dir), name)
+    return docs

@@ -150,7 +150,7 @@ class Marginal:
         return out
 
 
-def _predict(languages: list[str], pieces: list[str], probabilities):
+def _predict(languages: list[str], pieces: list[str], probabilities, carried: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable(Marginal(pieces, probabilities.value).scores)
         names = np.array([*languages, "und"], dtype=object)
@@ -165,13 +165,14 @@ def _predict(languages: list[str], pieces: list[str], probabilities):
                 score = 1.0 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
                 letters = part.column(3).to_numpy(zero_copy_only=False).astype(bool)
                 best, score = np.where(letters, best, len(languages)), np.where(letters, score, 0.0)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names[best].tolist(), pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+                more = [part.column(4 + j) for j in range(carried)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names[best].tolist(), pa.string()), pa.array(score), *more], ["doc_id", "held_out", "lang_pred", "score", *(f"carried{j}" for j in range(carried))])
 
     return run
 
 
-def identify_languages(docs: DataFrame, tables: Tables, train: DataFrame | None = None, vocabulary: str | None = None, modulus: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per input row: doc_id, held_out, lang_pred, score.
+def identify_languages(docs: DataFrame, tables: Tables, train: DataFrame | None = None, vocabulary: str | None = None, modulus: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: bool = False) -> DataFrame:
+    """One row per input row: doc_id, held_out, lang_pred, score; with carry, also `row`, a struct of the whole input row.
 
     Learned are counts of the pieces of a public vocabulary in each language, over all texts with a label outside the
     held-out fold (crc32 of the id as text, modulo `modulus`, is 2), of docs or else of train. A word's probability in
@@ -184,16 +185,21 @@ def identify_languages(docs: DataFrame, tables: Tables, train: DataFrame | None
     one number for each piece and language; more than 500 labels raise an error.
     """
     path = vocabulary or default_vocabulary()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), modulus).alias("held_out"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), modulus).alias("held_out"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"), *([F.col(f"`{c}`").alias(f"carried{i}") for i, c in enumerate(docs.columns)] if carry else []))
+    kept = ", ".join(f"carried{i} {kind}" for i, (_, kind) in enumerate(docs.dtypes)) if carry else ""
     known = docs if train is None else train
     known = known.filter(~held_out(F.col(id_col), modulus)).filter(f"{lang_col} is not null and {lang_col} != '' and {text_col} is not null")
     counts = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count_pieces(path), "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     counts = tables.write(counts, "pieces")
+
+    def whole(out: DataFrame) -> DataFrame:
+        return out.select("doc_id", "held_out", "lang_pred", "score", F.struct(*[F.col(f"carried{i}").alias(c) for i, c in enumerate(docs.columns)]).alias("row")) if carry else out
+
     languages = sorted((r[0] for r in counts.select("lang").distinct().limit(MOST_LABELS + 1).collect()), key=lambda x: x.encode())
     if len(languages) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels to learn")
     if not languages:
-        return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return whole(rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), *[c for c in rows.columns if c.startswith("carried")]))
     _, pieces = _pieces(path)
     place, column = {i: k for k, (i, _) in enumerate(pieces)}, {x: k for k, x in enumerate(languages)}
     model = np.full((len(pieces), len(languages)), ADDED)
@@ -202,4 +208,4 @@ def identify_languages(docs: DataFrame, tables: Tables, train: DataFrame | None
             model[place[row["piece"]], column[row["lang"]]] += row["n"]
     model /= model.sum(axis=0)
     sent = rows.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_predict(languages, [p for _, p in pieces], sent), "doc_id long, held_out boolean, lang_pred string, score double")
+    return whole(rows.mapInArrow(_predict(languages, [p for _, p in pieces], sent, len(docs.columns) if carry else 0), "doc_id long, held_out boolean, lang_pred string, score double" + (f", {kept}" if carry else "")))

@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], most: int) -> D
 
 
 def mix(docs: DataFrame, tables: Tables, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: _row, doc_id, size, source, source_size, target, taken.
+    """One row per input row: _row, doc_id, size, source, source_size, target, text_hash (of Spark's xxhash64), taken.
 
     Every document enters its source's queue up to most times, in shuffled order (an MD5 of seed and id, ties by id
     and text). The virtual finish time of an entry is the running number of tokens of its source, divided by the
@@ -84,4 +84,4 @@ def mix(docs: DataFrame, tables: Tables, weights: tuple[float, ...] = (5, 2, 1),
     entries = entries.withColumn("_f", F.least(F.floor(F.sqrt(F.col("finish") / F.lit(float(top or 1))) * F.lit(4 * buckets)), F.lit(4 * buckets - 1)).cast("long"))
     order = [F.col("finish"), F.col("_md5"), F.col("doc_id"), F.col("_t"), F.col("epoch"), F.col("_row")]
     taken = _running(entries, [], "_f", order, "size", "_all").filter(F.col("_all") <= F.lit(float(total or 0))).groupBy("_row").agg(F.count(F.lit(1)).alias("_times"))
-    return queued.join(taken, "_row", "left").select("_row", "doc_id", "size", "source", "source_size", "target", (F.col("size") * F.coalesce("_times", F.lit(0))).cast("long").alias("taken"))
+    return queued.join(taken, "_row", "left").select("_row", "doc_id", "size", "source", "source_size", "target", F.col("_t").alias("text_hash"), (F.col("size") * F.coalesce("_times", F.lit(0))).cast("long").alias("taken"))
