@@ -18,12 +18,14 @@ from .common import Tables
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Distinct chunks of text whose ids a worker remembers.
-CACHE = 200_000
+CACHE = 600_000
 #: Texts tokenized at a time.
-ROWS = 500
+ROWS = 2000
 #: Partitions whose leftovers are merged in one task.
 MERGED = 16
-_RUNS = re.compile(r"(\s{2,})")
+#: White space as the pre-tokenizer has it (fixed values).
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_RUNS = re.compile(f"({_SPACE}{{2,}})")
 
 
 def default_tokenizer() -> str:
@@ -38,6 +40,9 @@ class Encoder:
     The pre-tokenizer of these files never joins what stands before a single space or line break to what follows, so
     a text's ids are those of its chunks in order: each distinct chunk is encoded once by the library and remembered.
     A run of several white-space characters is a chunk up to its last character, as the pre-tokenizer has it.
+
+    A chunk's key is its word if a space leads it, "\n" and the word if a line break does, and "\n\n" and the word if
+    nothing does; no word holds a line break.
     """
 
     def __init__(self, path: str):
@@ -46,44 +51,84 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.ids: dict[str, list[int]] = {"": []}
+        self.line = self._ids("\n")
+        self._forget()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ends = np.zeros(1, np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
     @staticmethod
-    def _chunks(part: str, lead: str) -> list[str]:
-        """Of text without runs of white space; lead: the space that stood before it, or nothing."""
-        out: list[str] = []
-        for i, line in enumerate(part.split("\n")):
-            if i:
-                out.append("\n")
+    def _chunks(part: str, lead: str, out: list[str]) -> None:
+        """Keys of a text without runs of white space; lead: what marks its first word."""
+        for line in part.split("\n"):
             words = line.split(" ")
-            out.append((lead if not i else "") + words[0])
-            out.extend([" " + w for w in words[1:]])
-        return out
+            words[0] = lead + words[0]
+            out += words
+            lead = "\n"
 
     def chunks(self, text: str) -> list[str]:
-        parts = _RUNS.split(text)
-        out = self._chunks(parts[0], "")
+        parts, out = _RUNS.split(text), []
+        self._chunks(parts[0], "\n\n", out)
         for run, part in zip(parts[1::2], parts[2::2], strict=True):
             if not part:
-                out.append(run)
+                out.append("\n\n" + run)
             else:
-                out.append(run[:-1])
-                lead = run[-1] if run[-1] == " " else ""
-                if not lead:
-                    out.append(run[-1])
-                out += self._chunks(part, lead)
+                out.append("\n\n" + run[:-1])
+                if run[-1] not in " \n":
+                    out.append("\n\n" + run[-1])
+                self._chunks(part, {" ": "", "\n": "\n"}.get(run[-1], "\n\n"), out)
         return out
 
+    def _learn(self, keys: list[str]) -> None:
+        """Encode new chunks: ordinary ones as the lines of one text, which leaves each as it is; the rest one by one."""
+        spaced, led, odd = [], [], []
+        for key in keys:
+            if key and key[0] != "\n":
+                (spaced if not (key[0].isspace() or key[-1].isspace()) else odd).append(key)
+            elif len(key) > 1 and key[1] != "\n" and not (key[1].isspace() or key[-1].isspace()):
+                led.append(key)
+            else:
+                odd.append(key)
+        text = "".join(["\n " + k for k in spaced]) + "".join(led)
+        ids = np.array(self._ids(text), np.uint32)
+        cuts = np.flatnonzero(ids == self.line[0])
+        if len(self.line) != 1 or len(cuts) != len(spaced) + len(led):  # a line break doesn't stand alone here
+            odd, spaced, led = spaced + led + odd, [], []
+            ids, cuts = ids[:0], cuts[:0]
+        length = np.diff(np.append(cuts, len(ids)))
+        length[: len(spaced)] -= 1  # the line break belongs to the chunks that one leads
+        ids = np.delete(ids, cuts[: len(spaced)])
+        found: list[list[int]] = []
+        for key in odd:
+            bare = key[:2] == "\n\n"
+            text = key[2:] if bare else key[1:] if key[:1] == "\n" else " " + key
+            found.append(([] if bare or key[:1] != "\n" else self.line) + (self._ids(text) if text else []))
+        at = len(self.place)
+        for part in (spaced, led, odd):
+            self.place.update(zip(part, range(at, at + len(part)), strict=True))
+            at += len(part)
+        length = np.concatenate([length, np.array([len(x) for x in found], np.int64)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(length)])
+        self.ids = np.concatenate([self.ids, ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32)])
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         keys = [self.chunks(t) for t in texts]
-        if len(self.ids) > CACHE:
-            self.ids = {"": []}
-        new = list({k for ks in keys for k in ks}.difference(self.ids))
-        for i in range(0, len(new), 4096):
-            for k, e in zip(new[i : i + 4096], self.tokenizer.encode_batch(new[i : i + 4096], add_special_tokens=False), strict=True):
-                self.ids[k] = e.ids
-        of = self.ids.__getitem__
-        return [np.fromiter(itertools.chain.from_iterable(map(of, ks)), np.uint32) for ks in keys]
+        if len(self.place) > CACHE:
+            self._forget()
+        new = list(set(itertools.chain.from_iterable(keys)).difference(self.place))
+        if new:
+            self._learn(new)
+        counts = [len(ks) for ks in keys]
+        at = np.fromiter(map(self.place.__getitem__, itertools.chain.from_iterable(keys)), np.int64, sum(counts))
+        length = self.ends[at + 1] - self.ends[at]
+        ends = np.cumsum(length)
+        ids = self.ids[np.repeat(self.ends[at] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+        return np.split(ids, np.concatenate([[0], ends])[np.cumsum(counts)][:-1]) if texts else []
 
 
 class Packer:
