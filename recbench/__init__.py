@@ -1,0 +1 @@
+"""A Spark-native engine for evaluating recommender systems."""
