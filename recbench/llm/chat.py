@@ -43,9 +43,10 @@ def root_to_leaf_paths(nodes: DataFrame, tables: Tables, top: int = 1) -> DataFr
     jumps = [tables.write(jump.withColumn("depth", F.lit(1).cast("long")), "jump0")]
     most = 1
     while not jumps[-1].filter("up is not null").isEmpty() and most <= jumps[0].count():
-        a, b = jumps[-1], jumps[-1].select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("depth").alias("_depth"))
-        a = a.join(b, ["tree", "up"], "left")
-        jumps.append(tables.write(a.select("tree", "node", F.col("_up").alias("up"), (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")), f"jump{len(jumps)}"))
+        # Only nodes that haven't reached their root go on; the others stay as they are.
+        b = jumps[-1].select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("depth").alias("_depth"))
+        on = jumps[-1].filter("up is not null").join(b, ["tree", "up"]).select("tree", "node", F.col("_up").alias("up"), (F.col("score") + F.col("_score")).alias("score"), (F.col("depth") + F.col("_depth")).alias("depth"))
+        jumps.append(tables.write(jumps[-1].filter("up is null").select(*on.columns).unionByName(on), f"jump{len(jumps)}"))
         most *= 2
     parents = jumps[0].filter("up is not null").select("tree", F.col("up").alias("node")).distinct()
     leaves = jumps[-1].filter("up is null").join(parents, ["tree", "node"], "left_anti")

@@ -3,31 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir, ship
+
 #: A word: a run of anything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one in local mode only."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    told = tempfile.mkdtemp(prefix="recbench-shared-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{told}")
-    return f"file://{told}"
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -42,22 +28,6 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
         return
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once a session, wherever it was imported from."""
-    context = spark.sparkContext
-    if getattr(context, "_recbench_shipped", False):
-        return
-    package = Path(__file__).resolve().parent.parent
-    folder = tempfile.mkdtemp(prefix="recbench-code-")  # the driver serves the file from here for as long as it runs
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = Path(folder) / f"{package.name}-{uuid.uuid4().hex[:8]}.zip"
-    with zipfile.ZipFile(path, "w") as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(path))
-    context._recbench_shipped = True
-
-
 class Tables:
     """Intermediate tables written to the shared folder, so that a lost executor costs no lineage.
 
