@@ -19,12 +19,14 @@ def in_polygon(x: Column, y: Column, polygon: Column) -> Column:
     return F.size(F.filter(sides, crosses)) % 2 == 1
 
 
-def divisions(points: DataFrame, polygons: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
+def divisions(points: DataFrame, polygons: DataFrame, x: str = "lon", y: str = "lat", most: int = 5000) -> DataFrame:
     """points with the index of the first polygon that holds them (null: none) and the one-hot of it.
 
     polygons: (index from 0, polygon). They come as one array of all, so each point is tested once and no pairs of rows
-    are made.
+    are made. More than `most` polygons raise an error, as the array goes to every task.
     """
+    if polygons.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} polygons")
     every = polygons.agg(F.array_sort(F.collect_list(F.struct("index", "polygon"))).alias("_all"))
     held = F.filter("_all", lambda p: in_polygon(F.col(x), F.col(y), p["polygon"]))
     out = points.crossJoin(F.broadcast(every)).withColumn("division", F.get(held, F.lit(0))["index"])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ceiling, one_decimal, rating_to_interaction, sign_interaction
+from ..shared import global_rank
 
 
 def _out(rows: DataFrame, user: str | Column, item: str | Column, rating: Column) -> DataFrame:
@@ -18,11 +19,11 @@ def _unknown(kind: str) -> ValueError:
 
 
 def ids(values: DataFrame, *columns: str) -> DataFrame:
-    """Distinct values with an id from 0 in their order; nulls get none. One window over the distinct values."""
+    """Distinct values with an id from 0 in their order; nulls get none."""
     found = values.select(*columns).distinct()
     for c in columns:
         found = found.filter(F.col(c).isNotNull())
-    return found.withColumn("id", (F.row_number().over(Window.orderBy(*columns)) - 1).cast("long"))
+    return global_rank(found, [F.col(c) for c in columns], "id").withColumn("id", F.col("id") - 1)
 
 
 def counted(rows: DataFrame, user: str, item: str, kind: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import half_even, log2_floored, prob_by_rank
 from ..functions.vectors import cosine_distance, not_zero, total
+from ..shared import global_rank
 
 
 def _matched(actual: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -132,10 +133,11 @@ def prediction_coverage(test: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def item_popularity(train: DataFrame, test: DataFrame) -> DataFrame:
-    """(item, popularity): 1 for the item of the best mean rating, 0 for the last. The window runs over one row per item."""
+    """(item, popularity): 1 for the item of the best mean rating, 0 for the last."""
     means = train.select("item", "rating").unionByName(test.select("item", "rating")).groupBy("item").agg(F.avg("rating").alias("mean"))
-    place = F.row_number().over(Window.orderBy(F.col("mean").desc(), F.col("item")))
-    return means.select("item", prob_by_rank(place, F.count(F.lit(1)).over(Window.partitionBy())).alias("popularity"))
+    places = global_rank(means, [F.col("mean").desc(), F.col("item")], "place")
+    n = places.agg(F.count(F.lit(1)).alias("n"))
+    return places.crossJoin(F.broadcast(n)).select("item", prob_by_rank(F.col("place"), F.col("n")).alias("popularity"))
 
 
 def _both_means(rows: DataFrame, value: str, name: str) -> DataFrame:

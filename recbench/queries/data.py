@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
@@ -11,7 +9,7 @@ from ..functions.text import GENRES, genre_flags
 from ..operators import content as C
 from ..operators import content_based, geo, graph
 from ..operators import interactions as I
-from ..shared import shared_dir
+from ..shared import scratch
 from ..sources import readers, store
 from ..streaming.interactions import running_counts
 from . import query
@@ -483,34 +481,30 @@ def geo_divisions(spark, d):
     return geo.divisions(points, polygons).select("c_custkey", "division")
 
 
-def _scratch(spark) -> str:
-    return f"{shared_dir(spark)}/recbench-files-{uuid.uuid4().hex}"
-
-
 @query("k1_ratings_text", f"with {RATINGS} select {OUT} from ratings")
 def k1_ratings_text(spark, d):
-    path = _scratch(spark)
+    path = scratch(spark, "files")
     store.save_ratings_text(X.ratings(spark, d), path, compressed=True)
     return store.load_ratings_text(spark, path)
 
 
 @query("k2_content_text", f"with {X.GENRE_SQL.strip()} select item, vector from content")
 def k2_content_text(spark, d):
-    path = _scratch(spark)
+    path = scratch(spark, "files")
     store.save_content_text(X.genre_content(spark, d), path)
     return store.load_content_text(spark, path)
 
 
 @query("k4_k5_save_once", f"with {RATINGS} select count(*) as n from ratings")
 def k4_k5_save_once(spark, d):
-    path = _scratch(spark)
+    path = scratch(spark, "files")
     rows = store.save_once(X.ratings(spark, d), path)
     return store.save_once(rows.limit(0), path).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s1_s2_json_lines", "select event_id, user_id, event_type, value from events")
 def s1_s2_json_lines(spark, d):
-    rows, path = X.table(spark, d, "events").select("event_id", "user_id", "event_type", "value"), _scratch(spark)
+    rows, path = X.table(spark, d, "events").select("event_id", "user_id", "event_type", "value"), scratch(spark, "files")
     store.save_json(rows, path)
     return readers.json_lines(spark, path, rows.schema.json())
 
@@ -529,7 +523,7 @@ def s18_latest(spark, d):
     return readers.latest_revisions(rows).select(F.col("article_id").alias("user_id"), F.col("position").alias("event_id"))
 
 
-@query("s11_joke_unpivot", "select c_custkey as user_id, joke_id, rating from (select c_custkey, unnest([1, 2, 3]) as joke_id, unnest([c_acctbal, c_nationkey::double, case when c_custkey % 2 = 0 then 99.0 else 1.5 end]) as rating from customer) where rating <> 99 and rating <> 0")
+@query("s11_joke_unpivot", "select c_custkey::int as user_id, joke_id, rating from (select c_custkey, unnest([1, 2, 3]) as joke_id, unnest([c_acctbal, c_nationkey::double, case when c_custkey % 2 = 0 then 99.0 else 1.5 end]) as rating from customer) where rating <> 99 and rating <> 0")
 def s11_joke_unpivot(spark, d):
     wide = X.table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("a"), F.col("c_nationkey").alias("b"), F.when(F.col("c_custkey") % 2 == 0, 99.0).otherwise(1.5).alias("c"))
     return readers.joke_ratings(wide, "c_custkey", ["a", "b", "c"])

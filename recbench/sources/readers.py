@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from ..functions.scalars import number, truth
 from ..functions.text import ascii_only, genre_flags, mail_address, strip_html, title_and_year
+from ..shared import global_rank
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sample: float | None = None, seed: int = 41) -> DataFrame:
@@ -55,8 +56,8 @@ def joke_ratings(wide: DataFrame, user_id: str, columns: list[str]) -> DataFrame
 def joke_table(spark: SparkSession, path: str) -> DataFrame:
     """The wide ratings as CSV (column 0 is a count), users numbered in the order of the file's rows."""
     raw = spark.read.option("inferSchema", True).csv(path)
-    rows = raw.withColumn("_order", F.monotonically_increasing_id())
-    return joke_ratings(rows.withColumn("user_id", F.row_number().over(Window.orderBy("_order"))), "user_id", raw.columns[1:])
+    rows = global_rank(raw.withColumn("_order", F.monotonically_increasing_id()), [F.col("_order")], "user_id")
+    return joke_ratings(rows, "user_id", raw.columns[1:])
 
 
 def jokes(spark: SparkSession, path: str) -> DataFrame:
