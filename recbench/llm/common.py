@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import shared_dir, ship
+from ..shared import delete, scratch, ship
 
 #: A word: a run of anything but space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
-    try:
-        if spark.sparkContext._jsc is not None:
-            _delete(spark, path)
-    except Exception:  # noqa: BLE001  the JVM may be gone by now; the folder is then left to its owner
-        return
-
-
 class Tables:
     """Intermediate tables written to the shared folder, so that a lost executor costs no lineage.
 
@@ -36,8 +19,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession):
         ship(spark)
-        self.spark, self.root = spark, f"{shared_dir(spark)}/recbench-{uuid.uuid4().hex}"
-        atexit.register(_delete_at_exit, spark, self.root)
+        self.spark, self.root = spark, scratch(spark, "tables")
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -45,7 +27,7 @@ class Tables:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        _delete(self.spark, f"{self.root}/{name}")
+        delete(self.spark, f"{self.root}/{name}")
 
 
 def text_of(col: Column) -> Column:
