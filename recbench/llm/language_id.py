@@ -180,7 +180,7 @@ def identify_languages(docs: DataFrame, tables: Tables, train: DataFrame | None
     over its words. lang_pred is the likeliest language, ties to the first by code point; score is its share of the
     sum over languages, all taken as equally likely before. Label, source and id play no part in a prediction.
 
-    Null text, and text without a letter: "und", score 0. Null or empty label: not learned from. Null id: not held
+    Null text, and text without a letter: "und", score 0. Null label: not learned from. Null id: not held
     out. Without any label to learn from, all is "und". Empty table: no rows. Other columns are ignored. The model has
     one number for each piece and language; more than 500 labels raise an error.
     """
@@ -188,7 +188,7 @@ def identify_languages(docs: DataFrame, tables: Tables, train: DataFrame | None
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), modulus).alias("held_out"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"), *([F.col(f"`{c}`").alias(f"carried{i}") for i, c in enumerate(docs.columns)] if carry else []))
     kept = ", ".join(f"carried{i} {kind}" for i, (_, kind) in enumerate(docs.dtypes)) if carry else ""
     known = docs if train is None else train
-    known = known.filter(~held_out(F.col(id_col), modulus)).filter(f"{lang_col} is not null and {lang_col} != '' and {text_col} is not null")
+    known = known.filter(~held_out(F.col(id_col), modulus)).filter(f"{lang_col} is not null and {text_col} is not null")
     counts = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count_pieces(path), "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     counts = tables.write(counts, "pieces")
 
