@@ -8,27 +8,37 @@ from pyspark.sql import functions as F
 from .common import Tables
 
 
-def connected_components(links: DataFrame, tables: Tables, name: str) -> DataFrame:
-    """(node, component) of every node of links (a, b); component is the smallest node reachable.
+def _renamed(edges: DataFrame, to: DataFrame) -> DataFrame:
+    """Edges (u, v) between what their ends now stand for, each pair once, without loops."""
+    edges = edges.join(to.toDF("u", "_u"), "u", "left").join(to.toDF("v", "_v"), "v", "left")
+    edges = edges.select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v")).filter("u != v")
+    return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    Each round takes the least label among neighbours, hooks it onto the label's own root and follows the labels one
-    step further, so the rounds grow with the logarithm of a component's diameter. Labels are a table of one row per
-    linked node; nothing is gathered on the driver but the number of labels that changed.
+
+def connected_components(links: DataFrame, tables: Tables, name: str, known: DataFrame | None = None) -> DataFrame:
+    """(node, component) of every node of links (a, b), and of known; component is the smallest node reachable.
+
+    Each round sends every node to its least neighbour, follows these steps down to their end, and contracts the links
+    to the ends, so that links inside what has come together are gone for the next round. known: (node, component) of
+    other links found before. Only whether any links are left is asked on the driver.
     """
-    both = tables.write(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct(), f"{name}-edges")
-    labels = tables.write(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).withColumnRenamed("a", "node"), f"{name}-0")
-    k = 0
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        near = labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", "l", F.least("l", "m").alias("m"))
-        # The old label's own node hears of the new label too.
-        hooks = near.filter("m < l").groupBy(F.col("l").alias("node")).agg(F.min("m").alias("h"))
-        near = near.join(hooks, "node", "left").select("node", "l", F.least("m", F.coalesce("h", "m")).alias("m"))
-        up = near.select(F.col("node").alias("m"), F.col("m").alias("u"))
-        new = near.join(up, "m", "left").select("node", F.least("m", F.coalesce("u", "m")).alias("l"), F.col("l").alias("was"))
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
+    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    labels = nodes.withColumn("component", F.col("node"))
+    if known is not None:
+        labels = known.unionByName(labels.join(known.select("node"), "node", "left_anti"))
+        edges = _renamed(edges, known)
+    labels, edges, k = tables.write(labels, f"{name}-labels-0"), tables.write(edges, f"{name}-edges-0"), 0
+    while not edges.isEmpty():
         k += 1
-        new = tables.write(new, f"{name}-{k}")
-        tables.drop(f"{name}-{k - 1}")
-        labels = new.select("node", "l")
-        if new.filter("l != was").isEmpty():
-            return labels.withColumnRenamed("l", "component")
+        ends = edges.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(edges.select(F.col("v").alias("node"), F.col("u").alias("other")))
+        to, j = tables.write(ends.groupBy("node").agg(F.min("other").alias("to")).select("node", F.least("node", "to").alias("to")), f"{name}-to-{k}-0"), 0
+        moved = True
+        while moved:
+            j += 1
+            further = to.join(to.toDF("to", "further"), "to").select("node", F.col("further").alias("to"), (F.col("further") != F.col("to")).alias("moved"))
+            further = tables.write(further, f"{name}-to-{k}-{j}")
+            to, moved = further.select("node", "to"), not further.filter("moved").isEmpty()
+        labels = labels.join(to.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        labels, edges = tables.write(labels, f"{name}-labels-{k}"), tables.write(_renamed(edges, to), f"{name}-edges-{k}")
+    return labels

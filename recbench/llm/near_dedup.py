@@ -238,7 +238,8 @@ def near_dedup(docs: DataFrame, tables: Tables, shingle: int = 5, percent: int =
         return both.mapInArrow(_confirm(percent), "a long, b long")
 
     links = tables.write(confirmed(agreeing), "links")
-    labels = connected_components(links, tables, "first").withColumnRenamed("node", "cid")
+    first_labels = connected_components(links, tables, "first")
+    labels = first_labels.withColumnRenamed("node", "cid")
     placed = members.select("key", "n", "cid").join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     placed = tables.write(placed, "placed")
     parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
@@ -255,7 +256,7 @@ def near_dedup(docs: DataFrame, tables: Tables, shingle: int = 5, percent: int =
     dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
     second = dealt.mapInArrow(_cross_pairs(percent), "a long, b long")
     more = tables.write(confirmed(second), "more-links")
-    labels = connected_components(links.unionByName(more), tables, "final").withColumnRenamed("node", "cid")
+    labels = connected_components(more, tables, "final", first_labels).withColumnRenamed("node", "cid")
 
     least = classes.select("cid", "fa", "fb", "rep").join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = tables.write(least, "labelled")

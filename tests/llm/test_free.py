@@ -246,3 +246,33 @@ def test_nearest(spark, tables):
 
 def test_registered_queries_cover_the_operators():
     assert [int(name[2:].split("_")[0]) for name in queries.QUERIES] == list(range(1, 11))
+
+
+def test_components(spark, tables):
+    from recbench.llm.components import connected_components
+
+    rng = random.Random(6)
+    chain = [(i, i + 1) for i in range(300)]
+    links = chain + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(180)] + [(2000, 2000)]
+    later = [(150, 1003), (2000, 2001), (2001, 2002), (1500, 3000)]
+
+    def brute(pairs):
+        near = collections.defaultdict(set)
+        for a, b in pairs:
+            near[a].add(b)
+            near[b].add(a)
+        out = {}
+        for x in sorted(near):
+            stack = [] if x in out else [x]
+            while stack:
+                y = stack.pop()
+                if y not in out:
+                    out[y] = x
+                    stack += near[y]
+        return out
+
+    first = connected_components(spark.createDataFrame(links, "a long, b long"), tables, "one")
+    assert {r["node"]: r["component"] for r in first.collect()} == brute(links)
+    both = connected_components(spark.createDataFrame(later, "a long, b long"), tables, "two", first)
+    assert {r["node"]: r["component"] for r in both.collect()} == brute(links + later)
+    assert connected_components(spark.createDataFrame([], "a long, b long"), tables, "none").count() == 0
