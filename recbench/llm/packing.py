@@ -14,13 +14,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkernel
 from .common import Tables
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Distinct chunks of text whose ids a worker remembers.
-CACHE = 600_000
-#: Texts tokenized at a time.
-ROWS = 2000
+CACHE = 1_500_000
 #: Partitions whose leftovers are merged in one task.
 MERGED = 16
 #: White space as the pre-tokenizer has it (fixed values).
@@ -58,9 +57,10 @@ class Encoder:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of hashes, sorted
         self.ends = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.used = 0
 
     @staticmethod
     def _chunks(part: str, lead: str, out: list[str]) -> None:
@@ -84,8 +84,9 @@ class Encoder:
                 self._chunks(part, {" ": "", "\n": "\n"}.get(run[-1], "\n\n"), out)
         return out
 
-    def _learn(self, keys: list[str]) -> None:
-        """Encode new chunks: ordinary ones as the lines of one text, which leaves each as it is; the rest one by one."""
+    def _encoded(self, keys: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+        """(place of each key, ends, ids) of distinct chunks: ordinary ones are encoded as the lines of one text, which
+        leaves each as it is; the rest one by one."""
         spaced, led, odd = [], [], []
         for key in keys:
             if key and key[0] != "\n":
@@ -108,27 +109,96 @@ class Encoder:
             bare = key[:2] == "\n\n"
             text = key[2:] if bare else key[1:] if key[:1] == "\n" else " " + key
             found.append(([] if bare or key[:1] != "\n" else self.line) + (self._ids(text) if text else []))
-        at = len(self.place)
+        place, at = {}, 0
         for part in (spaced, led, odd):
-            self.place.update(zip(part, range(at, at + len(part)), strict=True))
+            place.update(zip(part, range(at, at + len(part)), strict=True))
             at += len(part)
         length = np.concatenate([length, np.array([len(x) for x in found], np.int64)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(length)])
-        self.ids = np.concatenate([self.ids, ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32)])
+        return place, np.concatenate([[0], np.cumsum(length)]), np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32)])
+
+    @staticmethod
+    def _gather(at: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of the chunks at these places, one after the other."""
+        length = ends[at + 1] - ends[at]
+        upto = np.cumsum(length)
+        return ids[np.repeat(ends[at] - upto + length, length) + np.arange(upto[-1] if len(upto) else 0)], length
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts of any kind, without remembering their chunks."""
         keys = [self.chunks(t) for t in texts]
-        if len(self.place) > CACHE:
-            self._forget()
-        new = list(set(itertools.chain.from_iterable(keys)).difference(self.place))
-        if new:
-            self._learn(new)
-        counts = [len(ks) for ks in keys]
-        at = np.fromiter(map(self.place.__getitem__, itertools.chain.from_iterable(keys)), np.int64, sum(counts))
-        length = self.ends[at + 1] - self.ends[at]
-        ends = np.cumsum(length)
-        ids = self.ids[np.repeat(self.ends[at] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
-        return np.split(ids, np.concatenate([[0], ends])[np.cumsum(counts)][:-1]) if texts else []
+        if not keys:
+            return []
+        place, ends, ids = self._encoded(list(set(itertools.chain.from_iterable(keys))))
+        return [self._gather(np.array([place[k] for k in ks], np.int64), ends, ids)[0] for ks in keys]
+
+    def _plain(self, w: textkernel.Words) -> np.ndarray:
+        """Which rows are words with one space or line break between two of them and no other white space."""
+        count, data = np.diff(w.row_offsets), w.data
+        plain = count > 0
+        inner = np.add.reduceat(w.end - w.start, w.row_offsets[:-1][plain]) if plain.any() else np.zeros(0, np.int64)
+        size = np.diff(w.row_bytes)[plain]
+        first, last = w.row_offsets[:-1][plain], w.row_offsets[1:][plain] - 1
+        plain[plain] = (inner + count[plain] - 1 == size) & (w.start[first] == w.row_bytes[:-1][plain]) & (w.end[last] == w.row_bytes[1:][plain])
+        before = data[np.maximum(w.start - 1, 0)]
+        led = np.ones(len(w.start), bool)
+        led[w.row_offsets[:-1][count > 0]] = False
+        bad = w.start[led & (before != 32) & (before != 10)]
+        high = np.flatnonzero(data >= 0xC2)
+        a, b = data[high], data[np.minimum(high + 1, len(data) - 1)]
+        # Beginnings of the characters of more bytes that are white space.
+        bad = np.concatenate([bad, high[(a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) | (a == 0xE2) & ((b == 0x80) | (b == 0x81)) | (a == 0xE3) & (b == 0x80)]])
+        plain[np.searchsorted(w.row_bytes, bad, "right") - 1] = False
+        return plain
+
+    def columns(self, column: pa.Array) -> Iterator[list[np.ndarray]]:
+        """The ids of each text of a column, in lists of some texts at a time.
+
+        In plain rows chunks are told apart by hash, so that no string is made for a chunk that is known.
+        """
+        for w in textkernel.words(column, lower=False):
+            plain = self._plain(w)
+            count = np.diff(w.row_offsets)
+            mine = np.flatnonzero(np.repeat(plain, count))
+            before = w.data[np.maximum(w.start[mine] - 1, 0)]
+            lead = np.where(before == 32, np.uint64(1), np.uint64(2))
+            lead[np.searchsorted(mine, w.row_offsets[:-1][plain])] = np.uint64(3)
+            hashes = textkernel.mix(w.hashes[mine] + lead)
+            distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            if self.used > CACHE:
+                self._forget()
+            at = np.searchsorted(self.keys, distinct)
+            known = np.zeros(len(distinct), bool)
+            inside = at < len(self.keys)
+            known[inside] = self.keys[at[inside]] == distinct[inside]
+            new = np.flatnonzero(~known)
+            if len(new):
+                marks = ("", "", "\n", "\n\n")
+                strings = [marks[k] + w.word(i).decode() for i, k in zip(mine[first[new]], lead[first[new]].tolist(), strict=True)]
+                place, ends, ids = self._encoded(strings)
+                places = np.array([place[x] for x in strings], np.int64) + self.used
+                self.keys, self.place = np.insert(self.keys, at[new], distinct[new]), np.insert(self.place, at[new], places)
+                self.ends, self.ids = np.concatenate([self.ends, self.ends[-1] + ends[1:]]), np.concatenate([self.ids, ids])
+                self.used += len(strings)
+                at = np.searchsorted(self.keys, distinct)
+            ids, length = self._gather(self.place[at][inverse] if len(distinct) else np.zeros(0, np.int64), self.ends, self.ids)
+            cuts = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(count[plain])])]
+            out: list = [None] * len(plain)
+            for k, row in enumerate(np.flatnonzero(plain)):
+                out[row] = ids[cuts[k] : cuts[k + 1]]
+            rest = np.flatnonzero(~plain)
+            for row, x in zip(rest, self.encode([t or "" for t in column.slice(w.first, w.last - w.first).take(pa.array(rest)).to_pylist()]), strict=True):
+                out[row] = x
+            yield out
+
+
+#: One for each vocabulary in a worker, which serves several tasks.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 class Packer:
@@ -185,14 +255,14 @@ def _table(rows: list[tuple], extra: list[list]) -> pa.RecordBatch:
 def _pack(path: str, size: int, windows: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder, packer = Encoder(path), Packer(size, windows, part << 32)
+        packer = Packer(size, windows, part << 32)
         for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                piece = batch.slice(i, ROWS)
+            docs = iter(batch.column(0).to_pylist())
+            for texts in encoder(path).columns(batch.column(1)):
                 rows: list[tuple] = []
-                for doc, ids in zip(piece.column(0).to_pylist(), encoder.encode([t or "" for t in piece.column(1).to_pylist()]), strict=True):
+                for ids in texts:
                     ids = np.append(ids, np.uint32(end))
-                    rows.extend(packer.add(doc, ids, 0, len(ids)))
+                    rows.extend(packer.add(next(docs), ids, 0, len(ids)))
                 if rows:
                     yield _table(rows, [[None] * len(rows)] * 2)
         rows, parts, held = [], [], []

@@ -54,7 +54,7 @@ powers = _Powers.of
 
 @dataclass
 class Words:
-    """Words of rows first to last (exclusive): hashes, byte ranges in data, and where each row's words begin."""
+    """Words of rows first to last (exclusive): hashes, byte ranges in data, where each row's words and bytes begin."""
 
     first: int
     last: int
@@ -63,6 +63,7 @@ class Words:
     end: np.ndarray
     hashes: np.ndarray
     row_offsets: np.ndarray
+    row_bytes: np.ndarray
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
@@ -100,7 +101,7 @@ def words(column: pa.Array, lower: bool = True) -> Iterator[Words]:
         n = len(own)
         if not n:
             none = np.zeros(0, np.int64)
-            yield Words(first, last, own, none, none, np.zeros(0, np.uint64), np.zeros(last - first + 1, np.int64))
+            yield Words(first, last, own, none, none, np.zeros(0, np.uint64), np.zeros(last - first + 1, np.int64), rows)
             continue
         up, down = _Powers.of(n)
         inside = ~_SPACE[own]
@@ -116,7 +117,7 @@ def words(column: pa.Array, lower: bool = True) -> Iterator[Words]:
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
         np.cumsum(_BYTE[own] * up[:n], out=total[1:])
-        yield Words(first, last, own, start, end, mix((total[end] - total[start]) * down[start]), np.searchsorted(start, rows))
+        yield Words(first, last, own, start, end, mix((total[end] - total[start]) * down[start]), np.searchsorted(start, rows), rows)
 
 
 def combine(parts: list[np.ndarray]) -> np.ndarray:

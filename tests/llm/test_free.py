@@ -210,6 +210,7 @@ def test_packing(spark, documents, tables):
 
 
 def test_encoder_equals_the_library_on_odd_white_space():
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(packing.default_tokenizer())
@@ -217,7 +218,10 @@ def test_encoder_equals_the_library_on_odd_white_space():
     rng = random.Random(2)
     parts = [" ", "  ", "\n", "\t", "\r\n", "a", "foo", "Don't", "'s", "12", "é", "　", "\xa0", "\x1c", "\x85", "<|endoftext|>", "!!", "x\ty", " \n "]
     rows = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(4000)]
-    assert [x.tolist() for x in packing.Encoder(packing.default_tokenizer()).encode(rows)] == [whole.encode(t, add_special_tokens=False).ids for t in rows]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in rows]
+    encoder = packing.Encoder(packing.default_tokenizer())
+    assert [x.tolist() for x in encoder.encode(rows)] == want
+    assert [x.tolist() for part in encoder.columns(pa.array(rows)) for x in part] == want
 
 
 def test_nearest(spark, tables):
