@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel
@@ -16,14 +16,17 @@ from .common import Tables, held_out
 
 #: The token after each text's last word.
 END = np.uint64(0x5851F42D4C957F2D)
-#: Least shares of all training tokens: of a word that is sent to all workers, of a context, of a context's next word.
-#: So at most WORDS words, CONTEXTS contexts of each length and NEXT entries of each length are ever sent.
-WORDS, CONTEXTS, NEXT = 4_000_000, 100_000, 1_000_000
+#: Words and grams with at least these shares of all training tokens are sent to all workers; all others are joined.
+#: So at most WORDS words and HOT grams of each length are sent. What is sent makes no difference to any score.
+WORDS, HOT = 4_000_000, 1_000_000
 #: Counts below which a context or an entry says nothing.
 LEAST_CONTEXT, LEAST_NEXT = 8, 2
 DISCOUNT = 0.5
-#: Keys gathered in a task before they are counted and sent on.
+#: Numbers gathered in a task before they are counted and sent on.
 HELD = 3_000_000
+#: A filter of keys is SLICES parts of up to 2 ** PART bits, about 16 bits a key where that is less. It lets some other
+#: keys through, which a join then drops.
+SLICES, PART = 16, 24
 
 
 def _tokens(w: textkernel.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +44,9 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """The tables of the tree, all sorted by key.
+    """The tree up to contexts of two words in one process's memory, by the rules of score_texts; for small corpora.
+
+    All tables are sorted by key.
 
     words: hashes; n: their counts. next1: keys (context word, next word), place by place in words, with p1; keep1:
     for each word whether it is a state, rest1: the log10 of the weight its distribution leaves to the empty context.
@@ -52,9 +57,9 @@ class Model:
         self.words, self.n, self.total, self.distinct = words, n, total, distinct
         self.scale = math.log10(total + distinct + 1)
         self.log0 = np.log10(n + 1.0) - self.scale
-        self.context = n >= max(LEAST_CONTEXT, total / CONTEXTS)
+        self.context = n >= LEAST_CONTEXT
         self.context &= words != END
-        self.able = n >= max(LEAST_NEXT, total / NEXT)
+        self.able = n >= LEAST_NEXT
         none = np.zeros(0, np.int64)
         self.next1 = self.next2 = none
         self.n1 = self.n2 = none
@@ -92,7 +97,7 @@ class Model:
         pair = self.pair_places(at, self._shift(at, first))
         before = self._shift(pair, first)
         ok = np.flatnonzero((pair >= 0) & (before >= 0))
-        ok = ok[self.n1[before[ok]] >= max(LEAST_CONTEXT, self.total / CONTEXTS)]
+        ok = ok[self.n1[before[ok]] >= LEAST_CONTEXT]
         return before[ok] << 32 | at[ok]
 
     def _test(self, keys: np.ndarray, n: np.ndarray, contexts: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,20 +156,101 @@ class Model:
         return at, base, np.log10(np.where(known, p2, rest * rest2))
 
 
-def _count(keys_of):
+class Keys:
+    """Whether keys may be in a set: never no for one that is."""
+
+    def __init__(self, bits: np.ndarray, part: int):
+        self.bits, self.part = bits, part
+
+    @staticmethod
+    def probes(keys: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
+        own = np.uint64((1 << part) - 1)
+        return (keys & own).astype(np.int64), (keys >> np.uint64(part) & own).astype(np.int64)
+
+    def may_have(self, keys: np.ndarray) -> np.ndarray:
+        first, out = (keys >> np.uint64(60)).astype(np.int64) << self.part, np.ones(len(keys), bool)
+        for at in self.probes(keys, self.part):
+            at |= first
+            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def _marked(part: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            own = keys >> np.uint64(60)
+            for i in np.unique(own).tolist():
+                bits = held.setdefault(i, np.zeros(1 << part, bool))
+                for at in Keys.probes(keys[own == i], part):
+                    bits[at] = True
+        for i, bits in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["part", "bits"])
+
+    return run
+
+
+def _keys(df: DataFrame) -> Keys:
+    """The filter of the column key, of a bounded size."""
+    part = min(PART, max(10, (df.count() * 16 // SLICES).bit_length()))
+    parts = df.select("key").repartition(SLICES, F.shiftrightunsigned("key", 60)).mapInArrow(_marked(part), "part int, bits binary").toArrow()
+    size = 1 << part - 3
+    bits = np.zeros(SLICES * size, np.uint8)
+    for i, x in zip(parts.column(0).to_pylist(), parts.column(1), strict=True):
+        bits[i * size : (i + 1) * size] = np.frombuffer(x.as_buffer(), np.uint8)
+    return Keys(bits, part)
+
+
+def _before(x: np.ndarray) -> np.ndarray:
+    """x of the token before; what stands there at the first token has no meaning."""
+    return np.concatenate((x[:1], x[:-1]))
+
+
+def _longer(grams: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of one more token from those that end at each token: of all but the last and all but the first."""
+    return textkernel.combine([_before(grams), grams])
+
+
+def _places_in_text(rows: np.ndarray) -> np.ndarray:
+    return np.arange(rows[-1]) - np.repeat(rows[:-1], np.diff(rows))
+
+
+def _grams(length: int, sent):
+    """(key, ctx, suf) of runs of a context of `length` tokens and the next one: all but the last, all but the first token.
+
+    sent: filters of contexts and of suf; or only one, of contexts without their first token.
+    """
+
+    def run(tokens: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+        shorter, grams = None, tokens
+        for _ in range(length - 1):
+            shorter, grams = grams, _longer(grams)
+        context, nexts = sent.value
+        at = np.flatnonzero(_places_in_text(rows) >= length)
+        at = at[context.may_have((grams if nexts else shorter)[at - 1])]
+        if nexts:
+            at = at[nexts.may_have(grams[at])]
+        ctx, suf = grams[at - 1], grams[at]
+        return [textkernel.combine([ctx, suf]), ctx, suf]
+
+    return run
+
+
+def _count(keys_of, names: list[str]):
     """Keys of training texts with their numbers, summed over up to HELD keys of a task at a time."""
 
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+    def counted(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        _, first, n = np.unique(columns[0], return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(x[first].view(np.int64)) for x in columns[-len(names) :]), pa.array(n)], [*names, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for w in textkernel.words(batch.column(0)):
-                tokens, rows = _tokens(w)
-                held.append(keys_of(tokens, rows[:-1]))
-                size += len(held[-1])
+                held.append(keys_of(*_tokens(w)))
+                size += sum(map(len, held[-1]))
                 if size > HELD:
                     yield counted(held)
                     held, size = [], 0
@@ -174,28 +260,112 @@ def _count(keys_of):
     return run
 
 
-def _score(sent):
+def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key = textkernel.combine([batch.column(i).to_numpy().view(np.uint64) for i in (0, 1)])
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], ["key", *batch.schema.names])
+
+
+def _tested(entries: DataFrame, total: int) -> DataFrame:
+    """Entries (ctx, suf, n, nc, q) with p, rest and kept; q: the probability of the entry after the shorter context.
+
+    A context is kept if the divergence of its distribution from the shorter context's, times its count, exceeds what
+    its entries cost, half the logarithm of the training tokens each.
+    """
+    whole = Window.partitionBy("ctx")
+    share = (F.col("n") - DISCOUNT) / F.col("nc")
+    out = entries.withColumn("rest", 1 - F.sum(share).over(whole)).withColumn("p", share + F.col("rest") * F.col("q"))
+    left = F.col("rest") * F.greatest(F.lit(1e-12), 1 - F.sum("q").over(whole)) * F.log("rest")
+    gain = (F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).over(whole) + left) * F.col("nc")
+    out = out.withColumn("kept", gain > 0.5 * math.log(total + 1) * F.count(F.lit(1)).over(whole))
+    columns = "ctx long, suf long, n long, nc long, q double, p double, rest double, kept boolean"
+    return out.select(*(x.split()[0] for x in columns.split(", "))).mapInArrow(_with_key, f"key long, {columns}")
+
+
+def _levels(train: DataFrame, words: DataFrame, total: int, distinct: int, tables: Tables) -> list[DataFrame]:
+    """For contexts of one, two, ... tokens the entries of all candidates."""
+    spark, levels = train.sparkSession, []
+    grams = words.select("key", "n", ((F.col("n") + 1) / (total + distinct + 1)).alias("p"))
+    while True:
+        length = len(levels) + 1
+        if length <= 2:
+            able = grams.filter(F.col("n") >= LEAST_CONTEXT)
+            filters = _keys(able), _keys(grams.filter(F.col("n") >= LEAST_NEXT))
+        else:
+            filters = _keys(grams.filter("kept").select(F.col("ctx").alias("key")).distinct()), None
+        sent = spark.sparkContext.broadcast(filters)
+        entries = train.mapInArrow(_count(_grams(length, sent), ["ctx", "suf"]), "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
+        shorter = grams.select(F.col("key").alias("suf"), F.col("p").alias("q"))
+        if length <= 2:
+            entries = entries.filter(F.col("n") >= LEAST_NEXT).join(shorter, "suf").join(able.select(F.col("key").alias("ctx"), F.col("n").alias("nc")), "ctx")
+        else:
+            entries = entries.withColumn("nc", F.sum("n").over(Window.partitionBy("ctx"))).filter((F.col("n") >= LEAST_NEXT) & (F.col("nc") >= LEAST_CONTEXT))
+            entries = entries.join(shorter.join(grams.filter("kept").select(F.col("key").alias("suf")), "suf"), "suf")
+        grams = tables.write(_tested(entries, total), f"entries-{length}")
+        sent.destroy()
+        levels.append(grams)
+        if (grams if length == 1 else grams.filter("kept")).isEmpty():
+            return levels
+
+
+def _values(levels: list[DataFrame]) -> DataFrame:
+    """(key, n, v): what each occurrence of a gram adds to the log10 of a text's score.
+
+    The probability of a token after a state is a factor times that after the state's suffix: p / q for an entry, rest
+    for any other token. So a state adds log10(rest) wherever it stands, and an entry log10(p / q / rest).
+    """
+    first = levels[0]
+    if len(levels) > 1:  # every suffix of a state is a state; longer states extend states
+        pairs = levels[1].filter("kept").select(F.col("ctx").alias("key")).distinct()
+        suffixes = first.join(pairs, "key", "left_semi").select(F.col("suf").alias("ctx"))
+        first = first.join(first.filter("kept").select("ctx").unionByName(suffixes).distinct(), "ctx", "left_semi")
+    out = None
+    for states in (first, *(x.filter("kept") for x in levels[1:])):
+        entries = states.select("key", "n", (F.log10(F.col("p") / F.col("q")) - F.log10("rest")).alias("v"))
+        contexts = states.groupBy(F.col("ctx").alias("key")).agg(F.first("nc").alias("n"), F.log10(F.first("rest")).alias("v"))
+        both = entries.unionByName(contexts)
+        out = both if out is None else out.unionByName(both)
+    return out.groupBy("key").agg(F.max("n").alias("n"), F.sum("v").alias("v"))
+
+
+def _listed(of: np.ndarray, keys: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """For each of n rows its distinct keys, and their numbers; of: the row of each key."""
+    order = np.lexsort((keys, of))
+    of, keys = of[order], keys[order]
+    new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])))) if len(of) else np.zeros(0, np.int64)
+    offsets = pa.array(np.searchsorted(of[new], np.arange(n + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(keys[new].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.diff(np.append(new, len(of))).astype(np.int32)))
+
+
+def _score(sent, longest: int):
+    """longest: tokens of the longest gram with a value."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, row = sent.value, TaskContext.get().partitionId() << 33
+        (words, log0, valued, hot, v), row = sent.value, TaskContext.get().partitionId() << 33
         for batch in batches:
             for w in textkernel.words(batch.column(2)):
                 tokens, rows = _tokens(w)
-                at, base, score = model.score(tokens, rows[:-1])
-                n = w.last - w.first
-                rare = np.flatnonzero(at < 0)
-                of = np.searchsorted(rows, rare, "right") - 1
-                order = np.lexsort((tokens[rare], of))
-                of, found = of[order], tokens[rare][order]
-                new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (found[1:] != found[:-1])))) if len(of) else np.zeros(0, np.int64)
-                times = np.diff(np.append(new, len(of)))
-                offsets = pa.array(np.searchsorted(of[new], np.arange(n + 1)).astype(np.int32))
+                n, at = w.last - w.first, _find(words, tokens)
+                base = np.where(at >= 0, log0[at], 0.0) if len(log0) else np.zeros(len(at))
+                more, cold, places = np.zeros(len(tokens)), [], _places_in_text(rows)
+                grams = tokens
+                for length in range(1, longest + 1):
+                    grams = grams if length == 1 else _longer(grams)
+                    here = np.flatnonzero(places >= length - 1)
+                    here = here[valued.may_have(grams[here])]
+                    found = _find(hot, grams[here])
+                    more[here[found >= 0]] += v[found[found >= 0]]
+                    here = here[found < 0]
+                    cold.append((here, grams[here]))
+                rare, row_of = np.flatnonzero(at < 0), np.repeat(np.arange(n), np.diff(rows))
+                cold_at, cold_keys = (np.concatenate(x) for x in zip(*cold, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(row, row + n)), batch.column(0).slice(w.first, n), batch.column(1).slice(w.first, n), pa.array(np.diff(rows)),
-                        pa.array(np.add.reduceat((at >= 0).astype(np.int64), rows[:-1])), pa.array(np.add.reduceat(base, rows[:-1])), pa.array(np.add.reduceat(score, rows[:-1])),
-                        pa.ListArray.from_arrays(offsets, pa.array(found[new].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
+                        pa.array(np.add.reduceat((at >= 0).astype(np.int64), rows[:-1])), pa.array(np.add.reduceat(base, rows[:-1])), pa.array(np.add.reduceat(more, rows[:-1])),
+                        *_listed(row_of[rare], tokens[rare], n), *_listed(row_of[cold_at], cold_keys, n),
                     ],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "times"],
+                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "more", "rare", "times", "grams", "gram_times"],
                 )
                 row += n
 
@@ -203,50 +373,49 @@ def _score(sent):
 
 
 def _gathered(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of a table whose size has a proven bound."""
+    """Sorted keys and values of a table whose size has a proven bound."""
     table = df.toArrow()
-    keys, n = (table.column(i).to_numpy() for i in (0, 1))
-    order = np.argsort(keys.view(np.uint64) if keys.dtype == np.int64 else keys)
-    return keys[order], n[order]
+    keys, values = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
+    order = np.argsort(keys)
+    return keys[order], values[order]
 
 
 def score_texts(docs: DataFrame, tables: Tables, modulus: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are words and one end token. Counts are taken over all training texts (crc32 of the id as text, modulo
-    `modulus`, isn't 2). Contexts of one and two words with at least a set share of all tokens are candidates; their
-    next words with at least a set share are entries. A candidate stays as a state of the tree if its distribution
-    diverges enough from that of its suffix. A state gives each entry its discounted share and leaves the rest to its
-    suffix, down to the base model, so each state's distribution sums to one. A token is scored from the longest
-    suffix of what stands before it that is a state.
-
-    What is sent to all workers is bounded by those shares (see WORDS, CONTEXTS, NEXT), however large the corpus. All
-    rarer words, most of the vocabulary, are looked up by a shuffled join on (text, word). Null text: empty, the end
-    token alone. Null id: a training row. Repeated rows count as often as they stand there. No training rows: the base
-    of an empty corpus, log10(1) for each token. Empty table: no rows. Other columns are ignored.
+    `modulus`, isn't 2). Contexts that occur LEAST_CONTEXT times are candidates, however large the corpus: all of one
+    and two words, and longer ones as long as they extend a context that stayed; their next words that occur LEAST_NEXT
+    times are entries. A candidate stays as a state of the tree if its distribution diverges enough from that of its
+    suffix. A state gives each entry its discounted share and leaves the rest to its suffix, down to the base model, so
+    each state's distribution sums to one. A token is scored from the longest suffix of what stands before it that is a
+    state.
+
+    Words, contexts and entries are written tables. What is sent to all workers is filters of a set size and the most
+    frequent words and grams (see WORDS, HOT); all others are looked up by shuffled joins on (text, key). Null text:
+    empty, the end token alone. Null id: a training row. Repeated rows count as often as they stand there. No training
+    rows: the base of an empty corpus, log10(1) for each token. Empty table: no rows. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), modulus).alias("held_out"), F.col(text_col).alias("text"))
     train = rows.filter("not held_out").select("text")
-    spark = rows.sparkSession
-
-    def counted(keys_of) -> DataFrame:
-        return train.mapInArrow(_count(keys_of), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-    words = tables.write(counted(lambda tokens, first: tokens), "words")
+    words = tables.write(train.mapInArrow(_count(lambda tokens, rows: [tokens], ["key"]), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    keys, n = _gathered(words.filter(F.col("n") >= max(1, math.ceil(total / WORDS))))
-    model = Model(keys.view(np.uint64), n, total, distinct)
-    least = max(LEAST_NEXT, math.ceil(total / NEXT))
-    for keys_of, put in ((Model.pairs, Model.set_pairs), (Model.triples, Model.set_triples)):
-        sent = spark.sparkContext.broadcast(model)
-        found = counted(lambda tokens, first, sent=sent, keys_of=keys_of: keys_of(sent.value, tokens, first)).filter(F.col("n") >= least)
-        put(model, *_gathered(found))
-        sent.unpersist()
-    sent = spark.sparkContext.broadcast(model)
-    scored = tables.write(rows.mapInArrow(_score(sent), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>"), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    rare = rare.join(words, "key", "left")
-    rare = rare.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("_known"), F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1) - F.lit(model.scale))).alias("_log"))
-    out = scored.drop("rare", "times").join(rare, "row", "left")
-    more = F.coalesce("_log", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    scale = math.log10(total + distinct + 1)
+    levels = _levels(train, words, total, distinct, tables)
+    values = tables.write(_values(levels), "values")
+    frequent, n = _gathered(words.filter(F.col("n") >= max(1, math.ceil(total / WORDS))))
+    hot, v = _gathered(values.filter(F.col("n") >= total / HOT).select("key", "v"))
+    sent = rows.sparkSession.sparkContext.broadcast((frequent, np.log10(n + 1.0) - scale, _keys(values), hot, v))
+    columns = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, more double, rare array<long>, times array<int>, grams array<long>, gram_times array<int>"
+    scored = tables.write(rows.mapInArrow(_score(sent, len(levels) + 1), columns), "scored")
+
+    def listed(keys: str, times: str) -> DataFrame:
+        return scored.select("row", F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col(times).alias("times"))).alias("x")).select("row", "x.key", "x.times")
+
+    known, log = F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)), F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1) - F.lit(scale)))
+    rare = listed("rare", "times").join(words, "key", "left").groupBy("row").agg(known.alias("_known"), log.alias("_log"))
+    cold = listed("grams", "gram_times").join(values.select("key", "v"), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("v")).alias("_more"))
+    out = scored.drop("rare", "times", "grams", "gram_times").join(rare, "row", "left").join(cold, "row", "left")
+    zero = lambda name: F.coalesce(F.col(name), F.lit(0.0))
+    base = F.col("base") + zero("_log")
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("more") + zero("_more")).alias("score"))
