@@ -19,6 +19,8 @@ from recbench.llm.packing import pack
 
 #: Least share of the likeliest language; below it, or without a letter, a document is rejected.
 LEAST_SHARE = 0.5
+#: Similarity of near-duplicates in percent.
+NEAR = 80
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +38,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
-    kept = near_dedup(docs, Tables(spark)).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    """One document of each component of near-duplicates: of five-word shingle sets with a similarity of 0.8 or more."""
+    kept = near_dedup(docs, Tables(spark), percent=NEAR).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,45 +16,85 @@ from . import textkernel
 from .common import Tables
 from .components import connected_components
 
-#: Two collections of SIDE keys of DEPTH MinHash values each; every pair of keys, one from either, is a table.
-#: So SIDE * SIDE tables cost 2 * SIDE * DEPTH MinHash values. At a similarity of 0.85, a pair meets in no table with a
-#: probability of 2 * (1 - 0.85 ** DEPTH) ** SIDE, which is 0.0004 here.
-SIDE, DEPTH = 9, 3
-#: Pairs that agree in fewer of the 54 MinHash values aren't confirmed; at a similarity of 0.85 that has a chance of 1e-4.
-LEAST_AGREEING = 35
+#: MinHash values of a key.
+DEPTH = 3
+#: Most probable shares of pairs at the very threshold that meet in no table, and that the signature filter drops.
+UNMET, DROPPED = 4e-4, 1e-4
 #: Buckets of more classes bring 32-bit shingle hashes along when they are searched whole, so that only pairs that are
 #: links, but for a chance collision of hashes, come out to be confirmed.
 SMALL = 8
 #: Members of one block of a bucket that is searched whole.
 BLOCK = 1024
-_RANDOM = np.random.default_rng(20240602)
-_TIMES = _RANDOM.integers(0, 1 << 64, size=2 * SIDE * DEPTH, dtype=np.uint64) | np.uint64(1)
-_PLUS = _RANDOM.integers(0, 1 << 64, size=2 * SIDE * DEPTH, dtype=np.uint64)
 
 
-def signature(x: np.ndarray) -> np.ndarray:
+@dataclass(frozen=True)
+class Shape:
+    """Two collections of `side` keys of DEPTH MinHash values each; every pair of keys, one from either, is a table.
+
+    So side * side tables cost 2 * side * DEPTH MinHash values. Pairs that agree in fewer than `least` of these aren't
+    confirmed.
+    """
+
+    side: int
+    least: int
+
+    @property
+    def values(self) -> int:
+        return 2 * self.side * DEPTH
+
+
+@functools.cache
+def shape(percent: int) -> Shape:
+    """For links at a similarity of percent / 100: a pair meets in no table with a probability of
+    2 * (1 - similarity ** DEPTH) ** side, and agrees in a binomial number of values.
+    """
+    s, side = percent / 100, 1
+    if not 0 < s < 1:
+        raise ValueError(f"percent must be within 1..99: {percent}")
+    while 2 * (1 - s**DEPTH) ** side > UNMET:
+        side += 1
+    n, least, below = 2 * side * DEPTH, 0, 0.0
+    while (below := below + math.comb(n, least) * s**least * (1 - s) ** (n - least)) <= DROPPED:
+        least += 1
+    return Shape(side, least)
+
+
+@functools.cache
+def _random(values: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20240602)
+    return rng.integers(0, 1 << 64, size=values, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 64, size=values, dtype=np.uint64)
+
+
+#: Makes the second half of a set's fingerprint differ from the first.
+_FINGER = _random(2 * 9 * DEPTH)[1][0]
+
+
+def signature(x: np.ndarray, values: int) -> np.ndarray:
     """The MinHash values of a set of hashes; a large set goes in slices."""
-    out = None
+    (times, plus), out = _random(values), None
     for i in range(0, len(x), 4096):
-        part = (x[i : i + 4096, None] * _TIMES + _PLUS).min(axis=0)
+        part = (x[i : i + 4096, None] * times + plus).min(axis=0)
         out = part if out is None else np.minimum(out, part)
     return out
 
 
 def half_keys(values: np.ndarray) -> np.ndarray:
-    """(rows, 2 * SIDE) keys from (rows, 2 * SIDE * DEPTH) MinHash values."""
-    parts = values.reshape(len(values), 2 * SIDE, DEPTH)
+    """(rows, 2 * side) keys from (rows, 2 * side * DEPTH) MinHash values."""
+    parts = values.reshape(len(values), -1, DEPTH)
     return textkernel.combine([parts[:, :, i] for i in range(DEPTH)])
 
 
 def table_keys(halves: np.ndarray) -> np.ndarray:
-    """(rows, SIDE * SIDE) keys: every pair of a key of the first collection and one of the second."""
-    at = np.arange(SIDE * SIDE, dtype=np.uint64)
-    left, right = np.repeat(halves[:, :SIDE], SIDE, axis=1), np.tile(halves[:, SIDE:], (1, SIDE))
+    """(rows, side * side) keys: every pair of a key of the first collection and one of the second."""
+    side = halves.shape[1] // 2
+    at = np.arange(side * side, dtype=np.uint64)
+    left, right = np.repeat(halves[:, :side], side, axis=1), np.tile(halves[:, side:], (1, side))
     return textkernel.combine([left, right, np.broadcast_to(at, left.shape)])
 
 
-def _sketch(size: int):
+def _sketch(size: int, of: Shape):
+    count = of.values
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, n, fa, fb, sigs = batch.column(0), [], [], [], []
@@ -59,8 +102,8 @@ def _sketch(size: int):
                 for x in textkernel.shingle_sets(w, size):
                     n.append(len(x))
                     fa.append(int(x.sum(dtype=np.uint64)))
-                    fb.append(int(textkernel.mix(x ^ _PLUS[0]).sum(dtype=np.uint64)))
-                    sigs.append(signature(x) if len(x) else np.zeros(len(_TIMES), np.uint64))
+                    fb.append(int(textkernel.mix(x ^ _FINGER).sum(dtype=np.uint64)))
+                    sigs.append(signature(x, count) if len(x) else np.zeros(count, np.uint64))
             if not n:
                 continue
             values = np.array(sigs, dtype=np.uint64)
@@ -73,23 +116,29 @@ def _sketch(size: int):
     return run
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cid, key, at) of every table, from (cid, halves)."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 2000):
-            part = batch.slice(i, 2000)
-            halves = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(part.num_rows, 2 * SIDE)
-            keys = table_keys(halves)
-            cid = np.repeat(part.column(0).to_numpy(zero_copy_only=False), SIDE * SIDE)
-            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(keys.reshape(-1).view(np.int64))], ["cid", "key"])
+def _buckets(side: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (cid, key, at) of every table, from (cid, halves)."""
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.slice(i, 2000)
+                halves = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(part.num_rows, 2 * side)
+                keys = table_keys(halves)
+                cid = np.repeat(part.column(0).to_numpy(zero_copy_only=False), side * side)
+                yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(keys.reshape(-1).view(np.int64))], ["cid", "key"])
 
+    return run
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (b, a, low_a, low_b) the pairs that agree in enough MinHash values."""
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, len(_TIMES)) for i in (2, 3))
-        pairs = pa.RecordBatch.from_arrays([batch.column(1), batch.column(0)], ["a", "b"])
-        yield pairs.filter(pa.array((x == y).sum(axis=1) >= LEAST_AGREEING))
+
+def _agreeing(of: Shape):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows (b, a, low_a, low_b) the pairs that agree in enough MinHash values."""
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, of.values) for i in (2, 3))
+            pairs = pa.RecordBatch.from_arrays([batch.column(1), batch.column(0)], ["a", "b"])
+            yield pairs.filter(pa.array((x == y).sum(axis=1) >= of.least))
+
+    return run
 
 
 def _grams(size: int):
@@ -100,7 +149,7 @@ def _grams(size: int):
                 for x in textkernel.shingle_sets(w, size):
                     short.append((x >> np.uint64(32)).astype(np.uint32).tobytes())
                     fa.append(int(x.sum(dtype=np.uint64)))
-                    fb.append(int(textkernel.mix(x ^ _PLUS[0]).sum(dtype=np.uint64)))
+                    fb.append(int(textkernel.mix(x ^ _FINGER).sum(dtype=np.uint64)))
                     grams.append(x.tobytes())
                 u64 = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays([u64(fa), u64(fb), pa.array(grams, pa.binary()), pa.array(short, pa.binary())], ["fa", "fb", "grams", "short"])
@@ -138,14 +187,14 @@ def _block_pairs(percent: int, key: int, cid: np.ndarray, component: np.ndarray,
         distinct, at = np.unique(np.concatenate(sets), return_inverse=True)
         cuts = np.cumsum([len(x) for x in sets])
         places, marked = np.split(at, cuts[:-1]), np.zeros(len(distinct), bool)
-    members = np.flatnonzero(role != 1)
+    members, side, least = np.flatnonzero(role != 1), shape(percent).side, shape(percent).least
     first = int((table_keys(halves[:1])[0] == np.uint64(key & (1 << 64) - 1)).argmax())
     out: list[tuple[np.ndarray, np.ndarray]] = [(cid[:0], cid[:0])]
     for i in np.flatnonzero(role == 1):
         m = members[(component[members] != component[i]) & ((role[members] == 0) | (cid[members] > cid[i]))]
-        m = m[(low[m] == low[i]).sum(axis=1) >= LEAST_AGREEING]
+        m = m[(low[m] == low[i]).sum(axis=1) >= least]
         same = halves[m] == halves[i]
-        m = m[same[:, :SIDE].argmax(axis=1) * SIDE + same[:, SIDE:].argmax(axis=1) == first]
+        m = m[same[:, :side].argmax(axis=1) * side + same[:, side:].argmax(axis=1) == first]
         if short[0] and len(m):
             marked[places[i]] = True
             common = np.array([np.count_nonzero(marked[places[j]]) for j in m])
@@ -161,8 +210,8 @@ def _cross_pairs(percent: int):
     def pairs(t: pa.Table) -> pa.RecordBatch:
         n = t.num_rows
         key, block, cid, component, role = (t.column(i).to_numpy() for i in range(5))
-        halves = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint64).reshape(n, 2 * SIDE)
-        low = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(n, len(_TIMES))
+        halves = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint64).reshape(n, -1)
+        low = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(n, -1)
         cut = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
         short = t.column(7).to_pylist()
         found = [_block_pairs(percent, int(key[i]), cid[i:j], component[i:j], role[i:j], halves[i:j], low[i:j], short[i:j]) for i, j in zip([0, *cut], [*cut, n], strict=True)]
@@ -209,15 +258,16 @@ def near_dedup(docs: DataFrame, tables: Tables, shingle: int = 5, percent: int =
     and are linked with nothing. A null id is never the smallest; a component without any id has a null component_id
     and is kept. Rows that repeat an id get the same result. Empty table: no rows. Other columns are ignored.
     """
+    of = shape(percent)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = tables.write(rows.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, fa long, fb long, halves binary, low binary"), "sketch")
+    sketch = tables.write(rows.mapInArrow(_sketch(shingle, of), "doc_id long, n_shingles long, fa long, fb long, halves binary, low binary"), "sketch")
     full = sketch.filter("n_shingles > 0")
     least = full.groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"))
     least = least.select(F.col("fa").alias("_fa"), F.col("fb").alias("_fb"), "rep")
     met = full.join(least, (F.col("fa") == F.col("_fa")) & (F.col("fb") == F.col("_fb")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     classes = met.dropDuplicates(["fa", "fb"]).select(F.monotonically_increasing_id().alias("cid"), "rep", "fa", "fb", "halves", "low")
     classes = tables.write(classes, "classes")
-    keyed = classes.select("cid", "halves").mapInArrow(_buckets, "cid long, key long")
+    keyed = classes.select("cid", "halves").mapInArrow(_buckets(of.side), "cid long, key long")
     keyed = tables.write(keyed, "keyed")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("cid").bitwiseXOR(F.col("key"))).alias("m")).filter("n > 1").select("key", "n", F.col("m").bitwiseXOR(F.col("key")).alias("pivot"))
     members = tables.write(keyed.join(shared, "key"), "members")
@@ -225,7 +275,7 @@ def near_dedup(docs: DataFrame, tables: Tables, shingle: int = 5, percent: int =
 
     low = classes.select("cid", "low")
     first = members.filter("cid != pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
-    agreeing = first.join(low.toDF("a", "low_a"), "a").join(low.toDF("b", "low_b"), "b").mapInArrow(_agreeing, "a long, b long")
+    agreeing = first.join(low.toDF("a", "low_a"), "a").join(low.toDF("b", "low_b"), "b").mapInArrow(_agreeing(of), "a long, b long")
     some = members.select("cid").distinct().join(classes.select("cid", "rep", "fa", "fb"), "cid")
     text = rows.join(some.select(F.col("rep").alias("_rep")).distinct(), F.col("doc_id").eqNullSafe(F.col("_rep"))).select("doc_id", "text")
     grams = text.mapInArrow(_grams(shingle), "fa long, fb long, grams binary, short binary")
