@@ -92,6 +92,12 @@ def r7_bayes_components(spark, d):
     return rounded(_parts(spark, d).select("user", "item", F.explode("parts").alias("x")).select("user", "item", "x.*").filter("rating = 5"), "p")
 
 
+@query("r7_bayes_all_components", f'with {BAYES_SQL} select "user", item, rating, round(p, 6) as p from parts')
+def r7_bayes_all_components(spark, d):
+    """The shares of all ratings in every cell."""
+    return rounded(_parts(spark, d).select("user", "item", F.explode("parts").alias("x")).select("user", "item", "x.*"), "p")
+
+
 @query("r8_bayes_map", f'with {BAYES_SQL} select "user", item, arg_min(rating, (-round(p, 12), rating)) as prediction from parts group by 1, 2')
 def r8_bayes_map(spark, d):
     parts = _parts(spark, d).withColumn("parts", F.transform("parts", lambda x: F.struct(x["rating"].alias("rating"), F.round(x["p"], 12).alias("p"))))
@@ -180,20 +186,17 @@ def r12_kmeans(spark, d):
 
 @query("r1_als")
 def r1_als(spark, d):
-    train, test = X.split(X.ratings(spark, d))
-    return factor.als(train, test)
+    return factor.als(_train(spark, d, MARKETS))
 
 
 @query("r1_als_implicit")
 def r1_als_implicit(spark, d):
-    train, test = X.split(X.ratings(spark, d).withColumn("rating", F.lit(1.0)))
-    return factor.als(train, test)
+    return factor.als(_train(spark, d, MARKETS).withColumn("rating", F.lit(1.0)))
 
 
 @query("r6_library_bayes")
 def r6_library_bayes(spark, d):
-    train, test = X.split(X.ratings(spark, d))
-    return bayes.multinomial(train, test)
+    return bayes.multinomial(_train(spark, d, MARKETS))
 
 
 @query("r15_random")
