@@ -191,7 +191,7 @@ def git_log(lines: DataFrame) -> DataFrame:
     A commit's header is a line `author<tab>mail` behind the mark "@@"; the files it touched follow.
     """
     marked = _blocks(lines, F.col("value").startswith("@@"), "path").filter("block > 0")
-    head = F.when(F.col("value").startswith("@@"), F.split(F.substring("value", 3, 1 << 20), "\t"))
+    head = F.when(F.col("value").startswith("@@"), F.split(F.expr("substring(value, 3)"), "\t"))
     whole = Window.partitionBy("path", "block")
     rows = marked.withColumn("head", F.max(head).over(whole)).filter(~F.col("value").startswith("@@") & (F.trim("value") != ""))
     author = rows.select(ascii_only(F.col("head")[0]).alias("author"), mail_address(F.col("head")[1]).alias("author_mail"), F.trim("value").alias("filename"))
@@ -209,7 +209,7 @@ def git_blame(lines: DataFrame) -> DataFrame:
     first = Window.partitionBy("path", "block").orderBy("number")
     rows = rows.withColumn("at", F.row_number().over(first))
     key = F.when(F.col("at") == 1, F.lit("commit")).when(F.col("value").startswith("\t"), F.lit("line")).otherwise(F.substring_index("value", " ", 1))
-    value = F.when(F.col("at") == 1, F.col("value")).when(F.col("value").startswith("\t"), F.substring("value", 2, 1 << 20)).otherwise(F.regexp_replace("value", r"^\S+ ?", ""))
+    value = F.when(F.col("at") == 1, F.col("value")).when(F.col("value").startswith("\t"), F.expr("substring(value, 2)")).otherwise(F.regexp_replace("value", r"^\S+ ?", ""))
     blocks = rows.groupBy("path", "block").agg(F.map_from_entries(F.collect_list(F.struct(key.alias("k"), value.alias("v")))).alias("m")).filter(F.map_contains_key("m", "line"))
     m = lambda k: F.element_at("m", F.lit(k))
     head = F.split(m("commit"), " ")
