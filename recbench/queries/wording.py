@@ -141,7 +141,7 @@ def e2_closest_words(spark, d):
 
 @query("e3_word2vec")
 def e3_word2vec(spark, d):
-    return embeddings.train_on_code(X.table(spark, d, "documents"), "text", size=16, least=25)
+    return embeddings.train_on_code(X.table(spark, d, "documents"), "text", least=25)
 
 
 @query("x10_x12_numbers", "select event_id, round(log2(greatest(value - 50, 1e-100)), 6) as l, round_even(value, 0) as r, greatest(10.0, least(60.0, value)) as c from events")
