@@ -5,32 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import scratch
 from .interactions import ids
 
 #: Stands for a category that no path reaches.
 UNREACHED = 1e9
 
 
-def distances(edges: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
-    """(root, node, nodes): nodes on the shortest directed path from each root to each node it reaches.
+#: Rounds of a search after which all that it has seen is written as one table.
+ROUNDS = 8
 
-    Breadth first: each round joins the frontier with the edges and keeps what is new. The table of rounds is cached,
-    and its lineage is cut every few rounds where a checkpoint folder is set.
+
+def _cut(rows: DataFrame) -> DataFrame:
+    path = scratch(rows.sparkSession, "rounds")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def distances(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node, nodes): nodes on the shortest directed path from each root to each node it reaches, however deep.
+
+    Breadth first: each round joins the frontier with the edges and keeps what is new, until nothing is. New rows are
+    written each round, and all rows so far every ROUNDS rounds, so that no plan grows with the depth.
     """
     spark = edges.sparkSession
     steps = edges.select(F.col("parent").alias("node"), F.col("child").alias("next")).distinct()
     seen = roots.select(F.col("root"), F.col("root").alias("node"), F.lit(1).cast("long").alias("nodes")).distinct()
     front, depth = seen, 1
-    can_cut = bool(spark.sparkContext.getCheckpointDir())
-    while depth < most:
+    while True:
         depth += 1
         new = front.join(steps, "node").select("root", F.col("next").alias("node")).distinct().join(seen.select("root", "node"), ["root", "node"], "left_anti")
         new = new.withColumn("nodes", F.lit(depth).cast("long"))
-        new = new.checkpoint() if can_cut and depth % 8 == 0 else new.cache()
+        new = _cut(new)
         if new.isEmpty():
-            break
+            return seen
         seen, front = seen.unionByName(new), new
-    return seen
+        seen = _cut(seen) if depth % ROUNDS == 0 else seen
 
 
 def distance_vectors(edges: DataFrame, roots: list[str]) -> DataFrame:
@@ -55,19 +65,20 @@ def reachable(edges: DataFrame, root: str) -> DataFrame:
     return edges.join(nodes, "parent", "left_semi").distinct()
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, most: int = 100) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
     """One row (path) with the names on a shortest path, the least in their order among several; no row if there is none."""
     steps = edges.select(F.col("parent").alias("at"), F.col("child").alias("next")).distinct()
     front = edges.sparkSession.createDataFrame([(start, [start])], "at string, path array<string>")
-    seen = front.select("at")
-    for _ in range(most):
-        if not front.filter(F.col("at") == end).isEmpty():
-            break
+    seen, depth = front.select("at"), 1
+    while front.filter(F.col("at") == end).isEmpty():
+        depth += 1
         front = front.join(steps, "at").groupBy("next").agg(F.min(F.concat("path", F.array("next"))).alias("path")).withColumnRenamed("next", "at")
-        front = front.join(seen, "at", "left_anti").cache()
+        front = front.join(seen, "at", "left_anti")
+        front = _cut(front)
         if front.isEmpty():
             break
         seen = seen.unionByName(front.select("at"))
+        seen = _cut(seen) if depth % ROUNDS == 0 else seen
     return front.filter(F.col("at") == end).select("path")
 
 
