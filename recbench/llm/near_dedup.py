@@ -19,7 +19,7 @@ from .components import connected_components
 #: MinHash values of a key.
 DEPTH = 3
 #: Most probable shares of pairs at the very threshold that meet in no table, and that the signature filter drops.
-UNMET, DROPPED = 4e-4, 1e-4
+UNMET, DROPPED = 4e-4, 1e-6
 #: Buckets of more classes bring 32-bit shingle hashes along when they are searched whole, so that only pairs that are
 #: links, but for a chance collision of hashes, come out to be confirmed.
 SMALL = 8
@@ -46,14 +46,15 @@ class Shape:
 @functools.cache
 def shape(percent: int) -> Shape:
     """For links at a similarity of percent / 100: a pair meets in no table with a probability of
-    2 * (1 - similarity ** DEPTH) ** side, and agrees in a binomial number of values.
+    2 * (1 - similarity ** DEPTH) ** side, and agrees in a binomial number of values, of which one byte
+    each is compared.
     """
     s, side = percent / 100, 1
     if not 0 < s < 1:
         raise ValueError(f"percent must be within 1..99: {percent}")
     while 2 * (1 - s**DEPTH) ** side > UNMET:
         side += 1
-    n, least, below = 2 * side * DEPTH, 0, 0.0
+    n, least, below, s = 2 * side * DEPTH, 0, 0.0, s + (1 - s) / 256
     while (below := below + math.comb(n, least) * s**least * (1 - s) ** (n - least)) <= DROPPED:
         least += 1
     return Shape(side, least)

@@ -30,3 +30,7 @@ def test_shape_keeps_links_at_the_threshold(percent):
     shape = near_dedup.shape(percent)
     assert 2 * (1 - (percent / 100) ** near_dedup.DEPTH) ** shape.side <= near_dedup.UNMET
     assert percent != 85 or shape.side == 9
+
+
+def test_filter_keeps_links_at_the_threshold():
+    assert near_dedup.shape(85).least <= 32
