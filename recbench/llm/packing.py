@@ -58,6 +58,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of hashes, sorted
+        self.checks = np.zeros(0, np.uint64)
         self.ends = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
         self.used = 0
@@ -153,7 +154,8 @@ class Encoder:
     def columns(self, column: pa.Array) -> Iterator[list[np.ndarray]]:
         """The ids of each text of a column, in lists of some texts at a time.
 
-        In plain rows chunks are told apart by hash, so that no string is made for a chunk that is known.
+        In plain rows chunks are told apart by hash, so that no string is made for a chunk that is known. A chunk is a
+        known one only if a second hash says so too; a row where it doesn't is encoded without the table.
         """
         for w in textkernel.words(column, lower=False):
             plain = self._plain(w)
@@ -162,7 +164,7 @@ class Encoder:
             before = w.data[np.maximum(w.start[mine] - 1, 0)]
             lead = np.where(before == 32, np.uint64(1), np.uint64(2))
             lead[np.searchsorted(mine, w.row_offsets[:-1][plain])] = np.uint64(3)
-            hashes = textkernel.mix(w.hashes[mine] + lead)
+            hashes, checks = textkernel.mix(w.hashes[mine] + lead), textkernel.mix(w.checks(mine) + lead)
             distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
             if self.used > CACHE:
                 self._forget()
@@ -177,6 +179,7 @@ class Encoder:
                 place, ends, ids = self._encoded(strings)
                 places = np.array([place[x] for x in strings], np.int64) + self.used
                 self.keys, self.place = np.insert(self.keys, at[new], distinct[new]), np.insert(self.place, at[new], places)
+                self.checks = np.insert(self.checks, at[new], checks[first[new]])
                 self.ends, self.ids = np.concatenate([self.ends, self.ends[-1] + ends[1:]]), np.concatenate([self.ids, ids])
                 self.used += len(strings)
                 at = np.searchsorted(self.keys, distinct)
@@ -185,7 +188,8 @@ class Encoder:
             out: list = [None] * len(plain)
             for k, row in enumerate(np.flatnonzero(plain)):
                 out[row] = ids[cuts[k] : cuts[k + 1]]
-            rest = np.flatnonzero(~plain)
+            mistaken = np.searchsorted(w.row_offsets, mine[self.checks[at][inverse] != checks] if len(distinct) else mine, "right") - 1
+            rest = np.union1d(np.flatnonzero(~plain), mistaken)
             for row, x in zip(rest, self.encode([t or "" for t in column.slice(w.first, w.last - w.first).take(pa.array(rest)).to_pylist()]), strict=True):
                 out[row] = x
             yield out

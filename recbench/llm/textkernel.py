@@ -1,13 +1,15 @@
 """Words of many texts as 64-bit hashes, computed over whole Arrow buffers.
 
-A word is a run of bytes other than space and the control characters 9 to 13, lower-cased A to Z. Its hash is a
-polynomial over its bytes with random byte values, modulo 2^64, then mixed; two words differ in it but for a chance
-of about 2^-60. Texts are taken in chunks of about CHUNK bytes, so temporary arrays stay small; a longer text is a
-chunk of its own, whole.
+A word is a run of bytes other than space and the control characters 9 to 13, lower-cased A to Z. Its hash starts from
+its length and takes in eight bytes at a time, each time by a mixture that isn't linear in them; words longer than
+LANES * 8 bytes are hashed by BLAKE2. Two different words have one hash with a chance of about 2^-64; tables that must
+not mistake one word for another look at a second, independent hash as well (Words.checks). Texts are taken in chunks
+of about CHUNK bytes, so temporary arrays stay small; a longer text is a chunk of its own, whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,9 +21,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = np.random.default_rng(20240601).integers(1, 1 << 64, size=256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Words of more blocks of eight bytes are hashed one by one.
+LANES = 32
+#: The bytes of a block that belong to the word, by their number.
+_OWN = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: The fifth and further multipliers of mixtures of several hashes.
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -36,20 +39,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of the base and of its inverse, as many as the longest chunk so far needs."""
-
-    up = down = np.ones(1, dtype=np.uint64)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n + 1:
-            size = max(n + 1, CHUNK + CHUNK // 4)
-            cls.up, cls.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, base, np.uint64))]) for base in (_BASE, _BASE_INVERSE))
-        return cls.up, cls.down
-
-
-powers = _Powers.of
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Hashes of the words at data[start:end]."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    blocks = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from every place on
+    length = end - start
+    out, step = mix(length.astype(np.uint64) * _STEP + np.uint64(seed)), np.uint64((2 * seed + 1) * int(_STEP) & (1 << 64) - 1)
+    at, lane = np.flatnonzero(length <= 8 * LANES), 0
+    while len(at):
+        left = length[at] - 8 * lane
+        own = blocks[start[at] + 8 * lane] & _OWN[np.minimum(left, 8)]
+        out[at] = mix((out[at] ^ own) * step + np.uint64(lane))
+        at, lane = at[left > 8], lane + 1
+    for i in np.flatnonzero(length > 8 * LANES):
+        told = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest()
+        out[i] = int.from_bytes(told, "little")
+    return out
 
 
 @dataclass
@@ -68,6 +74,10 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
+    def checks(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Second hashes of words, independent of the first."""
+        return word_hashes(self.data, self.start[at], self.end[at], seed=2)
+
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null is empty."""
@@ -103,7 +113,6 @@ def words(column: pa.Array, lower: bool = True) -> Iterator[Words]:
             none = np.zeros(0, np.int64)
             yield Words(first, last, own, none, none, np.zeros(0, np.uint64), np.zeros(last - first + 1, np.int64), rows)
             continue
-        up, down = _Powers.of(n)
         inside = ~_SPACE[own]
         before = np.empty(n, dtype=bool)
         before[0] = False
@@ -114,10 +123,7 @@ def words(column: pa.Array, lower: bool = True) -> Iterator[Words]:
         after[:-1] = inside[1:]
         after[rows[1:][rows[1:] > 0] - 1] = False
         start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-        total = np.empty(n + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(_BYTE[own] * up[:n], out=total[1:])
-        yield Words(first, last, own, start, end, mix((total[end] - total[start]) * down[start]), np.searchsorted(start, rows), rows)
+        yield Words(first, last, own, start, end, word_hashes(own, start, end), np.searchsorted(start, rows), rows)
 
 
 def combine(parts: list[np.ndarray]) -> np.ndarray:
