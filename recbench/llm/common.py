@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +48,24 @@ def lower_ascii(col: Column) -> Column:
 def held_out(id_col: Column, modulus: int, remainder: int = 2) -> Column:
     """Whether a row belongs to the held-out fold; a null id belongs to the training fold."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def released(run: Callable) -> Callable:
+    """run, for mapInArrow; at the end of a task what it freed goes back to the machine, as workers live on for other stages."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc
+            return
+
+    return task
+
+
+def sliced(batch: pa.RecordBatch, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """A large batch in parts, so that little of it is held outside the heap at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)

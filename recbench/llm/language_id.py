@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import global_rank
 from . import textkernel
-from .common import Tables, held_out
+from .common import Tables, held_out, released
 from .token_counts import MARK, default_vocabulary
 from .wordtable import WordTable
 
@@ -21,8 +22,16 @@ ADDED = 0.5
 UNKNOWN = 1e-7
 #: Words up to so many characters can be summed without scaling.
 PLAIN = 38
-#: Labels that may be learned; the model takes 8 bytes for each and piece, and is sent to all workers.
-MOST_LABELS = 500
+#: Base of the hashes of pieces, which are short strings of code points; its powers and those of its inverse.
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))]) for base in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+#: Labels of one model in a worker, which takes 8 bytes for each label and piece; more labels go in several passes.
+LABELS = 128
 
 
 def _pieces(path: str) -> tuple[object, list[tuple[int, str]]]:
@@ -81,7 +90,7 @@ class Marginal:
     def _prefixes(cls, codes: np.ndarray) -> np.ndarray:
         """Running polynomial hashes of rows of code points."""
         out = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
-        np.cumsum(textkernel.mix(codes.astype(np.uint64) + np.uint64(1)) * textkernel.powers(codes.shape[1])[0][: codes.shape[1]], axis=1, out=out[:, 1:])
+        np.cumsum(textkernel.mix(codes.astype(np.uint64) + np.uint64(1)) * _powers(codes.shape[1])[0][: codes.shape[1]], axis=1, out=out[:, 1:])
         return out
 
     @classmethod
@@ -99,7 +108,7 @@ class Marginal:
         """Words of one length, in the plain domain, all at once."""
         n, m = len(words[0]), len(words)
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n)
-        sums, down = self._prefixes(codes), textkernel.powers(n)[1]
+        sums, down = self._prefixes(codes), _powers(n)[1]
         alpha = np.zeros((n + 1, m, self.languages))
         alpha[0] = 1.0
         for i in range(1, n + 1):
@@ -117,7 +126,7 @@ class Marginal:
         """One word of any length, with scaling."""
         n = len(word)
         codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(1, n)
-        sums, down = self._prefixes(codes)[0], textkernel.powers(n)[1]
+        sums, down = self._prefixes(codes)[0], _powers(n)[1]
         window, scale = [np.ones(self.languages)], np.zeros(self.languages)
         for i in range(1, n + 1):
             first = max(0, i - self.longest)
@@ -150,23 +159,21 @@ class Marginal:
         return out
 
 
-def _predict(languages: list[str], pieces: list[str], probabilities, carried: int):
+def _predict(languages: list[str], pieces: list[str], probabilities):
+    """Rows (text, best, top, total, ...) with the likeliest label so far, its log and the sum over labels relative to it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(Marginal(pieces, probabilities.value).scores)
-        names = np.array([*languages, "und"], dtype=object)
+        table, names = WordTable(Marginal(pieces, probabilities.value).scores), np.array(languages, dtype=object)
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
-                sums = table.sums(part.column(2))
-                if not len(sums):
-                    continue
-                logs = sums[:, 1:]
-                best = logs.argmax(axis=1)
-                score = 1.0 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
-                letters = part.column(3).to_numpy(zero_copy_only=False).astype(bool)
-                best, score = np.where(letters, best, len(languages)), np.where(letters, score, 0.0)
-                more = [part.column(4 + j) for j in range(carried)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names[best].tolist(), pa.string()), pa.array(score), *more], ["doc_id", "held_out", "lang_pred", "score", *(f"carried{j}" for j in range(carried))])
+                logs = table.sums(part.column(0))[:, 1:]
+                best, before, total = (part.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+                top = np.maximum(before, logs.max(axis=1))
+                total = total * np.exp(before - top) + np.exp(logs - top[:, None]).sum(axis=1)
+                best = np.where(top > before, names[logs.argmax(axis=1)], best)
+                told = [pa.array(best.tolist(), pa.string()), pa.array(top), pa.array(total)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *told, *part.columns[4:]], part.schema.names)
 
     return run
 
@@ -182,30 +189,38 @@ def identify_languages(docs: DataFrame, tables: Tables, train: DataFrame | None
 
     Null text, and text without a letter: "und", score 0. Null label: not learned from. Null id: not held
     out. Without any label to learn from, all is "und". Empty table: no rows. Other columns are ignored. The model has
-    one number for each piece and language; more than 500 labels raise an error.
+    one number for each piece and label; a worker holds that of LABELS labels at a time, and more labels take several
+    passes, with the likeliest so far handed on.
     """
     path = vocabulary or default_vocabulary()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), modulus).alias("held_out"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"), *([F.col(f"`{c}`").alias(f"carried{i}") for i, c in enumerate(docs.columns)] if carry else []))
-    kept = ", ".join(f"carried{i} {kind}" for i, (_, kind) in enumerate(docs.dtypes)) if carry else ""
+    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    carried = {c: f"carried{i}" for i, c in enumerate(docs.columns) if c != text_col} if carry else {}
+    rows = docs.select(
+        F.col(text_col).alias("text"), F.lit(None).cast("string").alias("best"), F.lit(-float("inf")).alias("top"), F.lit(0.0).alias("total"),
+        F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), modulus).alias("held_out"), letters.alias("letters"), *[F.col(f"`{c}`").alias(name) for c, name in carried.items()],
+    )
     known = docs if train is None else train
     known = known.filter(~held_out(F.col(id_col), modulus)).filter(f"{lang_col} is not null and {text_col} is not null")
-    counts = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count_pieces(path), "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    counts = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(released(_count_pieces(path)), "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     counts = tables.write(counts, "pieces")
-
-    def whole(out: DataFrame) -> DataFrame:
-        return out.select("doc_id", "held_out", "lang_pred", "score", F.struct(*[F.col(f"carried{i}").alias(c) for i, c in enumerate(docs.columns)]).alias("row")) if carry else out
-
-    languages = sorted((r[0] for r in counts.select("lang").distinct().limit(MOST_LABELS + 1).collect()), key=lambda x: x.encode())
-    if len(languages) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels to learn")
-    if not languages:
-        return whole(rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), *[c for c in rows.columns if c.startswith("carried")]))
+    labels = tables.write(global_rank(counts.select("lang").distinct(), [F.col("lang")], "place"), "labels")
+    schema = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes)
     _, pieces = _pieces(path)
-    place, column = {i: k for k, (i, _) in enumerate(pieces)}, {x: k for k, x in enumerate(languages)}
-    model = np.full((len(pieces), len(languages)), ADDED)
-    for row in counts.collect():
-        if row["piece"] in place:
-            model[place[row["piece"]], column[row["lang"]]] += row["n"]
-    model /= model.sum(axis=0)
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-    return whole(rows.mapInArrow(_predict(languages, [p for _, p in pieces], sent, len(docs.columns) if carry else 0), "doc_id long, held_out boolean, lang_pred string, score double" + (f", {kept}" if carry else "")))
+    places = np.full(max(i for i, _ in pieces) + 1, -1)
+    places[[i for i, _ in pieces]] = np.arange(len(pieces))
+    for at in range(0, labels.count(), LABELS):
+        if at:  # only one model in a worker at a time
+            rows = tables.write(rows, f"pass-{at // LABELS}")
+        own = labels.filter((F.col("place") > at) & (F.col("place") <= at + LABELS))
+        languages = [r["lang"] for r in own.orderBy("place").collect()]
+        table = counts.join(own, "lang").select("piece", (F.col("place") - 1 - at).alias("label"), "n").toArrow()
+        piece, label, n = (x.to_numpy() for x in table.columns)
+        inside = places[piece] >= 0
+        model = np.full((len(pieces), len(languages)), ADDED)
+        np.add.at(model, (places[piece][inside], label[inside]), n[inside])
+        model /= model.sum(axis=0)
+        sent = rows.sparkSession.sparkContext.broadcast(model)
+        rows = rows.mapInArrow(released(_predict(languages, [p for _, p in pieces], sent)), schema)
+    said = F.col("letters") & F.col("best").isNotNull()
+    out = ["doc_id", "held_out", F.when(said, F.col("best")).otherwise("und").alias("lang_pred"), F.when(said, 1 / F.col("total")).otherwise(0.0).alias("score")]
+    return rows.select(*out, *([F.struct(*[F.col(carried.get(c, "text")).alias(c) for c in docs.columns]).alias("row")] if carry else []))
