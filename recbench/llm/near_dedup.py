@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel
-from .common import Tables
+from .common import Tables, released, sliced
 from .components import connected_components
 
 #: MinHash values of a key.
@@ -23,8 +23,9 @@ UNMET, DROPPED = 4e-4, 1e-6
 #: Buckets of more classes bring 32-bit shingle hashes along when they are searched whole, so that only pairs that are
 #: links, but for a chance collision of hashes, come out to be confirmed.
 SMALL = 8
-#: Members of one block of a bucket that is searched whole.
-BLOCK = 1024
+#: A bucket that is searched whole is dealt into blocks of half so many members and shingles on average; a task unit is
+#: a pair of blocks. A block holds more than so many members with a chance of less than 1e-70.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -121,12 +122,12 @@ def _buckets(side: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (cid, key, at) of every table, from (cid, halves)."""
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
                 halves = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(part.num_rows, 2 * side)
                 keys = table_keys(halves)
                 cid = np.repeat(part.column(0).to_numpy(zero_copy_only=False), side * side)
-                yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(keys.reshape(-1).view(np.int64))], ["cid", "key"])
+                yield from sliced(pa.RecordBatch.from_arrays([pa.array(cid), pa.array(keys.reshape(-1).view(np.int64))], ["cid", "key"]))
 
     return run
 
@@ -179,41 +180,47 @@ def _confirm(percent: int):
 
 
 def _block_pairs(percent: int, key: int, cid: np.ndarray, component: np.ndarray, role: np.ndarray, halves: np.ndarray, low: np.ndarray, short: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a query (role 1) and a member of one block whose components differ and that meet here first.
+    """Pairs of members of two blocks, role 0 and 1, or of one (role 2) whose components differ and that meet here first.
 
     Where shingle hashes came along, only pairs similar enough by these.
     """
+    side, least = shape(percent).side, shape(percent).least
+    first = int((table_keys(halves[:1])[0] == np.uint64(key & (1 << 64) - 1)).argmax())
     if short[0]:
         sets = [np.frombuffer(x, np.uint32) for x in short]
+        size = np.array([len(x) for x in sets])
         distinct, at = np.unique(np.concatenate(sets), return_inverse=True)
-        cuts = np.cumsum([len(x) for x in sets])
-        places, marked = np.split(at, cuts[:-1]), np.zeros(len(distinct), bool)
-    members, side, least = np.flatnonzero(role != 1), shape(percent).side, shape(percent).least
-    first = int((table_keys(halves[:1])[0] == np.uint64(key & (1 << 64) - 1)).argmax())
+        starts, marked = np.cumsum(size) - size, np.zeros(len(distinct), bool)
     out: list[tuple[np.ndarray, np.ndarray]] = [(cid[:0], cid[:0])]
-    for i in np.flatnonzero(role == 1):
-        m = members[(component[members] != component[i]) & ((role[members] == 0) | (cid[members] > cid[i]))]
+    order = np.lexsort((cid, role))
+    others = order[role[order] > 0]
+    for i in order[role[order] != 1]:
+        m = others[component[others] != component[i]]
+        m = m[(role[i] == 0) | (cid[m] > cid[i])]
         m = m[(low[m] == low[i]).sum(axis=1) >= least]
         same = halves[m] == halves[i]
         m = m[same[:, :side].argmax(axis=1) * side + same[:, side:].argmax(axis=1) == first]
         if short[0] and len(m):
-            marked[places[i]] = True
-            common = np.array([np.count_nonzero(marked[places[j]]) for j in m])
-            marked[places[i]] = False
-            m = m[100 * common >= percent * (len(places[i]) + np.array([len(places[j]) for j in m]) - common)]
+            marked[at[starts[i] : starts[i] + size[i]]] = True
+            if len(m) < len(cid) // 16:
+                common = np.array([np.count_nonzero(marked[at[starts[j] : starts[j] + size[j]]]) for j in m])
+            else:
+                common = np.add.reduceat(marked[at], starts, dtype=np.int64)[m]
+            marked[at[starts[i] : starts[i] + size[i]]] = False
+            m = m[100 * common >= percent * (size[i] + size[m] - common)]
         out.append((np.full(len(m), cid[i]), cid[m]))
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
 def _cross_pairs(percent: int):
-    """Pairs (a, b) of the blocks of rows (key, block, cid, component, role, halves, low, short) sorted by (key, block)."""
+    """Pairs (a, b) of the units of rows (key, unit, cid, component, role, halves, low, short) sorted by (key, unit)."""
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         n = t.num_rows
-        key, block, cid, component, role = (t.column(i).to_numpy() for i in range(5))
+        key, unit, cid, component, role = (t.column(i).to_numpy() for i in range(5))
         halves = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint64).reshape(n, -1)
         low = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(n, -1)
-        cut = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
+        cut = np.flatnonzero((key[1:] != key[:-1]) | (unit[1:] != unit[:-1])) + 1
         short = t.column(7).to_pylist()
         found = [_block_pairs(percent, int(key[i]), cid[i:j], component[i:j], role[i:j], halves[i:j], low[i:j], short[i:j]) for i, j in zip([0, *cut], [*cut, n], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in (0, 1)], ["a", "b"])
@@ -223,11 +230,11 @@ def _cross_pairs(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
+            key, unit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cut = np.flatnonzero((key[1:] != key[:-1]) | (unit[1:] != unit[:-1])) + 1
             first = int(cut[0]) if len(cut) else batch.num_rows
             last = int(cut[-1]) if len(cut) else batch.num_rows
-            if kept and (kept[-1].column(0)[-1].as_py(), kept[-1].column(1)[-1].as_py()) != (int(key[0]), int(block[0])):
+            if kept and (kept[-1].column(0)[-1].as_py(), kept[-1].column(1)[-1].as_py()) != (int(key[0]), int(unit[0])):
                 yield pairs(pa.Table.from_batches(kept))
                 kept = []
             if not len(cut):
@@ -243,6 +250,33 @@ def _cross_pairs(percent: int):
     return run
 
 
+def deal(placed: DataFrame) -> DataFrame:
+    """Members (key, n, cid, component, size) of the buckets with several components, for each unit that they belong to.
+
+    A bucket's largest component and all its other members are dealt into blocks; a unit is a pair of blocks of the
+    others, or one of the others and one of the largest component. So each pair of members of different components
+    comes together in one unit, and a unit holds two blocks, however large the bucket is.
+    """
+    parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_size"))
+    most = F.max(F.struct("_n", "component", "_size"))
+    mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), most.alias("m"), F.sum("_n").alias("_n"), F.sum("_size").alias("_size")).filter("parts > 1")
+
+    def blocks(n, size):
+        full = (n > BLOCK) | (size > BLOCK_SHINGLES)
+        return F.when(full, F.greatest(F.ceil(2 * n / BLOCK), F.ceil(2 * size / BLOCK_SHINGLES))).otherwise(1).cast("int")
+
+    mixed = mixed.select("key", F.col("m.component").alias("largest"), blocks(F.col("m._n"), F.col("m._size")).alias("most"), blocks(F.col("_n") - F.col("m._n"), F.col("_size") - F.col("m._size")).alias("rest"))
+    unit = lambda i, j, role: F.struct((F.shiftleft(i.cast("long"), 32) + j.cast("long")).alias("unit"), role.cast("int").alias("role"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    in_most, own = F.col("component") == F.col("largest"), lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
+    a, rest, c = own(F.col("rest")), F.col("rest"), own(F.col("most"))
+    of_most = F.transform(upto(rest), lambda i: unit(i, rest + c, F.lit(1)))
+    with_rest = F.transform(upto(rest), lambda i: unit(F.least(i, a), F.greatest(i, a), F.when(i == a, 2).when(a < i, 0).otherwise(1)))
+    with_most = F.transform(upto(F.col("most")), lambda j: unit(a, rest + j, F.lit(0)))
+    dealt = placed.join(mixed, "key").withColumn("x", F.explode(F.when(in_most, of_most).otherwise(F.concat(with_rest, with_most))))
+    return dealt.select("key", "n", "x.unit", "cid", "component", "x.role")
+
+
 def near_dedup(docs: DataFrame, tables: Tables, shingle: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -251,9 +285,10 @@ def near_dedup(docs: DataFrame, tables: Tables, shingle: int = 5, percent: int =
     2. In every bucket of every table each class is paired with one member, another one in each table. Pairs whose
        MinHash values agree often enough are confirmed on the full sets, and components are formed.
     3. Buckets that still hold several components are searched whole: each member outside the bucket's largest
-       component is compared with all members of other components, in blocks of bounded size. The pairs that agree
-       often enough, each in the first table it meets in, are confirmed on the full sets. So no bucket is capped, and
-       within a component no more pairs are made than step 2 made.
+       component is compared with all members of other components, in units of two blocks of bounded size (see deal).
+       The pairs that agree often enough, each in the first table it meets in, are confirmed on the full sets. So no
+       bucket is capped, and within a component no more pairs are made than step 2 made. A bucket of n members of many
+       small components takes n * n / BLOCK rows, which is below n * BLOCK up to a million members.
 
     A link is 100 * intersection >= percent * union. Null and empty texts, and texts without words, have an empty set
     and are linked with nothing. A null id is never the smallest; a component without any id has a null component_id
@@ -261,14 +296,14 @@ def near_dedup(docs: DataFrame, tables: Tables, shingle: int = 5, percent: int =
     """
     of = shape(percent)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = tables.write(rows.mapInArrow(_sketch(shingle, of), "doc_id long, n_shingles long, fa long, fb long, halves binary, low binary"), "sketch")
+    sketch = tables.write(rows.mapInArrow(released(_sketch(shingle, of)), "doc_id long, n_shingles long, fa long, fb long, halves binary, low binary"), "sketch")
     full = sketch.filter("n_shingles > 0")
     least = full.groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"))
     least = least.select(F.col("fa").alias("_fa"), F.col("fb").alias("_fb"), "rep")
     met = full.join(least, (F.col("fa") == F.col("_fa")) & (F.col("fb") == F.col("_fb")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    classes = met.dropDuplicates(["fa", "fb"]).select(F.monotonically_increasing_id().alias("cid"), "rep", "fa", "fb", "halves", "low")
+    classes = met.dropDuplicates(["fa", "fb"]).select(F.monotonically_increasing_id().alias("cid"), "rep", "fa", "fb", F.col("n_shingles").alias("size"), "halves", "low")
     classes = tables.write(classes, "classes")
-    keyed = classes.select("cid", "halves").mapInArrow(_buckets(of.side), "cid long, key long")
+    keyed = classes.select("cid", "halves").mapInArrow(released(_buckets(of.side)), "cid long, key long")
     keyed = tables.write(keyed, "keyed")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("cid").bitwiseXOR(F.col("key"))).alias("m")).filter("n > 1").select("key", "n", F.col("m").bitwiseXOR(F.col("key")).alias("pivot"))
     members = tables.write(keyed.join(shared, "key"), "members")
@@ -276,36 +311,27 @@ def near_dedup(docs: DataFrame, tables: Tables, shingle: int = 5, percent: int =
 
     low = classes.select("cid", "low")
     first = members.filter("cid != pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
-    agreeing = first.join(low.toDF("a", "low_a"), "a").join(low.toDF("b", "low_b"), "b").mapInArrow(_agreeing(of), "a long, b long")
+    agreeing = first.join(low.toDF("a", "low_a"), "a").join(low.toDF("b", "low_b"), "b").mapInArrow(released(_agreeing(of)), "a long, b long")
     some = members.select("cid").distinct().join(classes.select("cid", "rep", "fa", "fb"), "cid")
     text = rows.join(some.select(F.col("rep").alias("_rep")).distinct(), F.col("doc_id").eqNullSafe(F.col("_rep"))).select("doc_id", "text")
-    grams = text.mapInArrow(_grams(shingle), "fa long, fb long, grams binary, short binary")
+    grams = text.mapInArrow(released(_grams(shingle)), "fa long, fb long, grams binary, short binary")
     sets = tables.write(grams.join(some.select("cid", "fa", "fb"), ["fa", "fb"]).dropDuplicates(["cid"]).select("cid", "grams", "short"), "sets")
 
     full_sets = sets.select("cid", "grams")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = pairs.join(full_sets.toDF("a", "grams_a"), "a").join(full_sets.toDF("b", "grams_b"), "b").select("a", "b", "grams_a", "grams_b")
-        return both.mapInArrow(_confirm(percent), "a long, b long")
+        return both.mapInArrow(released(_confirm(percent)), "a long, b long")
 
     links = tables.write(confirmed(agreeing), "links")
     first_labels = connected_components(links, tables, "first")
     labels = first_labels.withColumnRenamed("node", "cid")
-    placed = members.select("key", "n", "cid").join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    placed = tables.write(placed, "placed")
-    parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "component"))["component"].alias("largest")).filter("parts > 1").drop("parts")
-    mixed = placed.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    most = F.col("component") == F.col("largest")
-    everywhere = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.lit(1).alias("role")))
-    here = F.array(F.struct(own.alias("block"), F.when(most, 0).otherwise(2).alias("role")))
-    dealt = mixed.select("key", "n", "cid", "component", F.explode(F.when(most, here).otherwise(F.concat(here, everywhere))).alias("x")).select("key", "n", "x.block", "cid", "component", "x.role")
-    dealt = tables.write(dealt.join(classes.select("cid", "halves", "low"), "cid"), "dealt")
-    columns = ["key", "block", "cid", "component", "role", "halves", "low", "short"]
+    labels = classes.select("cid", "size").join(labels, "cid", "left").select("cid", "size", F.coalesce("component", "cid").alias("component"))
+    dealt = tables.write(deal(tables.write(members.select("key", "n", "cid").join(labels, "cid"), "placed")).join(classes.select("cid", "halves", "low"), "cid"), "dealt")
+    columns = ["key", "unit", "cid", "component", "role", "halves", "low", "short"]
     dealt = dealt.filter(F.col("n") <= SMALL).withColumn("short", F.lit(b"")).select(*columns).unionByName(dealt.filter(F.col("n") > SMALL).join(sets.select("cid", "short"), "cid").select(*columns))
-    dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
-    second = dealt.mapInArrow(_cross_pairs(percent), "a long, b long")
+    dealt = dealt.repartition("key", "unit").sortWithinPartitions("key", "unit")
+    second = dealt.mapInArrow(released(_cross_pairs(percent)), "a long, b long")
     more = tables.write(confirmed(second), "more-links")
     labels = connected_components(more, tables, "final", first_labels).withColumnRenamed("node", "cid")
 

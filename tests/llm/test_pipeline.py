@@ -22,7 +22,7 @@ def test_stages(spark):
         largest[r["text"]] = max(largest.get(r["text"], -1), r["doc_id"])
     assert sorted(r["doc_id"] for r in after) == sorted(largest.values())
     before, after = seen["near_dedup"]
-    assert sorted(r["doc_id"] for r in after) == sorted(i for i, _, c in brute_components([(r["doc_id"], r["text"]) for r in before]) if i == c)
+    assert sorted(r["doc_id"] for r in after) == sorted(i for i, _, c in brute_components([(r["doc_id"], r["text"]) for r in before], corpus_pipeline.NEAR) if i == c)
     before, after = seen["mixing"]
     assert {r["doc_id"] for r in after} <= {r["doc_id"] for r in before}
     times = collections.Counter(r["doc_id"] for r in after)
