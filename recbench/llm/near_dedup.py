@@ -23,9 +23,11 @@ UNMET, DROPPED = 4e-4, 1e-6
 #: Buckets of more classes bring 32-bit shingle hashes along when they are searched whole, so that only pairs that are
 #: links, but for a chance collision of hashes, come out to be confirmed.
 SMALL = 8
+#: Orders of the classes, one of which names a bucket's pivot; so buckets of the same classes have few pivots among them.
+PIVOTS = 4
 #: A bucket that is searched whole is dealt into blocks of half so many members and shingles on average; a task unit is
 #: a pair of blocks. A block holds more than so many members with a chance of less than 1e-70.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -282,13 +284,13 @@ def near_dedup(docs: DataFrame, tables: Tables, shingle: int = 5, percent: int =
 
     1. One pass makes each document's shingle set, a 128-bit fingerprint of it and its half keys. Documents of equal
        sets become one class; all further work is on classes.
-    2. In every bucket of every table each class is paired with one member, another one in each table. Pairs whose
+    2. In every bucket of every table each class is paired with one member, its first in one of a few orders. Pairs whose
        MinHash values agree often enough are confirmed on the full sets, and components are formed.
     3. Buckets that still hold several components are searched whole: each member outside the bucket's largest
        component is compared with all members of other components, in units of two blocks of bounded size (see deal).
        The pairs that agree often enough, each in the first table it meets in, are confirmed on the full sets. So no
        bucket is capped, and within a component no more pairs are made than step 2 made. A bucket of n members of many
-       small components takes n * n / BLOCK rows, which is below n * BLOCK up to a million members.
+       small components takes at most 2 * n * n / BLOCK rows beyond its own n.
 
     A link is 100 * intersection >= percent * union. Null and empty texts, and texts without words, have an empty set
     and are linked with nothing. A null id is never the smallest; a component without any id has a null component_id
@@ -305,7 +307,8 @@ def near_dedup(docs: DataFrame, tables: Tables, shingle: int = 5, percent: int =
     classes = tables.write(classes, "classes")
     keyed = classes.select("cid", "halves").mapInArrow(released(_buckets(of.side)), "cid long, key long")
     keyed = tables.write(keyed, "keyed")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("cid").bitwiseXOR(F.col("key"))).alias("m")).filter("n > 1").select("key", "n", F.col("m").bitwiseXOR(F.col("key")).alias("pivot"))
+    order = F.xxhash64(F.pmod(F.col("key"), F.lit(PIVOTS)))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("cid").bitwiseXOR(order)).alias("m")).filter("n > 1").select("key", "n", F.col("m").bitwiseXOR(order).alias("pivot"))
     members = tables.write(keyed.join(shared, "key"), "members")
     tables.drop("keyed")
 
