@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel
-from .common import Tables, held_out
+from .common import Tables, held_out, released, sliced
 
 #: The token after each text's last word.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -23,7 +24,9 @@ WORDS, HOT = 4_000_000, 1_000_000
 LEAST_CONTEXT, LEAST_NEXT = 8, 2
 DISCOUNT = 0.5
 #: Numbers gathered in a task before they are counted and sent on.
-HELD = 3_000_000
+HELD = 6_000_000
+#: Marks the keys of words where they are looked up beside those of grams.
+WORD_MARK = 0x2545F4914F6CDD1D
 #: A filter of keys is SLICES parts of up to 2 ** PART bits, about 16 bits a key where that is less. It lets some other
 #: keys through, which a join then drops.
 SLICES, PART = 16, 24
@@ -194,7 +197,7 @@ def _marked(part: int):
 def _keys(df: DataFrame) -> Keys:
     """The filter of the column key, of a bounded size."""
     part = min(PART, max(10, (df.count() * 16 // SLICES).bit_length()))
-    parts = df.select("key").repartition(SLICES, F.shiftrightunsigned("key", 60)).mapInArrow(_marked(part), "part int, bits binary").toArrow()
+    parts = df.select("key").repartition(SLICES, F.shiftrightunsigned("key", 60)).mapInArrow(released(_marked(part)), "part int, bits binary").toArrow()
     size = 1 << part - 3
     bits = np.zeros(SLICES * size, np.uint8)
     for i, x in zip(parts.column(0).to_pylist(), parts.column(1), strict=True):
@@ -240,10 +243,12 @@ def _grams(length: int, sent):
 def _count(keys_of, names: list[str]):
     """Keys of training texts with their numbers, summed over up to HELD keys of a task at a time."""
 
-    def counted(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+    def counted(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        held.clear()
         _, first, n = np.unique(columns[0], return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([*(pa.array(x[first].view(np.int64)) for x in columns[-len(names) :]), pa.array(n)], [*names, "n"])
+        columns = [x[first].view(np.int64) for x in columns[-len(names) :]]
+        yield from sliced(pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n)], [*names, "n"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -252,14 +257,19 @@ def _count(keys_of, names: list[str]):
                 held.append(keys_of(*_tokens(w)))
                 size += sum(map(len, held[-1]))
                 if size > HELD:
-                    yield counted(held)
-                    held, size = [], 0
+                    yield from counted(held)
+                    size = 0
         if held:
-            yield counted(held)
+            yield from counted(held)
 
     return run
 
 
+def _counted(train: DataFrame, keys_of, names: list[str]) -> DataFrame:
+    """Keys with their numbers over all training texts. Tasks have summed before; so rows are dealt out as they come."""
+    return train.mapInArrow(released(_count(keys_of, names)), f"{' long, '.join(names)} long, n long").repartition(*names).groupBy(*names).agg(F.sum("n").alias("n"))
+
+
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         key = textkernel.combine([batch.column(i).to_numpy().view(np.uint64) for i in (0, 1)])
@@ -267,10 +277,10 @@ def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tested(entries: DataFrame, total: int) -> DataFrame:
-    """Entries (ctx, suf, n, nc, q) with p, rest and kept; q: the probability of the entry after the shorter context.
+    """Entries (ctx, suf, n, nc, q) with key, p, v, rest and kept; q: the probability of the entry after the shorter context.
 
     A context is kept if the divergence of its distribution from the shorter context's, times its count, exceeds what
-    its entries cost, half the logarithm of the training tokens each.
+    its entries cost, half the logarithm of the training tokens each. v: log10(p / q / rest).
     """
     whole = Window.partitionBy("ctx")
     share = (F.col("n") - DISCOUNT) / F.col("nc")
@@ -278,67 +288,71 @@ def _tested(entries: DataFrame, total: int) -> DataFrame:
     left = F.col("rest") * F.greatest(F.lit(1e-12), 1 - F.sum("q").over(whole)) * F.log("rest")
     gain = (F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).over(whole) + left) * F.col("nc")
     out = out.withColumn("kept", gain > 0.5 * math.log(total + 1) * F.count(F.lit(1)).over(whole))
-    columns = "ctx long, suf long, n long, nc long, q double, p double, rest double, kept boolean"
-    return out.select(*(x.split()[0] for x in columns.split(", "))).mapInArrow(_with_key, f"key long, {columns}")
+    out = out.withColumn("v", F.log10(F.col("p") / F.col("q")) - F.log10("rest"))
+    columns = "ctx long, suf long, n long, nc long, p double, v double, rest double, kept boolean"
+    return out.select(*(x.split()[0] for x in columns.split(", "))).mapInArrow(released(_with_key), f"key long, {columns}")
+
+
+def _values(states: DataFrame) -> DataFrame:
+    """(key, n, v) of the entries and contexts of states: what each occurrence of a gram adds to the log10 of a text's score.
+
+    The probability of a token after a state is a factor times that after the state's suffix: p / q for an entry, rest
+    for any other token. So a state adds log10(rest) wherever it stands, and an entry log10(p / q / rest).
+    """
+    contexts = states.groupBy(F.col("ctx").alias("key")).agg(F.first("nc").alias("n"), F.log10(F.first("rest")).alias("v"))
+    return states.select("key", "n", "v").unionByName(contexts)
 
 
 def _levels(train: DataFrame, words: DataFrame, total: int, distinct: int, tables: Tables) -> list[DataFrame]:
-    """For contexts of one, two, ... tokens the entries of all candidates."""
-    spark, levels = train.sparkSession, []
+    """For contexts of one, two, ... tokens the values of what stays in the tree. The entries of a level go once the next has them."""
+    spark, values, before = train.sparkSession, [], None
     grams = words.select("key", "n", ((F.col("n") + 1) / (total + distinct + 1)).alias("p"))
     while True:
-        length = len(levels) + 1
+        length = len(values) + 1
         if length <= 2:
             able = grams.filter(F.col("n") >= LEAST_CONTEXT)
             filters = _keys(able), _keys(grams.filter(F.col("n") >= LEAST_NEXT))
         else:
             filters = _keys(grams.filter("kept").select(F.col("ctx").alias("key")).distinct()), None
         sent = spark.sparkContext.broadcast(filters)
-        entries = train.mapInArrow(_count(_grams(length, sent), ["ctx", "suf"]), "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
+        entries = _counted(train, _grams(length, sent), ["ctx", "suf"])
         shorter = grams.select(F.col("key").alias("suf"), F.col("p").alias("q"))
         if length <= 2:
             entries = entries.filter(F.col("n") >= LEAST_NEXT).join(shorter, "suf").join(able.select(F.col("key").alias("ctx"), F.col("n").alias("nc")), "ctx")
         else:
             entries = entries.withColumn("nc", F.sum("n").over(Window.partitionBy("ctx"))).filter((F.col("n") >= LEAST_NEXT) & (F.col("nc") >= LEAST_CONTEXT))
             entries = entries.join(shorter.join(grams.filter("kept").select(F.col("key").alias("suf")), "suf"), "suf")
-        grams = tables.write(_tested(entries, total), f"entries-{length}")
+        before, grams = grams, tables.write(_tested(entries, total), f"entries-{length}")
         sent.destroy()
-        levels.append(grams)
-        if (grams if length == 1 else grams.filter("kept")).isEmpty():
-            return levels
+        if length == 2:  # every suffix of a state is a state; longer states extend states
+            pairs = grams.filter("kept").select(F.col("ctx").alias("key")).distinct()
+            suffixes = before.join(pairs, "key", "left_semi").select(F.col("suf").alias("ctx"))
+            first = before.join(before.filter("kept").select("ctx").unionByName(suffixes).distinct(), "ctx", "left_semi")
+            values[0] = tables.write(_values(first), "values-1")
+        values.append(tables.write(_values(grams.filter("kept")), f"values-{length}") if length > 1 else None)
+        if length > 1:
+            tables.drop(f"entries-{length - 1}")
+        tables.settle()
+        if length > 1 and grams.filter("kept").isEmpty():
+            tables.drop(f"entries-{length}")
+            return values
 
 
-def _values(levels: list[DataFrame]) -> DataFrame:
-    """(key, n, v): what each occurrence of a gram adds to the log10 of a text's score.
+def _score(sent, longest: int):
+    """A row for each text with what frequent words and grams add, and one for each other key in it with its times.
 
-    The probability of a token after a state is a factor times that after the state's suffix: p / q for an entry, rest
-    for any other token. So a state adds log10(rest) wherever it stands, and an entry log10(p / q / rest).
+    longest: tokens of the longest gram with a value.
     """
-    first = levels[0]
-    if len(levels) > 1:  # every suffix of a state is a state; longer states extend states
-        pairs = levels[1].filter("kept").select(F.col("ctx").alias("key")).distinct()
-        suffixes = first.join(pairs, "key", "left_semi").select(F.col("suf").alias("ctx"))
-        first = first.join(first.filter("kept").select("ctx").unionByName(suffixes).distinct(), "ctx", "left_semi")
-    out = None
-    for states in (first, *(x.filter("kept") for x in levels[1:])):
-        entries = states.select("key", "n", (F.log10(F.col("p") / F.col("q")) - F.log10("rest")).alias("v"))
-        contexts = states.groupBy(F.col("ctx").alias("key")).agg(F.first("nc").alias("n"), F.log10(F.first("rest")).alias("v"))
-        both = entries.unionByName(contexts)
-        out = both if out is None else out.unionByName(both)
-    return out.groupBy("key").agg(F.max("n").alias("n"), F.sum("v").alias("v"))
-
-
-def _listed(of: np.ndarray, keys: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
-    """For each of n rows its distinct keys, and their numbers; of: the row of each key."""
-    order = np.lexsort((keys, of))
-    of, keys = of[order], keys[order]
-    new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])))) if len(of) else np.zeros(0, np.int64)
-    offsets = pa.array(np.searchsorted(of[new], np.arange(n + 1)).astype(np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.array(keys[new].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.diff(np.append(new, len(of))).astype(np.int32)))
 
+    def asked(rows: np.ndarray, keys: np.ndarray, row: int, word: bool) -> pa.RecordBatch:
+        order = np.lexsort((keys, rows))
+        rows, keys = rows[order], keys[order]
+        new = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])))) if len(rows) else np.zeros(0, np.int64)
+        n, times = len(new), np.diff(np.append(new, len(rows))).astype(np.int32)
+        none = [pa.nulls(n, kind) for kind in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+        return pa.RecordBatch.from_arrays([pa.array(rows[new] + row), *none, pa.array(keys[new].view(np.int64)), pa.array(times), pa.array(np.full(n, word))], names)
 
-def _score(sent, longest: int):
-    """longest: tokens of the longest gram with a value."""
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "more", "key", "times", "word"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (words, log0, valued, hot, v), row = sent.value, TaskContext.get().partitionId() << 33
@@ -358,15 +372,12 @@ def _score(sent, longest: int):
                     here = here[found < 0]
                     cold.append((here, grams[here]))
                 rare, row_of = np.flatnonzero(at < 0), np.repeat(np.arange(n), np.diff(rows))
+                sums = [pa.array(np.add.reduceat(x, rows[:-1])) for x in ((at >= 0).astype(np.int64), base, more)]
+                told = [pa.array(np.arange(row, row + n)), batch.column(0).slice(w.first, n), batch.column(1).slice(w.first, n), pa.array(np.diff(rows)), *sums]
+                yield pa.RecordBatch.from_arrays([*told, pa.array(textkernel.mix(np.arange(row, row + n).astype(np.uint64)).view(np.int64)), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, bool))], names)
+                yield from sliced(asked(row_of[rare], tokens[rare] ^ np.uint64(WORD_MARK), row, True))
                 cold_at, cold_keys = (np.concatenate(x) for x in zip(*cold, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(row, row + n)), batch.column(0).slice(w.first, n), batch.column(1).slice(w.first, n), pa.array(np.diff(rows)),
-                        pa.array(np.add.reduceat((at >= 0).astype(np.int64), rows[:-1])), pa.array(np.add.reduceat(base, rows[:-1])), pa.array(np.add.reduceat(more, rows[:-1])),
-                        *_listed(row_of[rare], tokens[rare], n), *_listed(row_of[cold_at], cold_keys, n),
-                    ],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "more", "rare", "times", "grams", "gram_times"],
-                )
+                yield from sliced(asked(row_of[cold_at], cold_keys, row, False))
                 row += n
 
     return run
@@ -392,30 +403,31 @@ def score_texts(docs: DataFrame, tables: Tables, modulus: int = 7, id_col: str =
     state.
 
     Words, contexts and entries are written tables. What is sent to all workers is filters of a set size and the most
-    frequent words and grams (see WORDS, HOT); all others are looked up by shuffled joins on (text, key). Null text:
+    frequent words and grams (see WORDS, HOT); all others are looked up by a shuffled join on their keys. Null text:
     empty, the end token alone. Null id: a training row. Repeated rows count as often as they stand there. No training
     rows: the base of an empty corpus, log10(1) for each token. Empty table: no rows. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), modulus).alias("held_out"), F.col(text_col).alias("text"))
     train = rows.filter("not held_out").select("text")
-    words = tables.write(train.mapInArrow(_count(lambda tokens, rows: [tokens], ["key"]), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
+    words = tables.write(_counted(train, lambda tokens, rows: [tokens], ["key"]), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     scale = math.log10(total + distinct + 1)
     levels = _levels(train, words, total, distinct, tables)
-    values = tables.write(_values(levels), "values")
-    frequent, n = _gathered(words.filter(F.col("n") >= max(1, math.ceil(total / WORDS))))
-    hot, v = _gathered(values.filter(F.col("n") >= total / HOT).select("key", "v"))
+    values = functools.reduce(DataFrame.unionByName, levels)
+    values = tables.write(values.groupBy("key").agg(F.max("n").alias("n"), F.sum("v").alias("v")), "values")
+    tables.drop(*(f"values-{i + 1}" for i in range(len(levels))))
+    tables.settle()
+    often, much = F.col("n") >= max(1, math.ceil(total / WORDS)), F.col("n") >= total / HOT
+    frequent, n = _gathered(words.filter(often))
+    hot, v = _gathered(values.filter(much).select("key", "v"))
     sent = rows.sparkSession.sparkContext.broadcast((frequent, np.log10(n + 1.0) - scale, _keys(values), hot, v))
-    columns = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, more double, rare array<long>, times array<int>, grams array<long>, gram_times array<int>"
-    scored = tables.write(rows.mapInArrow(_score(sent, len(levels) + 1), columns), "scored")
-
-    def listed(keys: str, times: str) -> DataFrame:
-        return scored.select("row", F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col(times).alias("times"))).alias("x")).select("row", "x.key", "x.times")
-
-    known, log = F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)), F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1) - F.lit(scale)))
-    rare = listed("rare", "times").join(words, "key", "left").groupBy("row").agg(known.alias("_known"), log.alias("_log"))
-    cold = listed("grams", "gram_times").join(values.select("key", "v"), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("v")).alias("_more"))
-    out = scored.drop("rare", "times", "grams", "gram_times").join(rare, "row", "left").join(cold, "row", "left")
-    zero = lambda name: F.coalesce(F.col(name), F.lit(0.0))
-    base = F.col("base") + zero("_log")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("more") + zero("_more")).alias("score"))
+    columns = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, more double, key long, times int, word boolean"
+    asked = rows.mapInArrow(released(_score(sent, len(levels) + 1)), columns)
+    seldom = words.filter(~often).select(F.col("key").bitwiseXOR(F.lit(WORD_MARK)).alias("key"), "n", F.lit(None).cast("double").alias("v"))
+    found = asked.join(seldom.unionByName(values.filter(~much).select("key", F.lit(None).cast("long").alias("n"), "v")), "key", "left")
+    whole = [F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")]
+    known = F.sum(F.coalesce("n_known", F.when(F.col("n").isNotNull(), F.col("times")), F.lit(0)))
+    base = F.sum(F.coalesce("base", F.when(F.col("word"), F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1) - F.lit(scale))), F.lit(0.0)))
+    more = F.sum(F.coalesce("more", F.col("times") * F.col("v"), F.lit(0.0)))
+    out = found.groupBy("row").agg(*whole, known.cast("long").alias("n_known"), base.alias("base_score"), more.alias("more"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("more")).alias("score"))
