@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import Tables
 
-#: Vectors of a shard, queries of a block.
-SHARD, QUERIES = 4096, 4096
+#: Vectors of a shard and queries of a block: as many as a task may hold, as every query is searched in every shard, and
+#: a search's time hardly grows with its shard.
+SHARD, QUERIES = 32_768, 32_768
 #: Edges of a node, beam while building and while searching, slack of the pruning rule, nodes expanded at a time.
 DEGREE, BUILD_BEAM, BEAM, ALPHA, WIDTH = 32, 64, 192, 1.2, 4
 #: Points inserted or queries searched together.
@@ -125,16 +126,26 @@ def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
 
 
-def _build(largest: float):
-    def run(key, table):
-        table = table.sort_by("cid")
-        x = np.array(table.column("vector").to_pylist(), dtype=np.float32)
-        lift = np.sqrt(np.maximum(0.0, largest - np.einsum("ij,ij->i", x, x, dtype=np.float64))).astype(np.float32)
-        edges, entry = build_graph(np.concatenate([x, lift[:, None]], axis=1))
-        n = len(x)
-        return pa.table({"shard": [key[0].as_py()] * n, "at": np.arange(n), "entry": [entry] * n, "vector": [v.tobytes() for v in x], "lift": lift.astype(np.float64), "edges": [e.tobytes() for e in edges], "ids": table.column("ids")})
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """A matrix from a column of lists of one length without nulls."""
+    flat = pa.concat_arrays([x.flatten() for x in column.chunks]).to_numpy() if column.num_chunks else np.zeros(0)
+    return flat.reshape(len(column), -1)
 
-    return run
+
+def _scaled(x: np.ndarray, largest: float) -> np.ndarray:
+    """Vectors over the largest norm, as the graph has them."""
+    return (x / np.sqrt(largest)).astype(np.float32)
+
+
+def _build(key, table):
+    table = table.sort_by("cid")
+    x = _vectors(table.column("vector"))
+    scaled = _scaled(x, table.column("largest")[0].as_py())
+    lift = np.sqrt(np.maximum(0.0, 1.0 - np.einsum("ij,ij->i", scaled, scaled, dtype=np.float64))).astype(np.float32)
+    edges, entry = build_graph(np.concatenate([scaled, lift[:, None]], axis=1))
+    n = len(x)
+    out = {"dim": [key[0].as_py()] * n, "shard": [key[1].as_py()] * n, "at": np.arange(n), "entry": [entry] * n, "vector": table.column("vector"), "largest": table.column("largest"), "lift": lift, "edges": [e.astype(np.int32).tobytes() for e in edges], "ids": table.column("ids")}
+    return pa.table(out)
 
 
 def _search(k: int):
@@ -143,19 +154,18 @@ def _search(k: int):
         if not graph.num_rows or not queries.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
         graph = graph.sort_by("at")
-        x = _matrix(graph.column("vector"), np.float32)
-        lifted = np.concatenate([x, graph.column("lift").to_numpy().astype(np.float32)[:, None]], axis=1)
-        edges, entry = _matrix(graph.column("edges"), np.int64), graph.column("entry")[0].as_py()
-        ids = graph.column("ids").to_pylist()
-        q = np.array(queries.column("vector").to_pylist(), dtype=np.float32)
-        names_of, wide = queries.column("query").to_numpy(), x.astype(np.float64)
+        largest, x = graph.column("largest")[0].as_py(), _vectors(graph.column("vector"))
+        lifted = np.concatenate([_scaled(x, largest), graph.column("lift").to_numpy()[:, None]], axis=1)
+        edges, entry = _matrix(graph.column("edges"), np.int32), graph.column("entry")[0].as_py()
+        ids, wide = graph.column("ids").to_pylist(), x.astype(np.float64)
+        names_of, q = queries.column("query").to_numpy(), _vectors(queries.column("vector")).astype(np.float64)
         out: list[tuple[int, int, float]] = []
         for i in range(0, len(q), TOGETHER):
             part = q[i : i + TOGETHER]
-            found, _ = _beam(lifted, edges, entry, np.concatenate([part, np.zeros((len(part), 1), np.float32)], axis=1), max(BEAM, k))
+            found, _ = _beam(lifted, edges, entry, np.concatenate([_scaled(part, largest), np.zeros((len(part), 1), np.float32)], axis=1), max(BEAM, k))
             for j, row in enumerate(found):
                 row = row[row >= 0]
-                scores = (wide[row] * part[j].astype(np.float64)).sum(axis=1)
+                scores = (wide[row] * part[j]).sum(axis=1)
                 rows = [(-s, v) for s, r in zip(scores.tolist(), row.tolist(), strict=True) for v in ids[r]]
                 out += [(int(names_of[i + j]), v, -s) for s, v in sorted(rows)[:k]]
         query, vec, score = zip(*out, strict=True)
@@ -166,43 +176,46 @@ def _search(k: int):
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, vector) of the vectors that take part: not null, not zero, all components there and finite."""
+    kind = "array<float>" if dict(df.dtypes)[vector_col] == "array<float>" else "array<double>"
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector")).filter("vec_id is not null and vector is not null")
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector")).filter("vec_id is not null and vector is not null")
     return rows.filter(finite & F.exists("vector", lambda v: v != 0))
 
 
-def nearest(vectors: DataFrame, tables: Tables, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, tables: Tables, k: int = 20, every: int = 20, shard: int = SHARD, block: int = QUERIES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each query (id divisible by `every`) its k nearest by inner product: query_id, rank, vec_id, score.
 
-    Equal vectors are one node, which carries its k + 1 smallest ids, all that a list of k may need. Nodes are dealt
-    into shards of about SHARD; each shard's graph is built over vectors lifted by one coordinate to equal norms, so
-    that the nearest in distance is the largest in inner product. All queries are searched in all shards, in blocks of
-    QUERIES, and the lists are merged by (score, id). Scores are inner products of the original vectors in double
-    precision.
+    Equal vectors are one node, which carries its k + 1 smallest ids, all that a list of k may need. The nodes of a
+    dimension are dealt into shards of about `shard`; each shard's graph is built over vectors scaled and lifted by one
+    coordinate to norms of 1, so that the nearest in distance is the largest in inner product. All queries are searched
+    in all shards of their dimension, in blocks of about `block`, and the lists are merged by (score, id). Scores are
+    inner products of the original vectors in double precision.
 
-    Vectors null, zero, or with null or non-finite components take no part, nor do those of another dimension than the
-    most common one (ties: the smaller). Rows that repeat id and vector count once; rows with the query's id are never
-    its candidates. Fewer candidates than k: all. Empty table: no rows. Other columns are ignored.
+    Vectors null, zero, or with null or non-finite components take no part. Vectors of different dimensions are never
+    near to each other. Rows that repeat id and vector count once; rows with the query's id are never its candidates.
+    Fewer candidates than k: all. Empty table: no rows. Other columns are ignored.
     """
-    rows = valid_vectors(vectors, id_col, vector_col)
-    sizes = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.col("count").desc(), "size").first()
-    rows = rows.filter(F.size("vector") == (sizes["size"] if sizes else 0)).distinct()
+    rows = valid_vectors(vectors, id_col, vector_col).distinct()
     by = Window.partitionBy("vector").orderBy("vec_id")
     few = rows.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= k + 1)
-    classes = few.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("cid", F.col("ids")[0])
-    classes = tables.write(classes, "classes")
+    classes = few.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     square = F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-    n, largest = classes.agg(F.count(F.lit(1)), F.coalesce(F.max(square), F.lit(0.0))).first()
-    shards = max(1, -(-n // SHARD))
-    graph = classes.withColumn("shard", F.pmod(F.xxhash64("cid"), F.lit(shards))).groupBy("shard").applyInArrow(_build(largest), "shard long, at long, entry long, vector binary, lift double, edges binary, ids array<long>")
+    # A vector's id alone may stand for several vectors.
+    classes = tables.write(classes.select(F.monotonically_increasing_id().alias("cid"), F.size("vector").alias("dim"), "vector", "ids", square.alias("square")), "classes")
+    dims = classes.groupBy("dim").agg(F.max("square").alias("largest"), F.ceil(F.count(F.lit(1)) / shard).alias("shards"))
+    nodes = classes.select("cid", "dim", "vector", "ids").join(dims, "dim").withColumn("shard", F.pmod(F.xxhash64("cid"), F.col("shards")))
+    kind = dict(rows.dtypes)["vector"]
+    graph = nodes.groupBy("dim", "shard").applyInArrow(_build, f"dim int, shard long, at long, entry long, vector {kind}, largest double, lift float, edges binary, ids array<long>")
     graph = tables.write(graph, "graph")
     asked = rows.filter(F.col("vec_id") % every == 0)
     asked = tables.write(asked.join(classes.select("vector", "cid"), "vector").select("vec_id", "cid"), "asked")
-    queries = classes.join(asked.select("cid").distinct(), "cid", "left_semi").select(F.col("cid").alias("query"), "vector")
-    blocks = max(1, -(-queries.count() // QUERIES))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    queries = classes.join(asked.select("cid").distinct(), "cid", "left_semi")
+    blocks = max(1, -(-queries.count() // block))
+    queries = queries.select(F.col("cid").alias("query"), "dim", "vector").join(dims.select("dim", "shards"), "dim")
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).drop("shards")
     graph = graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = graph.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(_search(k + 1), "query long, vec_id long, score double")
+    keys = ["dim", "shard", "block"]
+    found = graph.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_search(k + 1), "query long, vec_id long, score double")
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     merged = found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k + 1).drop("_n")
     lists = asked.select(F.col("vec_id").alias("query_id"), F.col("cid").alias("query")).join(merged, "query").filter("vec_id != query_id")
