@@ -107,7 +107,7 @@ from documents window g as (partition by coalesce(text, ''))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_documents(spark, sf_dir), common.Tables(spark)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return mixing.mix(_documents(spark, sf_dir), common.Tables(spark)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 #: For op9: what a source's share and a document's place among its source's entries are, over any relation of documents.
@@ -143,7 +143,7 @@ takes as (select r, count(*) as times from summed where so_far <= total group by
 
 OP9_SQL = f"""
 with {MIX_CTES.format(docs="documents")}
-select q.doc_id, q.size, q.source_size, round(q.target, 6) as target, (q.size * coalesce(t.times, 0))::bigint as taken
+select q.doc_id, q.size, q.source_size, q.target, (q.size * coalesce(t.times, 0))::bigint as taken
 from queued q left join takes t on q.r = t.r
 """
 
