@@ -25,9 +25,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    """The reverse of escape_role."""
-    whole = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(whole, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    """The reverse of escape_role: each backslash with what follows it, from left to right."""
+    marked = F.regexp_extract_all(unescape(role), F.lit(r"(?s)(\\.|[^\\])"), F.lit(1))
+    return F.array_join(F.transform(marked, lambda x: F.when(x == "\\n", F.lit("\n")).when(x == "\\\\", F.lit("\\")).otherwise(x)), "")
 
 
 def root_to_leaf_paths(nodes: DataFrame, tables: Tables, top: int = 1) -> DataFrame:
