@@ -50,18 +50,29 @@ def clean_name(category: Column) -> Column:
     return F.replace(category, F.lit(" "), F.lit("_"))
 
 
-def remove_templates(text: Column) -> Column:
-    """Drop {{...}}, nested or not.
+def remove_templates(text: Column, compat: bool = False) -> Column:
+    """Drop {{...}}, nested or not. One fold over the pieces between the marks, in a linear number of steps.
 
-    A closing pair without an opening one leaves the depth below zero, and nothing more is kept, as the data's first
-    users had it. One fold over the pieces between the marks, in a linear number of steps.
+    Braces count in pairs. A closing pair without an opening one leaves the depth below zero, and nothing more is kept.
+
+    compat: as the data's first users had it. Two equal braces in a row change the depth wherever they stand, so n of them
+    count n - 1 times; the last opening brace and the first closing one are text where the depth is 0. Templates that
+    close together, as in {{a{{b}}}}, then take all that follows with them.
     """
-    pieces = F.split(F.regexp_replace(text, r"(\{\{|\}\})", "\u0001$1\u0001"), "\u0001")
+    marks = r"(\{{2,}|\}{2,})" if compat else r"(\{\{|\}\})"
+    pieces = F.split(F.regexp_replace(text, marks, "\u0001$1\u0001"), "\u0001")
     start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
 
     def step(state: Column, piece: Column) -> Column:
-        depth = F.when(piece == "{{", state["depth"] + 1).when(piece == "}}", state["depth"] - 1).otherwise(state["depth"])
-        shown = (state["depth"] == 0) & ~piece.isin("{{", "}}")
+        opens, closes = piece.startswith("{{"), piece.startswith("}}")
+        if compat:
+            n = F.length(piece) - 1
+            depth = F.when(opens, state["depth"] + n).when(closes, state["depth"] - n).otherwise(state["depth"])
+            shown = F.when(opens, depth == 0).otherwise(state["depth"] == 0)
+            piece = F.when(opens, "{").when(closes, "}").otherwise(piece)
+        else:
+            depth = F.when(opens, state["depth"] + 1).when(closes, state["depth"] - 1).otherwise(state["depth"])
+            shown = (state["depth"] == 0) & ~opens & ~closes
         return F.struct(depth.alias("depth"), F.when(shown, F.concat(state["kept"], F.array(piece))).otherwise(state["kept"]).alias("kept"))
 
     return F.array_join(F.aggregate(pieces, start, step)["kept"], "")
@@ -124,9 +135,20 @@ def strip_html(html: Column) -> Column:
 
 def notebook_code(content: Column) -> Column:
     """Code cells of a notebook, one after the other; text that is no notebook stays."""
-    parsed = F.from_json(content, "struct<cells:array<struct<cell_type:string,source:string>>,worksheets:array<struct<cells:array<struct<cell_type:string,input:string>>>>>")
-    code = F.array_join(F.transform(F.filter(parsed["cells"], lambda c: c["cell_type"] == "code"), lambda c: c["source"]), "\n")
-    return F.when(parsed["cells"].isNotNull(), code).otherwise(content)
+    shape = "array<struct<cell_type: string, source: variant, input: variant>>"
+    parsed = F.try_parse_json(content)
+    cells = F.try_variant_get(parsed, "$.cells", shape)
+    sheets = F.flatten(F.transform(F.try_variant_get(parsed, "$.worksheets", f"array<struct<cells: {shape}>>"), lambda w: w["cells"]))  # of older notebooks
+    cells = F.coalesce(cells, sheets)
+
+    def source(cell: Column) -> Column:
+        """A cell's text: a string, or a list of strings one after the other."""
+        parts = [F.array_join(F.try_variant_get(cell[c], "$", "array<string>"), "") for c in ("source", "input")]
+        whole = [F.try_variant_get(cell[c], "$", "string") for c in ("source", "input")]
+        return F.coalesce(parts[0], whole[0], parts[1], whole[1])
+
+    code = F.array_join(F.transform(F.filter(cells, lambda c: c["cell_type"] == "code"), source), "\n")
+    return F.when(cells.isNotNull(), code).otherwise(content)
 
 
 def decode(raw: Column) -> Column:

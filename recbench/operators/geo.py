@@ -22,13 +22,16 @@ def in_polygon(x: Column, y: Column, polygon: Column) -> Column:
 def divisions(points: DataFrame, polygons: DataFrame, x: str = "lon", y: str = "lat", most: int = 5000) -> DataFrame:
     """points with the index of the first polygon that holds them (null: none) and the one-hot of it.
 
-    polygons: (index from 0, polygon). They come as one array of all, so each point is tested once and no pairs of rows
-    are made. More than `most` polygons raise an error, as the array goes to every task.
+    polygons: (index from 0, polygon). They come in arrays of `most`, one after the other, so that no more than one
+    array goes to a task at a time and no pairs of rows are made; a point that an earlier array has placed stays there.
+    The one-hot is as long as there are polygons.
     """
-    if polygons.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} polygons")
-    every = polygons.agg(F.array_sort(F.collect_list(F.struct("index", "polygon"))).alias("_all"))
-    held = F.filter("_all", lambda p: in_polygon(F.col(x), F.col(y), p["polygon"]))
-    out = points.crossJoin(F.broadcast(every)).withColumn("division", F.get(held, F.lit(0))["index"])
-    one_hot = F.transform("_all", lambda p: F.coalesce((p["index"] == F.col("division")).cast("double"), F.lit(0.0)))
-    return out.withColumn("division_vector", one_hot).drop("_all")
+    n = (polygons.agg(F.max("index")).first()[0] or 0) + 1 if not polygons.isEmpty() else 0
+    out = points.withColumn("division", F.lit(None).cast(dict(polygons.dtypes)["index"]))
+    for at in range(0, n, most):
+        some = polygons.filter((F.col("index") >= at) & (F.col("index") < at + most))
+        some = some.agg(F.array_sort(F.collect_list(F.struct("index", "polygon"))).alias("_some"))
+        held = F.filter("_some", lambda p: in_polygon(F.col(x), F.col(y), p["polygon"]))
+        out = out.crossJoin(F.broadcast(some)).withColumn("division", F.coalesce("division", F.get(held, F.lit(0))["index"])).drop("_some")
+    one_hot = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce((i == F.col("division")).cast("double"), F.lit(0.0))) if n else F.array().cast("array<double>")
+    return out.withColumn("division_vector", one_hot)

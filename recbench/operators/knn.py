@@ -13,12 +13,33 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clamp
 
 
+#: Rows of one shared key that meet in one task; more are dealt into blocks, and pairs of blocks into tasks.
+HEAVY = 2048
+
+
+def pairs_by_key(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """left and right joined on k, each pair once; keys with many rows are split, whatever share of all rows they hold."""
+    sizes = left.groupBy("k").agg(F.count(F.lit(1)).alias("_n")).unionByName(right.groupBy("k").agg(F.count(F.lit(1)).alias("_n")))
+    heavy = sizes.groupBy("k").agg(F.ceil(F.max("_n") / HEAVY).cast("int").alias("_blocks")).filter("_blocks > 1")
+
+    def dealt(rows: DataFrame, by: str, own: str, other: str) -> DataFrame:
+        blocks = F.coalesce("_blocks", F.lit(1))
+        return rows.join(heavy, "k", "left").withColumn(own, F.pmod(F.xxhash64(by), blocks)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long")))).drop("_blocks")
+
+    return dealt(left, a, "_i", "_j").join(dealt(right, b, "_j", "_i"), ["k", "_i", "_j"]).drop("_i", "_j")
+
+
 def co_rated_cosine(ratings: DataFrame, of: str, over: str) -> DataFrame:
-    """(a, b, similarity): cosine of two values of `of` over the keys `over` that both have; 0 where a norm is 0."""
+    """(a, b, similarity): cosine of two values of `of` over the keys `over` that both have; 0 where a norm is 0.
+
+    Only pairs with a <= b are made and summed, then turned round.
+    """
     left = ratings.select(F.col(over).alias("k"), F.col(of).alias("a"), F.col("rating").alias("x"))
     right = ratings.select(F.col(over).alias("k"), F.col(of).alias("b"), F.col("rating").alias("y"))
-    sums = left.join(right, "k").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
-    return sums.select("a", "b", F.coalesce(F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))), F.lit(0.0)).alias("similarity"))
+    sums = pairs_by_key(left, right, "a", "b").filter("a <= b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+    half = sums.select("a", "b", F.coalesce(F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))), F.lit(0.0)).alias("similarity"))
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return half.select(F.explode(F.when(F.col("a") == F.col("b"), F.slice(both, 1, 1)).otherwise(both)).alias("p"), "similarity").select("p.a", "p.b", "similarity")
 
 
 def bounds(ratings: DataFrame) -> DataFrame:

@@ -6,12 +6,14 @@ null, and precision is 0. Ranks break ties by the smaller item.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_even, log2_floored, prob_by_rank
 from ..functions.vectors import cosine_distance, not_zero, total
-from ..shared import global_rank
+from ..shared import global_rank, scratch
 
 
 def _matched(actual: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -146,7 +148,7 @@ def _both_means(rows: DataFrame, value: str, name: str) -> DataFrame:
     return users.agg(F.try_divide(F.sum("s"), F.sum("n")).alias(f"overall_{name}"), F.avg(F.try_divide("s", "n")).alias(name))
 
 
-def serendipity(train: DataFrame, test: DataFrame, predicted: DataFrame, least: float = 1.0, compat: bool = True) -> DataFrame:
+def serendipity(train: DataFrame, test: DataFrame, predicted: DataFrame, least: float = 1.0, compat: bool = True, popularity: DataFrame | None = None) -> DataFrame:
     """How much higher relevant hits rank for the user than for all: (overall_serendipity, serendipity).
 
     compat: hits are ranked by their actual rating, as first published with this data; otherwise by their prediction.
@@ -154,13 +156,13 @@ def serendipity(train: DataFrame, test: DataFrame, predicted: DataFrame, least:
     hits = _matched(test.filter(F.col("rating") >= least), predicted)
     hits = ranked(hits, "rating" if compat else "prediction").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("user")))
     own = prob_by_rank(F.col("rank"), F.col("n"))
-    rows = hits.join(item_popularity(train, test), "item").select("user", F.greatest(own - F.col("popularity"), F.lit(0.0)).alias("v"))
+    rows = hits.join(item_popularity(train, test) if popularity is None else popularity, "item").select("user", F.greatest(own - F.col("popularity"), F.lit(0.0)).alias("v"))
     return _both_means(rows, "v", "serendipity")
 
 
-def novelty(train: DataFrame, test: DataFrame, predicted: DataFrame) -> DataFrame:
+def novelty(train: DataFrame, test: DataFrame, predicted: DataFrame, popularity: DataFrame | None = None) -> DataFrame:
     """Mean log2 of popularity, never above 0: (overall_novelty, novelty)."""
-    rows = predicted.join(item_popularity(train, test), "item").select("user", log2_floored(F.col("popularity")).alias("v"))
+    rows = predicted.join(item_popularity(train, test) if popularity is None else popularity, "item").select("user", log2_floored(F.col("popularity")).alias("v"))
     return _both_means(rows, "v", "novelty")
 
 
@@ -186,15 +188,32 @@ def relevant_ranks(actual: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def suite(train: DataFrame, test: DataFrame, predicted: DataFrame, content: DataFrame, n: int) -> DataFrame:
-    """All metrics in one row, on the first n predictions of each user and content without zero vectors."""
+    """All metrics in one row, on the first n predictions of each user and content without zero vectors.
+
+    What several metrics read is written once: the lists, both parts of the interactions, and the items' popularity.
+    Errors, hits and ranks are one aggregate over the lists' hits.
+    """
+    spark = predicted.sparkSession
+
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        path = scratch(spark, name)
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
     content = content.filter(not_zero(F.col("vector")))
-    cut = top_n(predicted, n)
+    train, test = written(train.select("user", "item", "rating"), "train"), written(test.select("user", "item", "rating"), "test")
+    lists = written(ranked(predicted.select("user", "item", "prediction")).filter(F.col("rank") <= n), "lists")
+    cut, popularity = lists.drop("rank"), written(item_popularity(train, test), "popularity")
+    error = F.col("prediction") - F.col("rating")
+    hits = _matched(test, lists).groupBy("user").agg(F.sum(error * error).alias("squares"), F.sum(F.abs(error)).alias("errors"), F.count(F.lit(1)).alias("n"), F.min("rank").alias("a"), F.avg("rank").alias("b"), F.max("rank").alias("c"))
+    hits = hits.agg(F.sqrt(F.try_divide(F.sum("squares"), F.sum("n"))).alias("rmse"), F.try_divide(F.sum("errors"), F.sum("n")).alias("mae"), F.coalesce(F.sum("n"), F.lit(0)).alias("hits"), F.avg("a").alias("avg_highest_rank"), F.avg("b").alias("avg_mean_rank"), F.avg("c").alias("avg_lowest_rank"))
+    held = test.agg(F.countDistinct("user").alias("users"), F.count(F.lit(1)).alias("all"))
+    precision = F.coalesce(F.try_divide(F.col("hits").cast("double"), (F.col("users") * n).cast("double")), F.lit(0.0)).alias("pred_n")
+    hits = hits.crossJoin(held).select("rmse", "mae", precision, _percent("hits", "all").alias("pred_coverage"), "avg_highest_rank", "avg_mean_rank", "avg_lowest_rank")
     parts = [
-        rmse(test, cut), mae(test, cut), precision_at(test, cut, n), category_diversity(cut, content), intra_list(cut, content),
-        catalog_coverage(train, test, cut), item_coverage(train, test, content, cut), user_coverage(train, test, cut), prediction_coverage(test, cut),
-        serendipity(train, test, cut).select("serendipity"), content_serendipity(test, cut, content).select("content_serendipity"), novelty(train, test, cut).select("novelty"), relevant_ranks(test, cut),
+        category_diversity(cut, content), intra_list(cut, content), catalog_coverage(train, test, cut), item_coverage(train, test, content, cut), user_coverage(train, test, cut),
+        serendipity(train, test, cut, popularity=popularity).select("serendipity"), content_serendipity(test, cut, content).select("content_serendipity"), novelty(train, test, cut, popularity).select("novelty"),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.crossJoin(part)
-    return out
+    out = reduce(DataFrame.crossJoin, [hits, *parts])  # rows of one each
+    first, last = ["rmse", "mae", "pred_n", "cat_diversity", "ils", "cat_coverage", "item_coverage", "user_coverage", "pred_coverage"], ["avg_highest_rank", "avg_mean_rank", "avg_lowest_rank"]
+    return out.select(*first, "serendipity", "content_serendipity", "novelty", *last)

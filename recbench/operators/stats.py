@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import global_rank
+from .knn import pairs_by_key
+
 
 def dataset_stats(*parts: DataFrame) -> DataFrame:
     """Users, items, ratings, their range, mean, population deviation and variance, and density as a fraction."""
@@ -37,8 +40,12 @@ def activity(rows: DataFrame, by: str, of: str) -> DataFrame:
 
 
 def quartile(rows: DataFrame, column: str, share: float = 0.75) -> DataFrame:
-    """Percentile with linear interpolation."""
-    return rows.agg(F.percentile(column, share).alias("quartile"))
+    """Percentile with linear interpolation: of two neighbours in the order of all values, found by ranges."""
+    ranked = global_rank(rows.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_x")), [F.col("_x")], "_place")
+    at = ranked.agg((1 + F.lit(share) * (F.count(F.lit(1)) - 1)).alias("_at"))
+    near = ranked.crossJoin(F.broadcast(at)).filter((F.col("_place") == F.floor("_at")) | (F.col("_place") == F.ceil("_at")))
+    weight = F.when(F.floor("_at") == F.ceil("_at"), 1.0).otherwise(1 - F.abs(F.col("_place") - F.col("_at")))
+    return near.agg(F.sum(F.col("_x") * weight).alias("quartile"))
 
 
 def histogram(rows: DataFrame, column: str, bins: int, low: float, high: float, log: bool = False) -> DataFrame:
@@ -59,7 +66,7 @@ def pearson(left: DataFrame, right: DataFrame, of: str, over: str) -> DataFrame:
     a = left.select(F.col(over).alias("k"), F.col(of).alias("id1"), F.col("rating").alias("x"))
     b = right.select(F.col(over).alias("k"), F.col(of).alias("id2"), F.col("rating").alias("y"))
     x, y = F.col("x"), F.col("y")
-    m = a.join(b, "k").filter("id1 < id2").groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"))
+    m = pairs_by_key(a, b, "id1", "id2").filter("id1 < id2").groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"))
     n = F.col("n")
     cov = n * F.col("sxy") - F.col("sx") * F.col("sy")
     var = (n * F.col("sxx") - F.col("sx") * F.col("sx")) * (n * F.col("syy") - F.col("sy") * F.col("sy"))

@@ -106,7 +106,7 @@ def r8_bayes_map(spark, d):
 
 @query("r9_bayes_mse", f'with {BAYES_SQL} select "user", item, round(sum(rating * p), 6) as prediction from parts group by 1, 2')
 def r9_bayes_mse(spark, d):
-    return rounded(bayes.least_squares(_parts(spark, d)), "prediction")
+    return rounded(bayes.expected(_train(spark, d, SUPPLIERS)), "prediction")
 
 
 @query(

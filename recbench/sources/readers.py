@@ -161,7 +161,7 @@ def osm_objects(spark: SparkSession, path: str, tags: list[str]) -> DataFrame:
 
 def osm_changesets(spark: SparkSession, path: str) -> DataFrame:
     shape = ", ".join(f"_{f.name} string" for f in S.OSM_CHANGESETS)
-    return spark.read.format("xml").option("rowTag", "changeset").schema(shape).load(path).toDF(*S.OSM_CHANGESETS.names)
+    return spark.read.format("xml").option("rowTag", "changeset").schema(shape).load(path).select(*[F.col(f"_{name}").alias(name) for name in S.OSM_CHANGESETS.names])
 
 
 def osm_members(spark: SparkSession, path: str) -> DataFrame:
@@ -245,3 +245,14 @@ def libsvm(spark: SparkSession, path: str) -> DataFrame:
 def labels(spark: SparkSession, path: str) -> DataFrame:
     """Names of result columns, and whether each is an axis or a group."""
     return _csv(spark, path, S.LABELS_CSV, header=True).select("raw", "label", truth(F.col("axes")).alias("axes"), truth(F.col("groups")).alias("groups"))
+
+
+def results_csv(spark: SparkSession, path: str, text_columns: list[str] | None = None, line_sep: str = "\r") -> DataFrame:
+    """A table of results: axes and groups as truth values, other columns as numbers, null where a cell is none.
+
+    text_columns stay text, by default the names that tell results apart.
+    """
+    kept = {"dataset", "user_vector", "content_vector", "alg_type", "CF_CB", "raw", "label"} if text_columns is None else set(text_columns)
+    raw = spark.read.options(header=True, lineSep=line_sep).csv(path)
+    trimmed = {c: F.btrim(F.col(c), F.lit("\r\n")) for c in raw.columns}
+    return raw.select(*[(truth(x) if c in ("axes", "groups") else x if c in kept else x.try_cast("double")).alias(c) for c, x in trimmed.items()])

@@ -108,6 +108,9 @@ def test_vectors_edges_and_labels(spark, tmp_path):
 
 def test_text(spark):
     assert one(spark, "a{{b{{c}}d}}e}}f", text.remove_templates) == "ae"
+    assert one(spark, "x{{a{{b}}}}y{{{z}}}w", text.remove_templates) == "xy}w"
+    first = lambda v: one(spark, v, lambda c: text.remove_templates(c, compat=True))
+    assert [first(v) for v in ("a{{b{{c}}d}}e}}f", "x{{a{{b}}}}y", "x{{a}}y{z}", "{{{z}}}w", None)] == ["ae}", "x", "xy{z}", "w", None]
     assert one(spark, "[[a|b]] and [[c]]", text.clean_links) == "b and c"
     assert one(spark, "[[Category:X|h]] y", text.clean_categories) == "X y"
     assert one(spark, "[[Category:A b]] [[Category:C|d]]", text.extract_categories) == ["Category:A b", "Category:C"]
@@ -115,6 +118,9 @@ def test_text(spark):
     assert one(spark, "'Don't!'", text.stripped_words) == ["don't"]
     assert one(spark, "a.b.C", text.function_name) == "c"
     assert one(spark, "plain", text.notebook_code) == "plain"
+    assert one(spark, '{"cells": [{"cell_type": "code", "source": ["a\\n", "b"]}, {"cell_type": "markdown", "source": "no"}, {"cell_type": "code", "source": "[1, 2]"}]}', text.notebook_code) == "a\nb\n[1, 2]"
+    assert one(spark, '{"worksheets": [{"cells": [{"cell_type": "code", "input": ["x = 1"]}, {"cell_type": "code", "input": "y"}]}]}', text.notebook_code) == "x = 1\ny"
+    assert one(spark, '{"other": 1}', text.notebook_code) == '{"other": 1}'
     assert one(spark, "<b>x</b><script>y</script> &lt;", text.strip_html) == "x <"
 
 
