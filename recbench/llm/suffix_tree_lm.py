@@ -7,6 +7,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -23,8 +24,13 @@ WORDS, HOT = 4_000_000, 1_000_000
 #: Counts below which a context or an entry says nothing.
 LEAST_CONTEXT, LEAST_NEXT = 8, 2
 DISCOUNT = 0.5
-#: Numbers gathered in a task before they are counted and sent on.
-HELD = 6_000_000
+#: Numbers gathered in a task before they are counted and sent on; keys of one packed row; tokens of a bucket of keys.
+HELD, PACKED, BUCKET = 6_000_000, 1_000, 1 << 21
+#: Context lengths counted in one reading of the texts, from the fourth on.
+DEEP = 4
+#: Values of a bucket that are looked up in one process's memory; and what tells the kinds of rows on the way apart.
+ASKED = 1 << 18
+VALUES, GRAMS, WORDS_ASKED, TOLD = range(4)
 #: Marks the keys of words where they are looked up beside those of grams.
 WORD_MARK = 0x2545F4914F6CDD1D
 #: A filter of keys is SLICES parts of up to 2 ** PART bits, about 16 bits a key where that is less. It lets some other
@@ -219,55 +225,123 @@ def _places_in_text(rows: np.ndarray) -> np.ndarray:
     return np.arange(rows[-1]) - np.repeat(rows[:-1], np.diff(rows))
 
 
-def _grams(length: int, sent):
-    """(key, ctx, suf) of runs of a context of `length` tokens and the next one: all but the last, all but the first token.
+def _grams(first: int, last: int, sent):
+    """(key, ctx, suf) of runs of a context and the next token, for contexts of first to last tokens: all but the last,
+    all but the first token.
 
-    sent: filters of contexts and of suf; or only one, of contexts without their first token.
+    sent: filters of contexts and of suf; or only one, of contexts of first - 1 tokens, which those of the first length
+    must end with. Longer ones are taken wherever those of the first length are.
     """
 
-    def run(tokens: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
-        shorter, grams = None, tokens
-        for _ in range(length - 1):
+    def run(tokens: np.ndarray, rows: np.ndarray) -> Iterator[list[np.ndarray]]:
+        shorter, grams, places = None, tokens, _places_in_text(rows)
+        for _ in range(first - 1):
             shorter, grams = grams, _longer(grams)
         context, nexts = sent.value
-        at = np.flatnonzero(_places_in_text(rows) >= length)
+        at = np.flatnonzero(places >= first)
         at = at[context.may_have((grams if nexts else shorter)[at - 1])]
         if nexts:
             at = at[nexts.may_have(grams[at])]
-        ctx, suf = grams[at - 1], grams[at]
-        return [textkernel.combine([ctx, suf]), ctx, suf]
+        for length in range(first, last + 1):
+            if length > first:
+                grams, at = _longer(grams), at[places[at] >= length]
+            ctx, suf = grams[at - 1], grams[at]
+            yield [textkernel.combine([ctx, suf]), ctx, suf]
 
     return run
 
 
-def _count(keys_of, names: list[str]):
-    """Keys of training texts with their numbers, summed over up to HELD keys of a task at a time."""
+def _distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(columns of one row for each key, the sorted keys' first places, the order) by the first column."""
+    key = columns[0]
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return [x[order[first]] for x in columns], first, order
 
-    def counted(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+
+def _packed(keys_of, bits: int):
+    """Rows (level, bucket, keys) of training texts: PACKED keys of one bucket at most, packed, with their numbers.
+
+    A key's leading bits are its bucket. keys_of yields the columns of each level, the key first.
+    """
+
+    def packed(level: int, held: list[list[np.ndarray]]) -> pa.RecordBatch:
         columns = [np.concatenate(x) for x in zip(*held, strict=True)]
         held.clear()
-        _, first, n = np.unique(columns[0], return_index=True, return_counts=True)
-        columns = [x[first].view(np.int64) for x in columns[-len(names) :]]
-        yield from sliced(pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n)], [*names, "n"]))
+        size = len(columns[0])
+        columns, first, _ = _distinct(columns)
+        n = np.diff(np.append(first, size)).astype(np.int32)
+        cuts = np.searchsorted(columns[0], np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+        cuts = np.unique(np.concatenate([cuts, np.arange(0, len(n), PACKED), [len(n)]]))
+        cuts = cuts[: np.searchsorted(cuts, len(n)) + 1]
+        own = columns[1:] or columns
+        blobs = [b"".join([*(x[i:j].tobytes() for x in own), n[i:j].tobytes()]) for i, j in zip(cuts, cuts[1:], strict=False)]
+        buckets = (columns[0][cuts[:-1]] >> np.uint64(64 - bits)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(blobs), level, np.int32)), pa.array(buckets), pa.array(blobs, pa.binary())], ["level", "bucket", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: dict[int, list[list[np.ndarray]]] = {}
+        size = 0
         for batch in batches:
             for w in textkernel.words(batch.column(0)):
-                held.append(keys_of(*_tokens(w)))
-                size += sum(map(len, held[-1]))
+                for level, columns in enumerate(keys_of(*_tokens(w))):
+                    held.setdefault(level, []).append(columns)
+                    size += sum(map(len, columns))
                 if size > HELD:
-                    yield from counted(held)
-                    size = 0
-        if held:
-            yield from counted(held)
+                    for level, columns in held.items():
+                        yield from sliced(packed(level, columns))
+                    held, size = {}, 0
+        for level, columns in held.items():
+            yield from sliced(packed(level, columns))
+
+    return run
+
+
+def _unpacked(width: int, names: list[str], least: int):
+    """Rows (level, names, n) of the keys that occur at least so often, from rows of _packed sorted by (level, bucket)."""
+
+    def merged(level: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = [[] for _ in range(width + 1)]
+        for blob in blobs:
+            k = len(blob) // (8 * width + 4)
+            for i in range(width):
+                parts[i].append(np.frombuffer(blob, np.uint64, k, 8 * k * i))
+            parts[width].append(np.frombuffer(blob, np.int32, k, 8 * k * width))
+        blobs.clear()
+        columns = [np.concatenate(x) for x in parts]
+        key = columns[0] if width == 1 else textkernel.combine(columns[:width])
+        _, first, order = _distinct([key])
+        n = np.add.reduceat(columns[width][order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        kept = n >= least
+        out = [pa.array(x[order[first[kept]]].view(np.int64)) for x in columns[:width]]
+        yield from sliced(pa.RecordBatch.from_arrays([pa.array(np.full(int(kept.sum()), level, np.int32)), *out, pa.array(n[kept])], ["level", *names, "n"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blobs = None, []
+        for batch in batches:
+            levels, buckets = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for of, blob in zip(zip(levels, buckets, strict=True), batch.column(2), strict=True):
+                if of != now and blobs:
+                    yield from merged(now[0], blobs)
+                    blobs = []
+                now = of
+                blobs.append(blob.as_py())
+        if blobs:
+            yield from merged(now[0], blobs)
 
     return run
 
 
-def _counted(train: DataFrame, keys_of, names: list[str]) -> DataFrame:
-    """Keys with their numbers over all training texts. Tasks have summed before; so rows are dealt out as they come."""
-    return train.mapInArrow(released(_count(keys_of, names)), f"{' long, '.join(names)} long, n long").repartition(*names).groupBy(*names).agg(F.sum("n").alias("n"))
+def _counted(train: DataFrame, keys_of, names: list[str], bits: int, least: int = 1) -> DataFrame:
+    """(level, names, n): keys with their numbers over all training texts, if at least so many.
+
+    Tasks count what they have read and send packed keys by bucket, of about BUCKET tokens each; a bucket is merged at
+    a time.
+    """
+    packed = train.mapInArrow(released(_packed(keys_of, bits)), "level int, bucket int, keys binary")
+    packed = packed.repartition("level", "bucket").sortWithinPartitions("level", "bucket")
+    return packed.mapInArrow(released(_unpacked(len(names), names, least)), f"level int, {' long, '.join(names)} long, n long")
 
 
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,86 +377,214 @@ def _values(states: DataFrame) -> DataFrame:
     return states.select("key", "n", "v").unionByName(contexts)
 
 
-def _levels(train: DataFrame, words: DataFrame, total: int, distinct: int, tables: Tables) -> list[DataFrame]:
-    """For contexts of one, two, ... tokens the values of what stays in the tree. The entries of a level go once the next has them."""
-    spark, values, before = train.sparkSession, [], None
+def _levels(train: DataFrame, words: DataFrame, total: int, distinct: int, bits: int, tables: Tables) -> list[DataFrame]:
+    """For contexts of one, two, ... tokens the values of what stays in the tree. The entries of a level go once the next has them.
+
+    From the fourth length on, DEEP lengths are counted in one reading of the texts.
+    """
+    spark, values, deep, upto = train.sparkSession, [], None, 0
     grams = words.select("key", "n", ((F.col("n") + 1) / (total + distinct + 1)).alias("p"))
     while True:
         length = len(values) + 1
-        if length <= 2:
-            able = grams.filter(F.col("n") >= LEAST_CONTEXT)
-            filters = _keys(able), _keys(grams.filter(F.col("n") >= LEAST_NEXT))
-        else:
-            filters = _keys(grams.filter("kept").select(F.col("ctx").alias("key")).distinct()), None
-        sent = spark.sparkContext.broadcast(filters)
-        entries = _counted(train, _grams(length, sent), ["ctx", "suf"])
+        able = grams.filter(F.col("n") >= LEAST_CONTEXT)
+        if length > upto:
+            filters = (_keys(able), _keys(grams.filter(F.col("n") >= LEAST_NEXT))) if length <= 2 else (_keys(grams.filter("kept").select(F.col("ctx").alias("key")).distinct()), None)
+            sent, first, upto = spark.sparkContext.broadcast(filters), length, length if length <= 3 else length + DEEP - 1
+            deep = _counted(train, _grams(first, upto, sent), ["ctx", "suf"], bits, LEAST_NEXT if length <= 2 else 1)
+            deep = tables.write(deep, f"counts-{first}")
+            tables.settle()
+        entries = deep.filter(F.col("level") == length - first).drop("level")
         shorter = grams.select(F.col("key").alias("suf"), F.col("p").alias("q"))
         if length <= 2:
-            entries = entries.filter(F.col("n") >= LEAST_NEXT).join(shorter, "suf").join(able.select(F.col("key").alias("ctx"), F.col("n").alias("nc")), "ctx")
+            entries = entries.join(shorter, "suf").join(able.select(F.col("key").alias("ctx"), F.col("n").alias("nc")), "ctx")
         else:
             entries = entries.withColumn("nc", F.sum("n").over(Window.partitionBy("ctx"))).filter((F.col("n") >= LEAST_NEXT) & (F.col("nc") >= LEAST_CONTEXT))
             entries = entries.join(shorter.join(grams.filter("kept").select(F.col("key").alias("suf")), "suf"), "suf")
         before, grams = grams, tables.write(_tested(entries, total), f"entries-{length}")
-        sent.destroy()
         if length == 2:  # every suffix of a state is a state; longer states extend states
             pairs = grams.filter("kept").select(F.col("ctx").alias("key")).distinct()
             suffixes = before.join(pairs, "key", "left_semi").select(F.col("suf").alias("ctx"))
-            first = before.join(before.filter("kept").select("ctx").unionByName(suffixes).distinct(), "ctx", "left_semi")
-            values[0] = tables.write(_values(first), "values-1")
+            one = before.join(before.filter("kept").select("ctx").unionByName(suffixes).distinct(), "ctx", "left_semi")
+            values[0] = tables.write(_values(one), "values-1")
         values.append(tables.write(_values(grams.filter("kept")), f"values-{length}") if length > 1 else None)
         if length > 1:
             tables.drop(f"entries-{length - 1}")
+        done = length > 1 and grams.filter("kept").isEmpty()
+        if length == upto or done:
+            sent.destroy()
+            tables.drop(f"counts-{first}")
         tables.settle()
-        if length > 1 and grams.filter("kept").isEmpty():
+        if done:
             tables.drop(f"entries-{length}")
             return values
 
 
-def _score(sent, longest: int):
-    """A row for each text with what frequent words and grams add, and one for each other key in it with its times.
+class Lookup:
+    """Values by key, in one process's memory; its hash table is made where it is first used."""
 
-    longest: tokens of the longest gram with a value.
-    """
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values, self._index = keys, values, None
+
+    def __getstate__(self) -> tuple:
+        return self.keys, self.values
+
+    def __setstate__(self, state: tuple) -> None:
+        self.keys, self.values, self._index = *state, None
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Places of wanted, -1 where absent."""
+        if self._index is None:
+            self._index = pd.Index(self.keys)
+        return self._index.get_indexer(wanted)
 
-    def asked(rows: np.ndarray, keys: np.ndarray, row: int, word: bool) -> pa.RecordBatch:
-        order = np.lexsort((keys, rows))
-        rows, keys = rows[order], keys[order]
-        new = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])))) if len(rows) else np.zeros(0, np.int64)
-        n, times = len(new), np.diff(np.append(new, len(rows))).astype(np.int32)
-        none = [pa.nulls(n, kind) for kind in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-        return pa.RecordBatch.from_arrays([pa.array(rows[new] + row), *none, pa.array(keys[new].view(np.int64)), pa.array(times), pa.array(np.full(n, word))], names)
 
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "more", "key", "times", "word"]
+def _bucketed(bits: int, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets of keys by their leading bits, with the places of each one's keys."""
+    own = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    order = np.argsort(own, kind="stable")
+    cuts = np.flatnonzero(np.diff(own[order])) + 1
+    for i, j in zip([0, *cuts], [*cuts, len(own)], strict=True):
+        if j > i:
+            yield int(own[order[i]]), order[i:j]
+
+
+MESSAGE = "bucket int, kind int, chunk long, body binary"
+
+
+def _messages(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "kind", "chunk", "body"])
+
+
+def _offered(bits: int):
+    """Messages of the values (key, more, base) by bucket, some PACKED in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (words, log0, valued, hot, v), row = sent.value, TaskContext.get().partitionId() << 33
+        for batch in batches:
+            keys, more, base = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            rows = [(bucket, VALUES, 0, keys[at].tobytes() + more[at].tobytes() + base[at].tobytes()) for bucket, at in _bucketed(bits, keys)]
+            if rows:
+                yield from sliced(_messages(rows))
+
+    return run
+
+
+def _score(sent, longest: int, bits: int, unknown: float):
+    """Messages of each chunk of texts: what is known of its texts here, and which keys are to be looked up for which text.
+
+    longest: tokens of the longest gram with a value; unknown: log10 of the base of a word never seen.
+    """
+
+    def asked(kind: int, chunk: int, rows: np.ndarray, keys: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+        out = []
+        for bucket, at in _bucketed(bits, keys):
+            for i in range(0, len(at), PACKED):
+                part = at[i : i + PACKED]
+                out.append((bucket, kind, chunk, keys[part].tobytes() + rows[part].astype(np.int32).tobytes()))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (words, seen, valued, hot), chunk = sent.value, TaskContext.get().partitionId() << 33
         for batch in batches:
             for w in textkernel.words(batch.column(2)):
                 tokens, rows = _tokens(w)
-                n, at = w.last - w.first, _find(words, tokens)
-                base = np.where(at >= 0, log0[at], 0.0) if len(log0) else np.zeros(len(at))
+                n, at = w.last - w.first, words.find(tokens)
+                base = np.where(at >= 0, words.values[at], 0.0) if len(words.keys) else np.zeros(len(at))
                 more, cold, places = np.zeros(len(tokens)), [], _places_in_text(rows)
-                grams = tokens
+                rare, row_of = np.flatnonzero(at < 0), np.repeat(np.arange(n), np.diff(rows))
+                may = seen.may_have(tokens[rare])
+                base[rare[~may]] = unknown
+                messages = asked(WORDS_ASKED, chunk, row_of[rare[may]], tokens[rare[may]] ^ np.uint64(WORD_MARK))
+                grams, may = tokens, np.ones(len(tokens), bool)
                 for length in range(1, longest + 1):
+                    # A gram with a value is a state, as is then its suffix, or an entry of one, which is all but its last token.
+                    here = np.flatnonzero((may | _before(may)) & (places >= length - 1))
                     grams = grams if length == 1 else _longer(grams)
-                    here = np.flatnonzero(places >= length - 1)
                     here = here[valued.may_have(grams[here])]
-                    found = _find(hot, grams[here])
-                    more[here[found >= 0]] += v[found[found >= 0]]
+                    may = np.zeros(len(tokens), bool)
+                    may[here] = True
+                    found = hot.find(grams[here])
+                    more[here[found >= 0]] += hot.values[found[found >= 0]] if len(hot.keys) else 0.0
                     here = here[found < 0]
                     cold.append((here, grams[here]))
-                rare, row_of = np.flatnonzero(at < 0), np.repeat(np.arange(n), np.diff(rows))
-                sums = [pa.array(np.add.reduceat(x, rows[:-1])) for x in ((at >= 0).astype(np.int64), base, more)]
-                told = [pa.array(np.arange(row, row + n)), batch.column(0).slice(w.first, n), batch.column(1).slice(w.first, n), pa.array(np.diff(rows)), *sums]
-                yield pa.RecordBatch.from_arrays([*told, pa.array(textkernel.mix(np.arange(row, row + n).astype(np.uint64)).view(np.int64)), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, bool))], names)
-                yield from sliced(asked(row_of[rare], tokens[rare] ^ np.uint64(WORD_MARK), row, True))
                 cold_at, cold_keys = (np.concatenate(x) for x in zip(*cold, strict=True))
-                yield from sliced(asked(row_of[cold_at], cold_keys, row, False))
-                row += n
+                messages += asked(GRAMS, chunk, row_of[cold_at], cold_keys)
+                sums = [pa.array(np.add.reduceat(x, rows[:-1])) for x in ((at >= 0).astype(np.int64), base, more)]
+                told = [batch.column(0).slice(w.first, n), batch.column(1).slice(w.first, n), pa.array(np.diff(rows)), *sums]
+                body = pa.RecordBatch.from_arrays(told, ["doc_id", "held_out", "n_tokens", "n_known", "base", "more"])
+                stream = pa.BufferOutputStream()
+                with pa.ipc.new_stream(stream, body.schema) as out:
+                    out.write_batch(body)
+                # Told rows ride along in any bucket.
+                messages.append((chunk % (1 << bits), TOLD, chunk, stream.getvalue().to_pybytes()))
+                yield from sliced(_messages(messages), 1_000)
+                chunk += 1
 
     return run
 
 
+def _answered(unknown: float):
+    """From messages sorted by (bucket, kind), values first: told ones as they are, asked ones as sums for their texts."""
+
+    def answer(chunk: int, kind: int, body: bytes, values: Lookup, base: np.ndarray) -> tuple[int, int, int, bytes]:
+        k = len(body) // 12
+        keys, rows = np.frombuffer(body, np.uint64, k), np.frombuffer(body, np.int32, k, 8 * k)
+        at = values.find(keys)
+        found = at >= 0
+        own, where = np.unique(rows, return_inverse=True)
+        known = found & (kind == WORDS_ASKED)
+        total = lambda x: np.bincount(where, weights=x, minlength=len(own))
+        if len(values.keys):
+            more, logs = np.where(found, values.values[at], 0.0), np.where(found, base[at], unknown)
+        else:
+            more, logs = np.zeros(k), np.full(k, unknown)
+        sums = [total(more), total(logs if kind == WORDS_ASKED else np.zeros(k)), total(known)]
+        return 0, GRAMS, chunk, own.tobytes() + b"".join(x.tobytes() for x in sums)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, values, base = None, [], None, None
+        for batch in batches:
+            out = []
+            for bucket, kind, chunk, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if bucket != now:
+                    now, parts, values = bucket, [], None
+                if kind == VALUES:
+                    parts.append(body)
+                    continue
+                if kind == TOLD:
+                    out.append((0, TOLD, chunk, body))
+                    continue
+                if values is None:
+                    sizes = [len(x) // 24 for x in parts]
+                    columns = [np.concatenate([np.frombuffer(x, kind_, k, 8 * k * i) for x, k in zip(parts, sizes, strict=True)] or [np.zeros(0, kind_)]) for i, kind_ in enumerate((np.uint64, np.float64, np.float64))]
+                    values, base, parts = Lookup(columns[0], columns[1]), columns[2], []
+                out.append(answer(chunk, kind, body, values, base))
+            if out:
+                yield _messages(out)
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of each chunk with all sums, from messages sorted by (chunk, kind), what was told last."""
+    now, bodies = None, []
+    for batch in batches:
+        for kind, chunk, body in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            if chunk != now:
+                now, bodies = chunk, []
+            if kind != TOLD:
+                bodies.append(body)
+                continue
+            told = pa.ipc.open_stream(body).read_all().combine_chunks().to_batches()[0]
+            n_known, base, more = (told.column(i).to_numpy().astype(np.float64) for i in (3, 4, 5))
+            for x in bodies:
+                k = len(x) // 28
+                own = np.frombuffer(x, np.int32, k)
+                for i, column in enumerate((more, base, n_known)):
+                    column[own] += np.frombuffer(x, np.float64, k, 4 * k + 8 * k * i)
+            yield pa.RecordBatch.from_arrays([*told.columns[:3], pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(base + more)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+
 def _gathered(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys and values of a table whose size has a proven bound."""
     table = df.toArrow()
@@ -409,10 +611,12 @@ def score_texts(docs: DataFrame, tables: Tables, modulus: int = 7, id_col: str =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), modulus).alias("held_out"), F.col(text_col).alias("text"))
     train = rows.filter("not held_out").select("text")
-    words = tables.write(_counted(train, lambda tokens, rows: [tokens], ["key"]), "words")
+    size = train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = min(20, max(6, (size // 6 // BUCKET).bit_length()))
+    words = tables.write(_counted(train, lambda tokens, rows: [[tokens]], ["key"], bits).drop("level"), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     scale = math.log10(total + distinct + 1)
-    levels = _levels(train, words, total, distinct, tables)
+    levels = _levels(train, words, total, distinct, bits, tables)
     values = functools.reduce(DataFrame.unionByName, levels)
     values = tables.write(values.groupBy("key").agg(F.max("n").alias("n"), F.sum("v").alias("v")), "values")
     tables.drop(*(f"values-{i + 1}" for i in range(len(levels))))
@@ -420,14 +624,15 @@ def score_texts(docs: DataFrame, tables: Tables, modulus: int = 7, id_col: str =
     often, much = F.col("n") >= max(1, math.ceil(total / WORDS)), F.col("n") >= total / HOT
     frequent, n = _gathered(words.filter(often))
     hot, v = _gathered(values.filter(much).select("key", "v"))
-    sent = rows.sparkSession.sparkContext.broadcast((frequent, np.log10(n + 1.0) - scale, _keys(values), hot, v))
-    columns = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, more double, key long, times int, word boolean"
-    asked = rows.mapInArrow(released(_score(sent, len(levels) + 1)), columns)
-    seldom = words.filter(~often).select(F.col("key").bitwiseXOR(F.lit(WORD_MARK)).alias("key"), "n", F.lit(None).cast("double").alias("v"))
-    found = asked.join(seldom.unionByName(values.filter(~much).select("key", F.lit(None).cast("long").alias("n"), "v")), "key", "left")
-    whole = [F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")]
-    known = F.sum(F.coalesce("n_known", F.when(F.col("n").isNotNull(), F.col("times")), F.lit(0)))
-    base = F.sum(F.coalesce("base", F.when(F.col("word"), F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 1) - F.lit(scale))), F.lit(0.0)))
-    more = F.sum(F.coalesce("more", F.col("times") * F.col("v"), F.lit(0.0)))
-    out = found.groupBy("row").agg(*whole, known.cast("long").alias("n_known"), base.alias("base_score"), more.alias("more"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("more")).alias("score"))
+    seldom = words.filter(~often)
+    sent = rows.sparkSession.sparkContext.broadcast((Lookup(frequent, np.log10(n + 1.0) - scale), _keys(seldom), _keys(values), Lookup(hot, v)))
+    seldom = seldom.select(F.col("key").bitwiseXOR(F.lit(WORD_MARK)).alias("key"), F.lit(0.0).alias("more"), (F.log10(F.col("n") + 1) - F.lit(scale)).alias("base"))
+    offered = seldom.unionByName(values.filter(~much).select("key", F.col("v").alias("more"), F.lit(0.0).alias("base")))
+    bits = (offered.count() // ASKED).bit_length()
+    asked = rows.mapInArrow(released(_score(sent, len(levels) + 1, bits, -scale)), MESSAGE).unionByName(offered.mapInArrow(released(_offered(bits)), MESSAGE))
+    answers = asked.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(released(_answered(-scale)), MESSAGE)
+    answers = tables.write(answers, "answers")
+    tables.settle()
+    whole = answers.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(released(_summed), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = tables.write(whole, "scored")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
