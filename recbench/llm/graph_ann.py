@@ -201,11 +201,11 @@ def nearest(vectors: DataFrame, tables: Tables, k: int = 20, every: int = 20, sh
     classes = few.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     square = F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     # A vector's id alone may stand for several vectors.
-    classes = tables.write(classes.select(F.monotonically_increasing_id().alias("cid"), F.size("vector").alias("dim"), "vector", "ids", square.alias("square")), "classes")
+    classes = tables.write(classes.select(F.monotonically_increasing_id().alias("cid"), F.size("vector").cast("long").alias("dim"), "vector", "ids", square.alias("square")), "classes")
     dims = classes.groupBy("dim").agg(F.max("square").alias("largest"), F.ceil(F.count(F.lit(1)) / shard).alias("shards"))
     nodes = classes.select("cid", "dim", "vector", "ids").join(dims, "dim").withColumn("shard", F.pmod(F.xxhash64("cid"), F.col("shards")))
     kind = dict(rows.dtypes)["vector"]
-    graph = nodes.groupBy("dim", "shard").applyInArrow(_build, f"dim int, shard long, at long, entry long, vector {kind}, largest double, lift float, edges binary, ids array<long>")
+    graph = nodes.groupBy("dim", "shard").applyInArrow(_build, f"dim long, shard long, at long, entry long, vector {kind}, largest double, lift float, edges binary, ids array<long>")
     graph = tables.write(graph, "graph")
     asked = rows.filter(F.col("vec_id") % every == 0)
     asked = tables.write(asked.join(classes.select("vector", "cid"), "vector").select("vec_id", "cid"), "asked")

@@ -119,7 +119,7 @@ def test_members_of_a_template_corpus_grow_in_proportion(spark, tables):
 def test_nearest_over_several_shards(spark, tables):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(3000, 24))
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100_000 + 20 * i, [1e200 * (i + 1), 1e-200]) for i in range(4)] + [(200_020, [1.0])]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100_000 + 20 * i, [1e100 * (i + 1), 1e-100]) for i in range(4)] + [(200_020, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cid", F.lit("clash")).withColumn("shard", F.lit(1))
     got = collections.defaultdict(list)
     for r in graph_ann.nearest(df, tables, shard=800, block=60).orderBy("query_id", "rank").collect():
