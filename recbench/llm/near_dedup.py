@@ -306,7 +306,8 @@ def near_dedup(docs: DataFrame, tables: Tables, shingle: int = 5, percent: int =
     classes = met.dropDuplicates(["fa", "fb"]).select(F.monotonically_increasing_id().alias("cid"), "rep", "fa", "fb", F.col("n_shingles").alias("size"), "halves", "low")
     classes = tables.write(classes, "classes")
     keyed = classes.select("cid", "halves").mapInArrow(released(_buckets(of.side)), "cid long, key long")
-    keyed = tables.write(keyed, "keyed")
+    # Most keys are of one class, so nothing is summed before the shuffle, which the count and the join share.
+    keyed = tables.write(keyed, "keyed").repartition("key")
     order = F.xxhash64(F.pmod(F.col("key"), F.lit(PIVOTS)))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("cid").bitwiseXOR(order)).alias("m")).filter("n > 1").select("key", "n", F.col("m").bitwiseXOR(order).alias("pivot"))
     members = tables.write(keyed.join(shared, "key"), "members")

@@ -618,7 +618,7 @@ def score_texts(docs: DataFrame, tables: Tables, modulus: int = 7, id_col: str =
     scale = math.log10(total + distinct + 1)
     levels = _levels(train, words, total, distinct, bits, tables)
     values = functools.reduce(DataFrame.unionByName, levels)
-    values = tables.write(values.groupBy("key").agg(F.max("n").alias("n"), F.sum("v").alias("v")), "values")
+    values = tables.write(values.repartition("key").groupBy("key").agg(F.max("n").alias("n"), F.sum("v").alias("v")), "values")
     tables.drop(*(f"values-{i + 1}" for i in range(len(levels))))
     tables.settle()
     often, much = F.col("n") >= max(1, math.ceil(total / WORDS)), F.col("n") >= total / HOT
