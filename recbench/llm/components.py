@@ -19,8 +19,8 @@ def connected_components(links: DataFrame, tables: Tables, name: str, known: Dat
     """(node, component) of every node of links (a, b), and of known; component is the smallest node reachable.
 
     Each round sends every node to its least neighbour, follows these steps down to their end, and contracts the links
-    to the ends, so that links inside what has come together are gone for the next round. known: (node, component) of
-    other links found before. Only whether any links are left is asked on the driver.
+    to the ends, so that links inside what has come together are gone for the next round. A table goes once what follows
+    from it is written. known: (node, component) of other links found before. Only whether any links are left is asked on the driver.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
     nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
@@ -38,7 +38,9 @@ def connected_components(links: DataFrame, tables: Tables, name: str, known: Dat
             j += 1
             further = to.join(to.toDF("to", "further"), "to").select("node", F.col("further").alias("to"), (F.col("further") != F.col("to")).alias("moved"))
             further = tables.write(further, f"{name}-to-{k}-{j}")
+            tables.drop(f"{name}-to-{k}-{j - 1}")
             to, moved = further.select("node", "to"), not further.filter("moved").isEmpty()
         labels = labels.join(to.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
         labels, edges = tables.write(labels, f"{name}-labels-{k}"), tables.write(_renamed(edges, to), f"{name}-edges-{k}")
+        tables.drop(f"{name}-labels-{k - 1}", f"{name}-edges-{k - 1}", f"{name}-to-{k}-{j}")
     return labels

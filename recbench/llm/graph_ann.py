@@ -11,7 +11,7 @@ from .common import Tables
 
 #: Vectors of a shard and queries of a block: as many as a task may hold, as every query is searched in every shard, and
 #: a search's time hardly grows with its shard.
-SHARD, QUERIES = 32_768, 32_768
+SHARD, QUERIES = 16_384, 32_768
 #: Edges of a node, beam while building and while searching, slack of the pruning rule, nodes expanded at a time.
 DEGREE, BUILD_BEAM, BEAM, ALPHA, WIDTH = 32, 64, 192, 1.2, 4
 #: Points inserted or queries searched together.

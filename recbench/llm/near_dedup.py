@@ -337,6 +337,8 @@ def near_dedup(docs: DataFrame, tables: Tables, shingle: int = 5, percent: int =
     dealt = dealt.repartition("key", "unit").sortWithinPartitions("key", "unit")
     second = dealt.mapInArrow(released(_cross_pairs(percent)), "a long, b long")
     more = tables.write(confirmed(second), "more-links")
+    tables.drop("members", "placed", "dealt", "sets", "links")
+    tables.settle()
     labels = connected_components(more, tables, "final", first_labels).withColumnRenamed("node", "cid")
 
     least = classes.select("cid", "fa", "fb", "rep").join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
