@@ -25,7 +25,7 @@ WORDS, HOT = 4_000_000, 1_000_000
 LEAST_CONTEXT, LEAST_NEXT = 8, 2
 DISCOUNT = 0.5
 #: Numbers gathered in a task before they are counted and sent on; keys of one packed row; tokens of a bucket of keys.
-HELD, PACKED, BUCKET = 2_400_000, 1_000, 1 << 21
+HELD, PACKED, BUCKET = 2_400_000, 256, 1 << 21
 #: Context lengths counted in one reading of the texts, from the fourth on.
 DEEP = 4
 #: Values of a bucket that are looked up in one process's memory; and what tells the kinds of rows on the way apart.
@@ -290,10 +290,10 @@ def _packed(keys_of, bits: int):
                     size += sum(map(len, columns))
                 if size > HELD:
                     for level, columns in held.items():
-                        yield from sliced(packed(level, columns), 500)
+                        yield from sliced(packed(level, columns), 1_000)
                     held, size = {}, 0
         for level, columns in held.items():
-            yield from sliced(packed(level, columns), 500)
+            yield from sliced(packed(level, columns), 1_000)
 
     return run
 
