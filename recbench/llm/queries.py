@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, exact_dedup, graph_ann, language_id, line_dedup, mixing, near_dedup, packing, suffix_tree_lm, token_counts
+from . import alignment, chat, common, exact_dedup, graph_ann, language_id, line_dedup, mixing, near_dedup, packing, phrases, quality, suffix_tree_lm, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,6 +151,54 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_documents(spark, sf_dir), common.Tables(spark))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), common.Tables(spark))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(_documents(spark, sf_dir), common.Tables(spark))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_documents(spark, sf_dir), common.Tables(spark))
+
+
+OP13_SQL = r"""
+with pieces as (
+    select d, coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece
+    from (select row_number() over () as d, lang,
+                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)),
+split as (select row_number() over () as p, lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from pieces),
+words as (select p, lang, unnest(ws) as w, generate_subscripts(ws, 1) as i from split),
+runs as (
+    select lang, w as w1, lead(w, 1) over o as w2, lead(w, 2) over o as w3, lead(w, 3) over o as w4
+    from words window o as (partition by p order by i)),
+f as (
+    select lang, [w1] as ph, count(*) as a from runs group by lang, w1 having count(*) >= 30
+    union all select lang, [w1, w2], count(*) from runs where w2 is not null group by lang, w1, w2 having count(*) >= 30
+    union all select lang, [w1, w2, w3], count(*) from runs where w3 is not null group by lang, w1, w2, w3 having count(*) >= 30
+    union all select lang, [w1, w2, w3, w4], count(*) from runs where w4 is not null group by lang, w1, w2, w3, w4 having count(*) >= 30),
+totals as (select lang, count(*) as n from words group by lang),
+cuts as (select lang, ph, a, unnest(generate_series(1, len(ph) - 1)) as k from f where len(ph) > 1),
+cut as (
+    select c.lang, c.ph, c.a, c.k, x.a as l, y.a as r, (2000000::hugeint * c.a) // (x.a + y.a) as score
+    from cuts c join f x on x.lang = c.lang and x.ph = c.ph[:c.k] join f y on y.lang = c.lang and y.ph = c.ph[c.k + 1:]),
+lowest as (select * from cut qualify row_number() over (partition by lang, ph order by score, k) = 1),
+parts as (
+    select lang, a, ph[i:j] as part
+    from (select lang, a, ph, unnest(generate_series(1, len(ph) - 1)) as i from f where len(ph) > 2), generate_series(2, 4) g(j)
+    where j > i and j <= len(ph) and j - i + 1 < len(ph)),
+outer_most as (select lang, part, max(a) as most from parts group by lang, part),
+kept as (
+    select b.*, array_to_string(b.ph, ' ') as phrase
+    from lowest b left join outer_most m on m.lang = b.lang and m.part = b.ph
+    where m.most is null or 100::hugeint * m.most < 80::hugeint * b.a)
+select k.lang, row_number() over (partition by k.lang order by k.score desc, k.a desc, k.phrase) as rank, k.phrase, k.a, k.l, k.r, t.n, k.score::bigint as score
+from kept k join totals t on t.lang = k.lang
+qualify rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_formatting": op2_chat_formatting,
@@ -162,5 +210,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_near_dedup": op10_near_dedup,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_collocations": op13_collocations,
 }
-SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op6_line_dedup": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
+SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op6_line_dedup": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_mixing": OP9_SQL, "op13_collocations": OP13_SQL}

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel
 from .common import Tables, held_out, released, sliced
+from .keyfilter import key_filter
 
 #: The token after each text's last word.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -33,9 +34,6 @@ ASKED = 1 << 18
 VALUES, GRAMS, WORDS_ASKED, TOLD = range(4)
 #: Marks the keys of words where they are looked up beside those of grams.
 WORD_MARK = 0x2545F4914F6CDD1D
-#: A filter of keys is SLICES parts of up to 2 ** PART bits, about 16 bits a key where that is less. It lets some other
-#: keys through, which a join then drops.
-SLICES, PART = 16, 24
 
 
 def _tokens(w: textkernel.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -165,52 +163,6 @@ class Model:
         return at, base, np.log10(np.where(known, p2, rest * rest2))
 
 
-class Keys:
-    """Whether keys may be in a set: never no for one that is."""
-
-    def __init__(self, bits: np.ndarray, part: int):
-        self.bits, self.part = bits, part
-
-    @staticmethod
-    def probes(keys: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
-        own = np.uint64((1 << part) - 1)
-        return (keys & own).astype(np.int64), (keys >> np.uint64(part) & own).astype(np.int64)
-
-    def may_have(self, keys: np.ndarray) -> np.ndarray:
-        first, out = (keys >> np.uint64(60)).astype(np.int64) << self.part, np.ones(len(keys), bool)
-        for at in self.probes(keys, self.part):
-            at |= first
-            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-        return out
-
-
-def _marked(part: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            keys = batch.column(0).to_numpy().view(np.uint64)
-            own = keys >> np.uint64(60)
-            for i in np.unique(own).tolist():
-                bits = held.setdefault(i, np.zeros(1 << part, bool))
-                for at in Keys.probes(keys[own == i], part):
-                    bits[at] = True
-        for i, bits in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["part", "bits"])
-
-    return run
-
-
-def _keys(df: DataFrame) -> Keys:
-    """The filter of the column key, of a bounded size."""
-    part = min(PART, max(10, (df.count() * 16 // SLICES).bit_length()))
-    parts = df.select("key").repartition(SLICES, F.shiftrightunsigned("key", 60)).mapInArrow(released(_marked(part)), "part int, bits binary").toArrow()
-    size = 1 << part - 3
-    bits = np.zeros(SLICES * size, np.uint8)
-    for i, x in zip(parts.column(0).to_pylist(), parts.column(1), strict=True):
-        bits[i * size : (i + 1) * size] = np.frombuffer(x.as_buffer(), np.uint8)
-    return Keys(bits, part)
-
-
 def _before(x: np.ndarray) -> np.ndarray:
     """x of the token before; what stands there at the first token has no meaning."""
     return np.concatenate((x[:1], x[:-1]))
@@ -388,7 +340,7 @@ def _levels(train: DataFrame, words: DataFrame, total: int, distinct: int, bits:
         length = len(values) + 1
         able = grams.filter(F.col("n") >= LEAST_CONTEXT)
         if length > upto:
-            filters = (_keys(able), _keys(grams.filter(F.col("n") >= LEAST_NEXT))) if length <= 2 else (_keys(grams.filter("kept").select(F.col("ctx").alias("key")).distinct()), None)
+            filters = (key_filter(able), key_filter(grams.filter(F.col("n") >= LEAST_NEXT))) if length <= 2 else (key_filter(grams.filter("kept").select(F.col("ctx").alias("key")).distinct()), None)
             sent, first, upto = spark.sparkContext.broadcast(filters), length, length if length <= 3 else length + DEEP - 1
             deep = _counted(train, _grams(first, upto, sent), ["ctx", "suf"], bits, LEAST_NEXT if length <= 2 else 1)
             deep = tables.write(deep, f"counts-{first}")
@@ -625,7 +577,7 @@ def score_texts(docs: DataFrame, tables: Tables, modulus: int = 7, id_col: str =
     frequent, n = _gathered(words.filter(often))
     hot, v = _gathered(values.filter(much).select("key", "v"))
     seldom = words.filter(~often)
-    sent = rows.sparkSession.sparkContext.broadcast((Lookup(frequent, np.log10(n + 1.0) - scale), _keys(seldom), _keys(values), Lookup(hot, v)))
+    sent = rows.sparkSession.sparkContext.broadcast((Lookup(frequent, np.log10(n + 1.0) - scale), key_filter(seldom), key_filter(values), Lookup(hot, v)))
     seldom = seldom.select(F.col("key").bitwiseXOR(F.lit(WORD_MARK)).alias("key"), F.lit(0.0).alias("more"), (F.log10(F.col("n") + 1) - F.lit(scale)).alias("base"))
     offered = seldom.unionByName(values.filter(~much).select("key", F.col("v").alias("more"), F.lit(0.0).alias("base")))
     bits = (offered.count() // ASKED).bit_length()
