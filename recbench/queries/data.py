@@ -481,6 +481,20 @@ def geo_divisions(spark, d):
     return geo.divisions(points, polygons).select("c_custkey", "division")
 
 
+@query(
+    "geo_many_polygons",
+    """with plots as (select p_partkey, (p_partkey * 7 % 600)::double as x, (p_partkey * 11 % 400)::double as y, (p_size * (1 + p_partkey % 3 * 4))::double as w, (1 + p_size % 7)::double as h from part),
+    places as (select s_suppkey, (s_suppkey * 13 % 620 + 0.5)::double as lon, (s_suppkey * 17 % 410 + 0.5)::double as lat from supplier)
+    select s_suppkey, min(p_partkey) as division from places left join plots on lon >= x and lon < x + w and lat >= y and lat < y + h and (lon - x) * h + (lat - y) * w < w * h group by 1""",
+)
+def geo_many_polygons(spark, d):
+    """A triangle for each part, of many sizes; the first that each supplier's place lies in."""
+    plots = X.table(spark, d, "part").selectExpr("p_partkey", "double(p_partkey * 7 % 600) as x", "double(p_partkey * 11 % 400) as y", "double(p_size * (1 + p_partkey % 3 * 4)) as w", "double(1 + p_size % 7) as h")
+    polygons = plots.selectExpr("p_partkey as index", "array(struct(x, y), struct(x + w as x, y), struct(x, y + h as y)) as polygon")
+    places = X.table(spark, d, "supplier").selectExpr("s_suppkey", "double(s_suppkey * 13 % 620) + 0.5 as lon", "double(s_suppkey * 17 % 410) + 0.5 as lat")
+    return geo.divisions(places, polygons, one_hot=False).select("s_suppkey", "division")
+
+
 @query("k1_ratings_text", f"with {RATINGS} select {OUT} from ratings")
 def k1_ratings_text(spark, d):
     path = scratch(spark, "files")

@@ -61,6 +61,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows from a table in the shared folder, where more than one pass needs them; runs as it is called."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def global_rank(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """rows with their place from 1 in a total order, without a task that holds all rows.
 

@@ -1,5 +1,8 @@
-"""Vectorizers by the name of a data set, polygons in several arrays, and heavy keys in blocks."""
+"""Vectorizers by the name of a data set, polygons by grid cells, and heavy keys in blocks."""
 
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,14 +23,47 @@ def test_names(spark):
         vectors("jester", {"ratings": rows}, ["none such"], [])
 
 
-def test_more_polygons_than_an_array_holds(spark):
-    squares = [(i, [(float(i), 0.0), (i + 2.0, 0.0), (i + 2.0, 1.0), (float(i), 1.0)]) for i in range(7)]
-    polygons = spark.createDataFrame(squares, "index int, polygon array<struct<x: double, y: double>>")
-    points = spark.createDataFrame([(x + 0.5, 0.5) for x in range(-1, 9)], "lon double, lat double")
-    told = lambda most: {r["lon"]: (r["division"], tuple(r["division_vector"])) for r in geo.divisions(points, polygons, most=most).collect()}
-    assert told(2) == told(5000)
-    assert {x: d for x, (d, _) in told(2).items()} == {-0.5: None, 0.5: 0, 1.5: 0, 2.5: 1, 3.5: 2, 4.5: 3, 5.5: 4, 6.5: 5, 7.5: 6, 8.5: None}
-    assert geo.divisions(points, polygons.limit(0)).first()["division_vector"] == []
+POLYGON = "index int, polygon array<struct<x: double, y: double>>"
+
+
+def test_polygons_of_all_sizes_equal_testing_each(spark):
+    """Against in_polygon for every pair: stars, slivers, boxes over cell borders, huge, tiny and degenerate ones."""
+    rng = np.random.default_rng(3)
+    shapes = [[(float(i), 0.0), (i + 2.0, 0.0), (i + 2.0, 1.0), (float(i), 1.0)] for i in range(7)]
+    for size in (1e-9, 1e-3, 0.7, 5.0, 64.0, 3e4):
+        for _ in range(12):
+            x, y = rng.uniform(-40, 40, 2)
+            turn = np.sort(rng.uniform(0, 2 * np.pi, rng.integers(3, 30)))
+            reach = size * rng.uniform(0.2, 1, len(turn))
+            shapes.append([(float(x + r * np.cos(t)), float(y + r * np.sin(t))) for t, r in zip(turn, reach, strict=True)])
+    shapes += [[(0.0, 0.0), (30.0, 1e-7), (0.0, 2e-7)], [(1.0, 1.0)], [(1.0, 1.0), (4.0, 4.0)], [], [(8.0, 8.0), (12.0, 8.0), (12.0, 12.0), (8.0, 12.0)], [(1e15, 1e15), (1e15 + 8, 1e15), (1e15, 1e15 + 8)]]
+    order = rng.permutation(len(shapes))
+    polygons = spark.createDataFrame([(i, shapes[k]) for i, k in enumerate(order.tolist())] + [(len(shapes), [(None, 0.0), (1.0, 1.0), (0.0, 1.0)])], POLYGON)
+    corners = [p for s in shapes for p in s]
+    places = [*corners[:150], *[(float(a), float(b)) for a, b in rng.uniform(-45, 45, (300, 2))], *[(float(a), float(b)) for a, b in rng.integers(-9, 13, (100, 2))], (1e15 + 1, 1e15 + 1), (1e300, 0.0), (-0.0, 0.5), (0.0, 0.5)]
+    places += places[:20] + [(None, 1.0), (float("nan"), 1.0), (float("inf"), 1.0)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "id int, lon double, lat double")
+    pairs = points.crossJoin(polygons.filter(~F.exists("polygon", lambda p: p["x"].isNull()))).filter(geo.in_polygon(F.col("lon"), F.col("lat"), F.col("polygon"))).filter("not isnan(lon) and abs(lon) < double('inf')")
+    want = {r["id"]: r["m"] for r in pairs.groupBy("id").agg(F.min("index").alias("m")).collect()}
+    out = geo.divisions(points, polygons, one_hot=False)
+    got = [(r["id"], r["division"]) for r in out.collect()]
+    assert sorted(got) == [(i, want.get(i)) for i in range(len(places))] and len(want) > 200 and out.columns == ["id", "lon", "lat", "division"]
+
+
+def test_no_step_of_points_with_polygons(spark, capsys):
+    polygons = spark.range(50_000).select(F.col("id").cast("int").alias("index"), F.expr("array(struct(id % 250 * 2.0 as x, id div 250 * 2.0 as y), struct(id % 250 * 2.0 + 1.5 as x, id div 250 * 2.0 as y), struct(id % 250 * 2.0 as x, id div 250 * 2.0 + 1.5 as y))").alias("polygon"))
+    points = spark.range(20_000).select("id", (F.col("id") % 500 + 0.25).alias("lon"), (F.col("id") % 400 + 0.25).alias("lat"))
+    out = geo.divisions(points, polygons, one_hot=False)
+    want = F.when((F.floor("lon") % 2 == 0) & (F.floor("lat") % 2 == 0), F.floor("lat") / 2 * 250 + F.floor("lon") / 2)
+    assert out.filter(~F.col("division").eqNullSafe(want.cast("int"))).count() == 0 and out.count() == 20_000
+    out.explain("formatted")
+    assert not re.search("Nested|Cartesian", capsys.readouterr().out)
+    assert geo.cover(polygons).count() < 100 * 50_000
+
+
+def test_one_hots_of_no_polygons_are_empty(spark):
+    points = spark.createDataFrame([(0.5, 0.5)], "lon double, lat double")
+    assert geo.divisions(points, spark.createDataFrame([], POLYGON)).first()["division_vector"] == []
 
 
 def test_heavy_keys_in_blocks(spark, monkeypatch):
