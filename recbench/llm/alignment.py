@@ -6,7 +6,6 @@ import hashlib
 import itertools
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +19,8 @@ from .common import Tables, released, sliced, text_of
 
 #: Rows of texts at a time, and distinct chunks that a worker remembers.
 ROWS, CACHE = 500, 400_000
+#: Links of a group that are made one by one.
+SMALL = 64
 #: Links gathered before they go out as postings; rows that one posting list speaks of at most.
 HELD, BLOCK = 3_000_000, 1 << 16
 #: An id whose postings are over this share of all is dealt out over several tasks. So at most so many ids are.
@@ -62,6 +63,10 @@ class Aligner:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(_MARK, " ").encode())
             shown = piece.replace(_MARK, " ")
             joined |= {y for x, y in itertools.pairwise(shown) if _SPACE.match(y) and (not _SPACE.match(x) or x == " " != y)}
+        a_bytes = [self.a_bytes.get(i, b"") for i in range(max(self.a_bytes) + 1)]
+        self.a_size, self.b_size = (np.array([len(x) for x in of], np.int64) for of in (a_bytes, self.b_bytes))
+        #: An id with the mark after it: within its side of a group, and at the side's end.
+        self.said = [np.array([f"{i}{mark}" for i in range(n) for mark in (",", end)], object) for n, end in ((len(a_bytes), "|"), (len(self.b_bytes), ";"))]
         space = "".join(sorted({*"\t\n\x0b\x0c\r ", "\x85", "\xa0"} - joined))
         self.cut = re.compile(f"(?<=[^\\s])(?=[{re.escape(space)}])")
         self._forget()
@@ -76,45 +81,72 @@ class Aligner:
         """Chunks of a text with a space before it; a chunk without a leading space begins with other white space."""
         return self.cut.split(" " + text)
 
-    def tokens(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both for chunks of texts with a space before; B leads each text with a mark by itself."""
-        a = [x.ids for x in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        for i, c in enumerate(chunks):
-            if c[0] != " ":
-                b[i] = b[i][1:]  # the mark alone, as nothing joins it to other white space
-            elif c == " ":
-                b[i] = [self.b.piece_to_id(_MARK)]
-        return a, b
+    def _tokens(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both for chunks one after the other, or None if either doesn't give back their bytes. Chunks but the last
+        end with what isn't white space; B leads a text with a mark by itself."""
+        text = "".join(chunks)
+        a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        bare = text[1:] if text[0] == " " else text
+        b = self.b.encode(bare, num_threads=1) if bare else [self.b.piece_to_id(_MARK)]
+        if bare is text:
+            b = b[1:]  # the mark alone, as nothing joins it to other white space
+        want = text.encode()
+        same = b"".join(map(self.a_bytes.__getitem__, a)) == want == b"".join(map(self.b_bytes.__getitem__, b))
+        return (np.array(a, np.int64), np.array(b, np.int64)) if same else None
 
     def _learn(self, chunks: list[str]) -> None:
-        counts, size, pairs, times = np.zeros((len(chunks), 4), np.int64), np.zeros(len(chunks), np.int64), [], []
-        for k, (chunk, a, b) in enumerate(zip(chunks, *self.tokens(chunks), strict=True)):
-            want, bytes_a, bytes_b = chunk.encode(), [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(bytes_a) != want or b"".join(bytes_b) != want:
-                counts[k, 0] = -1  # texts that hold it have no tokens
-                self.told.append("")
-                continue
-            ends_a, ends_b = list(itertools.accumulate(map(len, bytes_a))), list(itertools.accumulate(map(len, bytes_b)))
-            common, told, links, i, j, before = set(ends_b), [], 0, 0, 0, len(pairs)
-            for upto, end in enumerate(ends_a, 1):
-                if end not in common:
-                    continue
-                to = ends_b.index(end, j) + 1
-                mine, other = a[i:upto], b[j:to]
-                i, j = upto, to
-                told.append(f"{','.join(map(str, mine))}|{','.join(map(str, other))}")
-                links += len(mine) * len(other)
-                for x, nx in Counter(mine).items():
-                    for y, ny in Counter(other).items():
-                        pairs.append(x << 32 | y)
-                        times.append(nx * ny)
-            counts[k], size[k] = (len(a), len(b), len(told), links), len(pairs) - before
-            self.told.append(";".join(told))
+        """Chunks go to the tokenizers together; where their bytes don't come back, in halves, down to one."""
+        found = self._tokens(chunks)
+        if found is not None:
+            self._keep(chunks, *found)
+        elif len(chunks) > 1:
+            self._learn(chunks[: len(chunks) // 2])
+            self._learn(chunks[len(chunks) // 2 :])
+        else:
+            self._put(np.array([[-1, 0, 0, 0]]), [""], np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))  # texts that hold it have no tokens
+
+    def _keep(self, chunks: list[str], a: np.ndarray, b: np.ndarray) -> None:
+        over = np.cumsum([len(c.encode()) for c in chunks])  # where chunks end
+        ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        of_a, of_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        n_a, n_b = np.bincount(of_a, minlength=len(common)), np.bincount(of_b, minlength=len(common))
+        chunk = np.searchsorted(over, common)
+        count = lambda n: np.bincount(chunk, weights=n, minlength=len(chunks)).astype(np.int64)
+        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        # Every token of A with every token of B of its group; large groups by the numbers of each id instead.
+        small = n_a * n_b <= SMALL
+        repeat = np.where(small[of_a], n_b[of_a], 0)
+        upto = np.cumsum(repeat)
+        at_b = np.repeat(first_b[of_a] - upto + repeat, repeat) + np.arange(upto[-1])
+        group, pair = [np.repeat(of_a, repeat)], [np.repeat(a, repeat) << 32 | b[at_b]]
+        times = [np.ones(len(at_b), np.int64)]
+        for g in np.flatnonzero(~small).tolist():
+            x, nx = np.unique(a[first_a[g] : first_a[g] + n_a[g]], return_counts=True)
+            y, ny = np.unique(b[first_b[g] : first_b[g] + n_b[g]], return_counts=True)
+            pair.append((x[:, None] << 32 | y).reshape(-1))
+            times.append((nx[:, None] * ny).reshape(-1))
+            group.append(np.full(len(pair[-1]), g))
+        own = chunk[np.concatenate(group)]
+        order = np.argsort(own, kind="stable")
+        # Words of the groups: ids of A, a bar, ids of B; the last id of a side is followed by the mark after it.
+        told = np.empty(len(a) + len(b), object)
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[first_a + n_a - 1] = last_b[first_b + n_b - 1] = True
+        told[np.arange(len(a)) + first_b[of_a]] = self.said[0][2 * a + last_a]
+        told[np.arange(len(b)) + (first_a + n_a)[of_b]] = self.said[1][2 * b + last_b]
+        cuts = np.concatenate([[0], np.cumsum(count(n_a + n_b))]).tolist()
+        told = told.tolist()
+        words = ["".join(told[i:j])[:-1] for i, j in itertools.pairwise(cuts)]
+        counts = np.stack([count(n_a), count(n_b), count(np.ones(len(common))), count(n_a * n_b)], axis=1)
+        self._put(counts, words, np.bincount(own, minlength=len(chunks)), np.concatenate(pair)[order].astype(np.uint64), np.concatenate(times)[order])
+
+    def _put(self, counts: np.ndarray, told: list[str], size: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> None:
+        self.told += told
         self.counts = np.concatenate([self.counts, counts])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
-        self.pairs = np.concatenate([self.pairs, np.array(pairs, np.uint64)])
-        self.times = np.concatenate([self.times, np.array(times, np.int64)])
+        self.pairs = np.concatenate([self.pairs, pairs])
+        self.times = np.concatenate([self.times, times])
 
     def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(counts of each text, its groups in words, and rows, pairs and their number of links in the texts)."""
@@ -122,8 +154,8 @@ class Aligner:
             self._forget()
         split = [self.chunks(t) if t else [] for t in texts]
         new = list(dict.fromkeys(c for s in split for c in s if c not in self.place))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        whole = [c for c in new if not c[-1].isspace()]
+        for part in [*(whole[at : at + 20_000] for at in range(0, len(whole), 20_000)), *([c] for c in new if c[-1].isspace())]:
             self._learn(part)
             self.place.update(zip(part, range(len(self.place), len(self.place) + len(part)), strict=True))
         length = np.array([len(s) for s in split], np.int64)

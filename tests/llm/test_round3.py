@@ -136,7 +136,9 @@ def test_alignment_edges(spark, tables, both):
 
 
 def test_postings_of_many_links_are_wide(both):
-    aligner = alignment.aligner(*[__import__("public_tokenizers").path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")])
+    import public_tokenizers
+
+    aligner = alignment.aligner(*map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")))
     counts, told, row, pair, times = aligner.align(["x" + " the" * 300])
     (row, pair), (times,) = alignment._summed([row, pair], [times])
     out = list(alignment._postings(5, [row], [pair], [times]))
