@@ -265,19 +265,24 @@ def _encode(byte_level: str, pieces: str):
 
 
 def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (row, n_best, count_sum) from the streams of ids of A, sorted by (a, salt, b), the numbers of documents of each
-    pair (without `at`) before the postings. Only the numbers of one id are kept, at most one for each id of B."""
+    """Rows (base, at, n_best, count_sum) from the streams of ids of A, sorted by (a, salt, b), the numbers of documents of
+    each pair (base -1) before the postings. Only the numbers of one id are kept, at most one for each id of B. A row holds
+    what this task adds to the rows of one block, packed."""
     carried: list[np.ndarray] = [np.zeros(0, np.int64)] * 2
-    held: list[tuple[np.ndarray, ...]] = []
+    held: list[list[np.ndarray]] = []
     size = 0
 
+    def added() -> list[np.ndarray]:
+        """What is held, summed by (base, at)."""
+        keys, sums = _summed(*([np.concatenate([h[k] for h in held]) for k in own] for own in ((0, 1), (2, 3))))
+        return [*keys, *sums]
+
     def out() -> Iterator[pa.RecordBatch]:
-        nonlocal size
-        if held:
-            (row,), sums = _summed([np.concatenate([h[0] for h in held])], [np.concatenate([h[k] for h in held]) for k in (1, 2)])
-            yield from sliced(pa.RecordBatch.from_arrays([pa.array(row), *map(pa.array, sums)], ["row", "n_best", "count_sum"]))
-        held.clear()
-        size = 0
+        base, at, *sums = added()
+        first = np.flatnonzero(np.concatenate(([True], base[1:] != base[:-1])))
+        cuts = np.append(first, len(base))
+        blobs = [[x[i:j].tobytes() for i, j in itertools.pairwise(cuts.tolist())] for x in (at.astype("<u2"), *(y.astype("<i8") for y in sums))]
+        yield from sliced(pa.RecordBatch.from_arrays([pa.array(base[first]), *(pa.array(x, pa.binary()) for x in blobs)], ["base", "at", "n_best", "count_sum"]), 50)
 
     for batch in batches:
         if not batch.num_rows:
@@ -300,16 +305,38 @@ def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         place = np.searchsorted(key, (a << 32 | b)[post])
         at = np.frombuffer(b"".join(batch.column(4).take(pa.array(post)).to_pylist()), "<u2").astype(np.int64)
         times = np.concatenate([np.frombuffer(x, "u1" if len(x) == k else "<i8").astype(np.int64) for x, k in zip(batch.column(5).take(pa.array(post)).to_pylist(), n[post].tolist(), strict=True)])
-        row = at + np.repeat(base[post], n[post])
-        held.append((row, times * np.repeat(number[place] == most[place], n[post]), times * np.repeat(number[place], n[post])))
-        size += len(row)
+        held.append([np.repeat(base[post], n[post]), at, times * np.repeat(number[place] == most[place], n[post]), times * np.repeat(number[place], n[post])])
+        size += len(at)
         if size > ADDED:
-            (row,), sums = _summed([np.concatenate([h[0] for h in held])], [np.concatenate([h[k] for h in held]) for k in (1, 2)])
-            held[:] = [(row, *sums)]
-            size = len(row)
+            held[:] = [added()]
+            size = len(held[0][0])
             if size > ADDED // 2:
                 yield from out()
-    yield from out()
+                held.clear()
+                size = 0
+    if held:
+        yield from out()
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, n_best, count_sum) from rows of _contributions sorted by base: one block's sums are kept at a time."""
+    now, sums = None, np.zeros((0, 2), np.int64)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(sums.any(axis=1))
+        yield from sliced(pa.RecordBatch.from_arrays([pa.array(now + at), pa.array(sums[at, 0]), pa.array(sums[at, 1])], ["row", "n_best", "count_sum"]))
+
+    for batch in batches:
+        for base, at, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if base != now:
+                if now is not None:
+                    yield from out()
+                now, sums = base, np.zeros((BLOCK, 2), np.int64)
+            at = np.frombuffer(at, "<u2")
+            for k, x in enumerate(more):
+                sums[at, k] += np.frombuffer(x, "<i8")
+    if now is not None:
+        yield from out()
 
 
 def align_tokenizers(docs: DataFrame, tables: Tables, byte_level: str | None = None, pieces: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,9 +352,9 @@ def align_tokenizers(docs: DataFrame, tables: Tables, byte_level: str | None = N
     2. The counts of pairs are sums of the lists' lengths.
     3. Postings are shuffled by A id and sorted by Spark, the counts of an id before its postings. Ids with more than a
        HOTth of all postings, so at most HOT of them, are dealt out over several tasks, each of which gets the id's
-       counts. A task reads one stream: it takes an id's counts, finds their maximum, and emits what each posting
-       contributes to its row, added up by row as far as it has come.
-    4. Contributions are added up by row.
+       counts. A task reads one stream: it takes an id's counts, finds their maximum, and adds up what postings
+       contribute to each row as far as it has come; that goes out packed, by blocks of rows.
+    4. Contributions are shuffled by block and added up by row.
 
     Texts null, empty, or that either tokenizer doesn't give back byte for byte (such as one with the mark that stands
     for a space): zeros and an empty groups_sha256. Null ids and repeated rows keep their rows; repeated rows count
@@ -350,7 +377,8 @@ def align_tokenizers(docs: DataFrame, tables: Tables, byte_level: str | None = N
     stream = told.unionByName(dealt.select("a", "b", "base", F.col("n").cast("long").alias("n"), "at", "times", "salt"))
     stream = stream.withColumn("posting", F.col("base") >= 0).repartition("a", "salt").sortWithinPartitions("a", "salt", "posting", "b")
     stream = stream.select("a", "b", "base", "n", "at", "times")
-    added = tables.write(stream.mapInArrow(released(_contributions), "row long, n_best long, count_sum long"), "contributions")
-    added = added.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    added = stream.mapInArrow(released(_contributions), "base long, at binary, n_best binary, count_sum binary")
+    added = tables.write(added, "contributions").repartition("base").sortWithinPartitions("base")
+    added = tables.write(added.mapInArrow(released(_by_document), "row long, n_best long, count_sum long"), "added")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return documents.join(added, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
