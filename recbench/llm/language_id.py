@@ -20,8 +20,10 @@ ROWS = 2000
 ADDED = 0.5
 #: Probability of a character that is no piece, in any language.
 UNKNOWN = 1e-7
-#: Words up to so many characters can be summed without scaling.
+#: Longer words are summed one by one, shorter ones by length; the sums are the same.
 PLAIN = 38
+#: Sums below this are scaled.
+SMALL = 1e-60
 #: Base of the hashes of pieces, which are short strings of code points; its powers and those of its inverse.
 _BASE = 0x9E3779B97F4A7C15
 
@@ -104,26 +106,40 @@ class Marginal:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == keys, at, -1)
 
+    @staticmethod
+    def _rescale(window: list[np.ndarray], scale: np.ndarray) -> None:
+        """Bring what has become small, in each word and language by itself, back to 1; scale: the logs of what is taken out.
+
+        A sum is at least the one before times the least probability of a character. So within a window of pieces of up to
+        16 characters, and with counts of up to 1e13, numbers stay far from both ends of their range.
+        """
+        low = window[-1] < SMALL
+        if low.any():
+            top = np.where(low, window[-1], 1.0)
+            scale += np.log(top)
+            window[:] = [x / top for x in window]
+
     def _group(self, words: list[str]) -> np.ndarray:
-        """Words of one length, in the plain domain, all at once."""
+        """Words of one length, all at once."""
         n, m = len(words[0]), len(words)
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n)
         sums, down = self._prefixes(codes), _powers(n)[1]
-        alpha = np.zeros((n + 1, m, self.languages))
-        alpha[0] = 1.0
+        window, scale = [np.ones((m, self.languages))], np.zeros((m, self.languages))
         for i in range(1, n + 1):
-            alpha[i] = alpha[i - 1] * UNKNOWN
-            for j in range(max(0, i - self.longest), i):
-                at = self._find(textkernel.mix((sums[:, i] - sums[:, j]) * down[j]))
+            value = window[-1] * UNKNOWN
+            for back in range(1, min(i, self.longest) + 1):
+                at = self._find(textkernel.mix((sums[:, i] - sums[:, i - back]) * down[i - back]))
                 hit = np.flatnonzero(at >= 0)
                 if len(hit):
-                    if j == i - 1:  # a character that is a piece isn't unknown
-                        alpha[i][hit] -= alpha[j][hit] * UNKNOWN
-                    alpha[i][hit] += alpha[j][hit] * self.p[at[hit]]
-        return np.log(alpha[n])
+                    if back == 1:  # a character that is a piece isn't unknown
+                        value[hit] = 0.0
+                    value[hit] += window[-back][hit] * self.p[at[hit]]
+            window = [*window[1 - self.longest :], value] if self.longest > 1 else [value]
+            self._rescale(window, scale)
+        return scale + np.log(window[-1])
 
     def _long(self, word: str) -> np.ndarray:
-        """One word of any length, with scaling."""
+        """As _group, for one word, with all pieces that end at a place looked up at once."""
         n = len(word)
         codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(1, n)
         sums, down = self._prefixes(codes)[0], _powers(n)[1]
@@ -135,12 +151,8 @@ class Marginal:
             for j, k in enumerate(at.tolist()):
                 if k >= 0:
                     value = value + window[len(window) - (i - first) + j] * self.p[k]
-            window.append(value)
-            window = window[-self.longest :]
-            if value.max() < 1e-60:
-                top = np.maximum(np.max(window, axis=0), 1e-300)
-                scale += np.log(top)
-                window = [x / top for x in window]
+            window = [*window[1 - self.longest :], value] if self.longest > 1 else [value]
+            self._rescale(window, scale)
         return scale + np.log(window[-1])
 
     def scores(self, words: list[bytes]) -> np.ndarray:

@@ -110,6 +110,31 @@ def test_all_segmentations_are_summed():
     assert np.isfinite(model._long("ab" * 3000)).all()
 
 
+def test_sums_hold_for_large_corpora():
+    """Counts of up to 1e13 in one language, so that a piece it never showed has a share of 5e-14, at any length and by either way."""
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 60
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba", "abab", "漢", "字", "漢字", "b" * 16]
+    counts = np.array([[1e13, 5], [3e12, 2], [1e9, 1], [7e8, 9], [2, 4], [0, 1], [0, 3], [0, 50], [0, 70], [0, 20], [0, 2]]) + language_id.ADDED
+    model = language_id.Marginal(pieces, counts / counts.sum(axis=0))
+    texts = [*("▁" + x for x in ("a", "ab" * 9, "漢字" * 18, "漢" * 37, "b" * 37, "?" * 37, "a?漢" * 12)), "▁" + "漢字" * 40, "▁" + "ab字?" * 60, "▁" + "b" * 500]
+    for text in texts:
+        want = []
+        for k in range(2):
+            p = {x: Decimal(float(v)) for x, v in zip(pieces, (counts / counts.sum(axis=0))[:, k], strict=True)}
+            sums = [Decimal(1)]
+            for i in range(1, len(text) + 1):
+                parts = [sums[j] * p[text[j:i]] for j in range(max(0, i - 16), i) if text[j:i] in p]
+                if text[i - 1] not in p:
+                    parts.append(sums[i - 1] * Decimal(language_id.UNKNOWN))
+                sums.append(sum(parts))
+            want.append(float(sums[-1].ln()))
+        for got in (model._group([text, text])[1], model._long(text)):
+            assert np.isfinite(got).all() and got == pytest.approx(want, rel=1e-9, abs=1e-9)
+    assert model.scores(["漢".encode() * 37, b"a" * 3]).shape == (2, 2) and np.isfinite(model.scores(["漢".encode() * 37])).all()
+
+
 def test_lm_scores(spark, documents, tables):
     out = suffix_tree_lm.score_texts(documents, tables).collect()
     tokens = [(i, [*words(t), None]) for i, t in texts(documents)]
