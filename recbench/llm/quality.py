@@ -18,8 +18,8 @@ from . import textkernel
 from .common import Tables, held_out, released
 from .wordtable import WordTable
 
-#: Rows handled at a time.
-ROWS = 2000
+#: Rows handled at a time: of texts that are scored, and of those that train.
+ROWS, FEW = 2000, 100
 #: Texts with fewer words fail; so do those with more than this share of their words in repeated windows.
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 #: Least calibrated probability of good quality.
@@ -29,7 +29,7 @@ SAMPLE, FOLDS = 8_000, 5
 #: Parts of the sample, which is bounded.
 PARTS = 12
 #: Weights are 2 ** BITS; sizes of character n-grams, taken inside words with a mark at both ends.
-BITS, SIZES, MARK = 18, (3, 4), 0x110000
+BITS, SIZES, MARK = 16, (3, 4), 0x110000
 #: A family's frequencies in a text add up to so much; strength of the penalty on squares of weights.
 SCALE, PENALTY = 16.0, 1e-5
 _WORD, _PAIR, _CHARS = (np.uint64(x) for x in (0x8F5C28DB12A6E1A3, 0x1D2B7AC94E3F5601, 0x6A09E667F3BCC909))
@@ -103,8 +103,8 @@ def base_measures(w: textkernel.Words) -> dict[str, np.ndarray]:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (label, features) from (label, text): for each family the terms' frequencies in the text, times SCALE."""
     for batch in batches:
-        for i in range(0, batch.num_rows, ROWS):
-            part, vectors = batch.slice(i, ROWS), []
+        for i in range(0, batch.num_rows, FEW):
+            part, vectors = batch.slice(i, FEW), []
             for w in textkernel.words(part.column(1), lower=False):
                 word_row = np.repeat(np.arange(w.last - w.first), np.diff(w.row_offsets))
                 of, chars = _characters([w.word(k) for k in range(len(w.hashes))])
