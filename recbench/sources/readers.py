@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,9 +62,9 @@ def joke_table(spark: SparkSession, path: str) -> DataFrame:
 
 def jokes(spark: SparkSession, path: str) -> DataFrame:
     """(joke_id, joke_text): blocks between blank lines; the first line is the id and a colon, the rest is HTML."""
-    whole = spark.read.text(path, wholetext=True)
-    block = F.explode(F.split(F.replace("value", F.lit("\r"), F.lit("")), r"\n\s*\n")).alias("block")
-    rows = whole.select(block).withColumn("block", F.trim("block", F.lit(" \n\t"))).filter(F.col("block").rlike(r"^\d+:"))
+    lines = numbered_lines(spark, path).withColumn("value", F.replace("value", F.lit("\r"), F.lit("")))
+    rows = _blocks(lines, F.col("value").rlike(r"^\s*$")).groupBy("path", "block").agg(F.array_sort(F.collect_list(F.struct("part", "number", "value"))).alias("lines"))
+    rows = rows.withColumn("block", F.trim(F.array_join("lines.value", "\n"), F.lit(" \n\t"))).filter(F.col("block").rlike(r"^\d+:"))
     text = F.regexp_replace("block", r"^\d+:\s*", "")
     return rows.select(F.regexp_extract("block", r"^(\d+):", 1).cast("int").alias("joke_id"), F.btrim(F.regexp_replace(strip_html(text), r"\s+", " ")).alias("joke_text"))
 
@@ -173,46 +173,69 @@ def osm_members(spark: SparkSession, path: str) -> DataFrame:
     return ways.unionByName(relations)
 
 
-def _blocks(lines: DataFrame, starts: F.Column, *keys: str) -> DataFrame:
-    """Lines (path, number, value) with the number of the block that the last start began."""
-    upto = Window.partitionBy(*keys).orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("block", F.sum(starts.cast("int")).over(upto))
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, part, number, value) of the lines of text files. A large file is read in byte ranges by several tasks: part is
+    where a range begins, and number rises inside it in the file's order."""
+    rows = spark.read.option("lineSep", "\n").text(path)
+    return rows.select(F.input_file_name().alias("path"), F.expr("input_file_block_start()").alias("part"), F.monotonically_increasing_id().alias("number"), F.regexp_replace("value", r"\r$", "").alias("value"))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, number, value) of the lines of whole text files, one file at a time in a task."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("number", "value"))
-    return files
+def _in_parts(lines: DataFrame) -> DataFrame:
+    """lines with a part; lines without one are each file's only part."""
+    return lines if "part" in lines.columns else lines.withColumn("part", F.lit(0).cast("long"))
+
+
+def _upto() -> WindowSpec:
+    """Lines of one range up to each."""
+    return Window.partitionBy("path", "part").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _before() -> WindowSpec:
+    """Ranges of a file before each."""
+    return Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _blocks(lines: DataFrame, starts: F.Column) -> DataFrame:
+    """lines with `block`, the number of starts in their file up to each. Sums run inside ranges; from range to range goes one row."""
+    marked = _in_parts(lines).withColumn("_start", starts.cast("long"))
+    sums = marked.groupBy("path", "part").agg(F.sum("_start").alias("_n"))
+    sums = sums.select("path", "part", F.coalesce(F.sum("_n").over(_before()), F.lit(0)).alias("_before"))
+    return marked.withColumn("block", F.sum("_start").over(_upto())).join(sums, ["path", "part"]).withColumn("block", F.col("block") + F.col("_before")).drop("_start", "_before")
+
+
+def _last(lines: DataFrame, value: F.Column, name: str) -> DataFrame:
+    """lines with the last value in their file, up to each, that isn't null; handed on as in _blocks."""
+    marked = _in_parts(lines).withColumn(name, value)
+    ends = marked.groupBy("path", "part").agg(F.max_by(name, F.when(F.col(name).isNotNull(), F.col("number"))).alias("_end"))
+    ends = ends.select("path", "part", F.last("_end", True).over(_before()).alias("_before"))
+    return marked.withColumn(name, F.last(name, True).over(_upto())).join(ends, ["path", "part"]).withColumn(name, F.coalesce(name, "_before")).drop("_before")
 
 
 def git_log(lines: DataFrame) -> DataFrame:
-    """(author, author_mail, filename, edit_count) out of `git log --name-only` lines (path, number, value).
+    """(author, author_mail, filename, edit_count) out of `git log --name-only` lines (path, part, number, value).
 
     A commit's header is a line `author<tab>mail` behind the mark "@@"; the files it touched follow.
     """
-    marked = _blocks(lines, F.col("value").startswith("@@"), "path").filter("block > 0")
-    head = F.when(F.col("value").startswith("@@"), F.split(F.expr("substring(value, 3)"), "\t"))
-    whole = Window.partitionBy("path", "block")
-    rows = marked.withColumn("head", F.max(head).over(whole)).filter(~F.col("value").startswith("@@") & (F.trim("value") != ""))
-    author = rows.select(ascii_only(F.col("head")[0]).alias("author"), mail_address(F.col("head")[1]).alias("author_mail"), F.trim("value").alias("filename"))
+    marked = F.col("value").startswith("@@")
+    rows = _last(lines, F.when(marked, F.split(F.expr("substring(value, 3)"), "\t")), "head").filter(F.col("head").isNotNull() & ~marked & (F.trim("value") != ""))
+    author = rows.select(ascii_only(F.col("head")[0]).alias("author"), mail_address(F.get("head", F.lit(1))).alias("author_mail"), F.trim("value").alias("filename"))
     return author.groupBy("author", "author_mail", "filename").agg(F.count(F.lit(1)).alias("edit_count"))
 
 
 def git_blame(lines: DataFrame) -> DataFrame:
-    """One row per line of a file out of `git blame --line-porcelain` lines (path, number, value).
+    """One row per line of a file out of `git blame --line-porcelain` lines (path, part, number, value).
 
     A block ends with the line's text behind a tab; its first line is the commit and line numbers, the others are
     pairs of name and value.
     """
-    ends = F.lag(F.col("value").startswith("\t")).over(Window.partitionBy("path").orderBy("number"))
-    rows = _blocks(lines, F.coalesce(ends, F.lit(True)), "path").filter("value != ''")
-    first = Window.partitionBy("path", "block").orderBy("number")
-    rows = rows.withColumn("at", F.row_number().over(first))
-    key = F.when(F.col("at") == 1, F.lit("commit")).when(F.col("value").startswith("\t"), F.lit("line")).otherwise(F.substring_index("value", " ", 1))
-    value = F.when(F.col("at") == 1, F.col("value")).when(F.col("value").startswith("\t"), F.expr("substring(value, 2)")).otherwise(F.regexp_replace("value", r"^\S+ ?", ""))
-    blocks = rows.groupBy("path", "block").agg(F.map_from_entries(F.collect_list(F.struct(key.alias("k"), value.alias("v")))).alias("m")).filter(F.map_contains_key("m", "line"))
+    text = F.col("value").startswith("\t")
+    rows = _blocks(lines, text).withColumn("block", F.col("block") - text.cast("long")).filter("value != ''")
+    key = F.when(text, F.lit("line")).otherwise(F.substring_index("value", " ", 1))
+    value = F.when(text, F.expr("substring(value, 2)")).otherwise(F.regexp_replace("value", r"^\S+ ?", ""))
+    first = F.min_by("value", F.struct("part", "number")).alias("first")
+    blocks = rows.groupBy("path", "block").agg(first, F.map_from_entries(F.collect_list(F.struct(key.alias("k"), value.alias("v")))).alias("m")).filter(F.map_contains_key("m", "line") & ~F.col("first").startswith("\t"))
     m = lambda k: F.element_at("m", F.lit(k))
-    head = F.split(m("commit"), " ")
+    head = F.split("first", " ")
     return blocks.select(
         "path", head[0].alias("commit_id"), ascii_only(m("author")).alias("author"), mail_address(m("author-mail")).alias("author_mail"), m("author-time").try_cast("int").alias("author_time"), m("author-tz").try_cast("int").alias("author_timezone"),
         ascii_only(m("committer")).alias("committer"), mail_address(m("committer-mail")).alias("committer_mail"), m("committer-time").try_cast("int").alias("committer_time"), m("committer-tz").try_cast("int").alias("committer_timezone"),

@@ -94,6 +94,30 @@ def test_git(spark, tmp_path):
     assert (r["commit_id"], r["author_mail"], r["author_timezone"], r["committer_timezone"], r["line_num"], r["line"]) == ("abc", "a@x", 100, -200, 3, "x = 1")
 
 
+def test_one_file_in_many_ranges(spark, tmp_path):
+    """A log, a blame and jokes whose blocks lie across the borders of ranges of 64 bytes, read by many tasks."""
+    log = "not yet\n" + "".join(f"@@Ann {i % 3}\t<a{i % 3}@x>\r\n\r\n" + "".join(f"f{k}.py\n" for k in range(i % 9)) for i in range(80))
+    blame = "".join(f"c{i} 1 {i} 1\nauthor A{i}\nauthor-mail <a@x>\nauthor-time {i}\nauthor-tz +0100\ncommitter B\ncommitter-mail <b@x>\ncommitter-time 6\ncommitter-tz -0200\nsummary s\nfilename f.py\n\tx = {'y' * (i * 7 % 300)}\n" for i in range(60))
+    jokes = "".join(f"{i}:\n<p>It is\nnumber {'<b>so</b> ' * (i % 20)}{i}</p>\n \t\n\n" for i in range(50))
+    paths = [put(tmp_path, name, text) for name, text in (("log.txt", log), ("blame.txt", blame), ("jokes.txt", jokes))]
+
+    def read():
+        return [sorted(map(repr, df.drop("path").collect())) for df in (readers.git_log(readers.numbered_lines(spark, paths[0])), readers.git_blame(readers.numbered_lines(spark, paths[1])), readers.jokes(spark, paths[2]))]
+
+    want = read()
+    assert [len(x) for x in want] == [21, 60, 50] and "Ann 2" in want[0][-1]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "64")
+        lines = readers.numbered_lines(spark, paths[1])
+        assert lines.select("part").distinct().count() > 100 and lines.select(F.spark_partition_id()).distinct().count() > 100
+        assert read() == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_vectors_edges_and_labels(spark, tmp_path):
     g = put(tmp_path, "g.txt", "the 0.5 -1\ncat 1 2\n")
     assert {r["word"]: r["vector"] for r in readers.word_vectors(spark, g).collect()} == {"the": [0.5, -1.0], "cat": [1.0, 2.0]}
