@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp
+from ..shared import written
+from . import blocks
 
 
 #: Rows of one shared key that meet in one task; more are dealt into blocks, and pairs of blocks into tasks.
@@ -57,24 +59,39 @@ def _deviations(train: DataFrame) -> tuple[DataFrame, DataFrame]:
     return means, train.join(means, "user").select("user", "item", (F.col("rating") - F.col("mean")).alias("residual"))
 
 
-def _weighted_residuals(train: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(means, per (user, item) the sums over similar users that rated the item, the user included)."""
+def _weighted_residuals(train: DataFrame, similar: DataFrame | None = None, users: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(means, per (user, item) the sums over similar users that rated the item, the user included), of some users if given."""
     means, residuals = _deviations(train)
-    similar = co_rated_cosine(train, "user", "item").filter("similarity != 0")
+    similar = co_rated_cosine(train, "user", "item").filter("similarity != 0") if similar is None else similar
+    if users is not None:
+        similar = similar.join(users.select(F.col("user").alias("a")), "a", "left_semi")
     pairs = similar.join(residuals.withColumnRenamed("user", "b"), "b")
     sums = pairs.groupBy(F.col("a").alias("user"), "item").agg(F.sum(F.col("similarity") * F.col("residual")).alias("up"), F.sum(F.abs("similarity")).alias("down"))
     return means, sums
 
 
-def user_user(train: DataFrame, fill: bool = True) -> DataFrame:
+def user_user(train: DataFrame, fill: bool = True, n: int | None = None, places: int = 9) -> DataFrame:
     """Mean of the user plus the similarity-weighted residuals of the users who rated the item, in the range of ratings.
 
-    fill: cells without any similar user get the user's mean; else they are left out.
+    fill: cells without any similar user get the user's mean; else they are left out. n: only the first n items of each
+    user, by predictions in so many decimal places and by item; cells without similar users come up for users only who
+    need them, and similarities are written as this is called.
     """
-    means, sums = _weighted_residuals(train)
-    cells = all_cells(train).join(sums, ["user", "item"], "left") if fill else sums
-    value = F.col("mean") + F.coalesce(F.try_divide("up", "down"), F.lit(0.0))
-    return cells.join(means, "user").crossJoin(F.broadcast(bounds(train))).select("user", "item", clamp(value, F.col("low"), F.col("high")).alias("prediction"))
+    value = clamp(F.col("mean") + F.coalesce(F.try_divide("up", "down"), F.lit(0.0)), F.col("low"), F.col("high"))
+    if n is None:
+        means, sums = _weighted_residuals(train)
+        cells = all_cells(train).join(sums, ["user", "item"], "left") if fill else sums
+        return cells.join(means, "user").crossJoin(F.broadcast(bounds(train))).select("user", "item", value.alias("prediction"))
+    similar = written(co_rated_cosine(train, "user", "item").filter("similarity != 0"), "similar")
+
+    def evidence(users: DataFrame | None) -> DataFrame:
+        means, sums = _weighted_residuals(train, similar, users)
+        return sums.join(means, "user").crossJoin(F.broadcast(bounds(train))).select("user", "item", F.round(value, places).alias("prediction"))
+
+    if not fill:
+        return blocks.first_of(evidence(None), n)
+    means = _deviations(train)[0].crossJoin(F.broadcast(bounds(train)))
+    return blocks.first_with_defaults(train, evidence, means.select("user", F.round(clamp(F.col("mean"), F.col("low"), F.col("high")), places).alias("default")), n)
 
 
 def user_user_plain(train: DataFrame, fill: bool = True) -> DataFrame:
@@ -84,12 +101,26 @@ def user_user_plain(train: DataFrame, fill: bool = True) -> DataFrame:
     return cells.join(means, "user").select("user", "item", (F.col("mean") + F.try_divide("up", "down")).alias("prediction"))
 
 
-def item_item(train: DataFrame, fill: bool = True) -> DataFrame:
+def item_item(train: DataFrame, fill: bool = True, n: int | None = None, places: int = 9) -> DataFrame:
     """Similarity-weighted mean of the user's ratings of other items, in the range of ratings; 0 before that where all
-    similarities are 0. fill: as in user_user."""
+    similarities are 0. fill, n, places: as in user_user."""
     similar = co_rated_cosine(train, "item", "user").filter("similarity != 0 and a != b")
-    pairs = similar.join(train.withColumnRenamed("item", "a"), "a")
-    sums = pairs.groupBy("user", F.col("b").alias("item")).agg(F.sum(F.col("rating") * F.col("similarity")).alias("up"), F.sum(F.abs("similarity")).alias("down"))
-    cells = all_cells(train).join(sums, ["user", "item"], "left") if fill else sums
-    value = F.coalesce(F.try_divide("up", "down"), F.lit(0.0))
-    return cells.crossJoin(F.broadcast(bounds(train))).select("user", "item", clamp(value, F.col("low"), F.col("high")).alias("prediction"))
+    value = clamp(F.coalesce(F.try_divide("up", "down"), F.lit(0.0)), F.col("low"), F.col("high"))
+
+    def sums(rated: DataFrame) -> DataFrame:
+        pairs = similar.join(rated.withColumnRenamed("item", "a"), "a")
+        return pairs.groupBy("user", F.col("b").alias("item")).agg(F.sum(F.col("rating") * F.col("similarity")).alias("up"), F.sum(F.abs("similarity")).alias("down"))
+
+    if n is None:
+        cells = all_cells(train).join(sums(train), ["user", "item"], "left") if fill else sums(train)
+        return cells.crossJoin(F.broadcast(bounds(train))).select("user", "item", value.alias("prediction"))
+    similar = written(similar, "similar")
+
+    def evidence(users: DataFrame | None) -> DataFrame:
+        rated = train if users is None else train.join(users, "user", "left_semi")
+        return sums(rated).crossJoin(F.broadcast(bounds(train))).select("user", "item", F.round(value, places).alias("prediction"))
+
+    if not fill:
+        return blocks.first_of(evidence(None), n)
+    none = train.select("user").distinct().crossJoin(F.broadcast(bounds(train)))
+    return blocks.first_with_defaults(train, evidence, none.select("user", F.round(clamp(F.lit(0.0), F.col("low"), F.col("high")), places).alias("default")), n)

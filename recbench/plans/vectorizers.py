@@ -63,7 +63,7 @@ VECTORIZERS: dict[str, Vectorizer] = {
         ("revisions", "latest", "words", "category_edges", "top_categories"), _kinds(I.wiki, "revisions", kinds=("num_edits", "any_interact", "num_edits_ceil")),
         {
             "glove": lambda f: C.article_vectors(f["latest"], f["words"], WORDS),
-            "category_map": lambda f: C.category_vectors(f["latest"], graph.distance_vectors(graph.clean_edges(f["category_edges"]), [r[0] for r in f["top_categories"].orderBy("category").limit(1000).collect()])),
+            "category_map": lambda f: C.category_vectors(f["latest"], graph.distance_vectors(graph.clean_edges(f["category_edges"]), [r[0] for r in f["top_categories"].orderBy("category").collect()])),
         },
     ),
     "osm*": Vectorizer(

@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from . import data, evaluation, files, grid, recommend, wording  # noqa: E402, F401
+from . import bynames, data, evaluation, files, grid, lists, recommend, wording  # noqa: E402, F401

@@ -295,6 +295,19 @@ def c3_book_content(spark, d):
     return C.attribute_vectors(X.table(spark, d, "part"), "p_partkey", ["p_brand", "p_type", "p_size"])
 
 
+@query(
+    "c3_sparse_content",
+    f"""with v as (select {_vocabulary_sql('p_brand')} as a, {_vocabulary_sql('p_type')} as b, {_vocabulary_sql('p_size')} as c),
+places as (select p_partkey as item, list_position(coalesce(a, []), p_brand) as i, list_position(coalesce(b, []), p_type) as j, list_position(coalesce(c, []), p_size) as k,
+                  coalesce(len(a), 0) as na, coalesce(len(b), 0) as nb, coalesce(len(c), 0) as nc from part cross join v),
+vectors as (select item, (na + nb + nc)::bigint as size, list_filter([case when i > 0 then i - 1 end, case when j > 0 then na + j - 1 end, case when k > 0 then na + nb + k - 1 end], lambda x: x is not null)::bigint[] as indices from places)
+select item, size, indices, list_transform(indices, lambda x: 1.0::double) as values from vectors where len(indices) > 0""",
+)
+def c3_sparse_content(spark, d):
+    """The vectors of c3_book_content by the places that aren't 0, without a row that holds a vocabulary."""
+    return C.sparse_attribute_vectors(X.table(spark, d, "part"), "p_partkey", ["p_brand", "p_type", "p_size"]).select("item", "vector.*")
+
+
 WORDS = r"""
 words as (
     select word, embedding::double[] as vector from (

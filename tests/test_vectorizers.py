@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recbench.operators import bayes, content_based, geo, knn, stats
+from recbench.functions import sparse
+from recbench.operators import bayes, blocks, content, content_based, factor, geo, knn, metrics, stats
 from recbench.plans.vectorizers import VECTORIZERS, vectorizer, vectors
 
 
@@ -92,12 +93,57 @@ def test_cosines_over_several_blocks(spark, monkeypatch):
     users = spark.createDataFrame([(i, [float(i), 1.0, float(i % 3)]) for i in range(9)] + [(99, [0.0] * 3)], "user long, profile array<double>")
     items = spark.createDataFrame([(i, [1.0, float(i % 4), 0.5]) for i in range(11)] + [(99, [0.0] * 3)], "item long, vector array<double>")
     want = content_based._scored(users, items).collect()
-    monkeypatch.setattr(content_based, "BLOCK", 3)
+    monkeypatch.setattr(blocks, "BLOCK", 3)
     key = lambda rows: sorted((r["user"], r["item"], round(r["score"], 9)) for r in rows)
     assert key(content_based._scored(users, items).collect()) == key(want) and len(want) == 99
     assert content_based._scored(users.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 3, 50])
+def test_first_items_are_those_of_the_dense_table(spark, monkeypatch, n):
+    """For users who rated much and little, items that nobody alike rated, and many ties; over one block and several."""
+    rows = [(u, i, float(1 + (u * i) % 5)) for u in range(12) for i in range(14) if (u * 7 + i * 3) % 4 == 0 and i % 7 != u % 3] + [(50, 90, 4.0), (51, 91, 2.0), (51, 3, 5.0), (52, 92, 1.0)]
+    train = spark.createDataFrame(rows, "user long, item long, rating double")
+    vectors_of = spark.createDataFrame([(i, [float(i % 2), float(i % 3), 1.0]) for i in [*range(14), 90, 91]] + [(92, [0.0] * 3)], "item long, vector array<double>")
+    parts = bayes.components(train)
+    tied = parts.withColumn("parts", F.transform("parts", lambda x: F.struct(x["rating"].alias("rating"), F.round(x["p"], 12).alias("p"))))
+    cases = {
+        "item_item": (knn.item_item(train), lambda: knn.item_item(train, n=n)), "item_item_bare": (knn.item_item(train, fill=False), lambda: knn.item_item(train, fill=False, n=n)),
+        "user_user": (knn.user_user(train), lambda: knn.user_user(train, n=n)), "user_user_bare": (knn.user_user(train, fill=False), lambda: knn.user_user(train, fill=False, n=n)),
+        "cosine": (content_based.predict(train, vectors_of), lambda: content_based.predict(train, vectors_of, n)),
+        "map": (bayes.most_likely(tied), lambda: bayes.first(train, "map", n)), "mse": (bayes.least_squares(parts), lambda: bayes.first(train, "mse", n)), "mae": (bayes.least_absolute(tied), lambda: bayes.first(train, "mae", n)),
+    }
+    key = lambda df: sorted((r["user"], r["item"], round(r["prediction"], 8)) for r in df.collect())
+    monkeypatch.setattr(blocks, "BLOCK", 5)
+    for name, (dense, first) in cases.items():
+        assert key(first()) == key(metrics.top_n(dense.withColumn("prediction", F.round("prediction", 9)), n)), name
+    dense, first = (factor.als(train, seed=1, n=k).collect() for k in (10**6, n))
+    assert {(r["user"], r["item"]): round(r["prediction"], 4) for r in dense} == {(r["user"], r["item"]): round(r["prediction"], 4) for r in factor.als(train, seed=1).collect()}
+    order = sorted(dense, key=lambda r: (r["user"], -r["prediction"], r["item"]))
+    want = [r for k, r in enumerate(order) if k < n or order[k - n]["user"] != r["user"]]
+    assert sorted(map(tuple, first)) == sorted(map(tuple, want))
+    assert knn.item_item(train.limit(0), n=n).count() == 0
+
+
+def test_sparse_vectors_equal_dense_ones(spark):
+    """Attribute vectors, profiles with negative ratings or full rows, and cosines of the pairs that share an index."""
+    books = spark.createDataFrame([(i, f"a{i % 4}" if i % 5 else None, i % 3, f"only{i}") for i in range(40)] + [(40, None, None, "x"), (3, "a1", 2, "again")], "id int, author string, year int, title string")
+    want = sorted((i, [float(f"a{k}" == (f"a{i % 4}" if i % 5 else None)) for k in range(4)] + [float(i % 3 == k) for k in range(3)]) for i in range(40)) + [(3, [0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0])]
+    columns = ["author", "year", "title"]
+    assert sorted((r["item"], r["vector"]) for r in content.attribute_vectors(books, "id", columns).collect()) == sorted(want)
+    wide = content.sparse_attribute_vectors(books, "id", columns)
+    assert {len(r["vector"]["indices"]) for r in wide.collect()} == {1, 2} and wide.first()["vector"]["size"] == 7
+    dense = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate([[1, 0, 2, 0], [0, 3, 0, 0], [0, 0, 0, 5], [1, 1, 1, 1], [0, 0, 0, 0]])], "item long, vector array<double>")
+    thin = dense.select("item", sparse.from_dense(F.col("vector")).alias("vector"))
+    assert sorted(map(repr, thin.select("item", sparse.to_dense(F.col("vector")).alias("vector")).collect())) == sorted(map(repr, dense.collect()))
+    rated = spark.createDataFrame([(1, 0, 4.0), (1, 1, 2.0), (2, 0, -3.0), (2, 2, 1.0), (3, 3, 5.0), (4, 0, 1.0), (4, 3, 2.0), (4, 1, -1.0), (5, 4, 3.0)], "user long, item long, rating double")
+    cells = {(r["user"], r["item"]): round(r["score"], 9) for r in content_based._scored(content_based.profiles(rated, dense), dense).collect()}
+    got = {(r["user"], r["item"]): round(r["score"], 9) for r in content_based.sparse_scores(rated, thin).collect()}
+    assert got and all(cells[k] == pytest.approx(v, abs=1e-8) for k, v in got.items())
+    assert all(v == pytest.approx(0, abs=1e-8) for k, v in cells.items() if k not in got and k[0] == 1)
+    assert content.attribute_vectors(books.limit(0), "id", columns).count() == 0
+
+
 def test_quartile_is_that_of_all_values(spark):
     rows = spark.createDataFrame([(float(x),) for x in (5, 1, 9, 9, 2, 7)] + [(None,)], "v double")
     for share in (0.0, 0.25, 0.6, 0.75, 1.0):
