@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import scratch
@@ -43,12 +43,46 @@ def distances(edges: DataFrame, roots: DataFrame) -> DataFrame:
         seen = _cut(seen) if depth % ROUNDS == 0 else seen
 
 
+#: Roots whose bits one number holds.
+WORD = 64
+
+
+def root_sets(edges: DataFrame, roots: list[str]) -> DataFrame:
+    """(node, nodes, sets): the roots that reach a node first by a path of so many nodes, as bits in the order given.
+
+    A node has one row for each distance at which roots reach it, whatever their number, so a round sends a row for each
+    edge out of the frontier. Rounds are cut as in distances.
+    """
+    spark, words = edges.sparkSession, [f"b{k}" for k in range(-(-len(roots) // WORD))]
+    steps = edges.select(F.col("parent").alias("node"), F.col("child").alias("next")).distinct()
+    bit = lambda i: (1 << i % WORD) - (1 << WORD if i % WORD == WORD - 1 else 0)  # noqa: E731  as a signed number
+    told = [(r, 1, *[bit(i) if i // WORD == k else 0 for k in range(len(words))]) for i, r in enumerate(roots)]
+    seen = spark.createDataFrame(told, ", ".join(["node string, nodes bigint", *[f"{w} bigint" for w in words]]))
+    seen = _cut(seen.groupBy("node", "nodes").agg(*[F.bit_or(w).alias(w) for w in words]))
+    front, depth = seen, 1
+    while True:
+        depth += 1
+        known = seen.groupBy("node").agg(*[F.bit_or(w).alias(f"_{w}") for w in words])
+        new = front.join(steps, "node").groupBy(F.col("next").alias("node")).agg(*[F.bit_or(w).alias(w) for w in words]).join(known, "node", "left")
+        new = new.select("node", F.lit(depth).cast("long").alias("nodes"), *[F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"_{w}", F.lit(0).cast("long")))).alias(w) for w in words])
+        new = _cut(new.filter(" or ".join(f"{w} != 0" for w in words)))
+        if new.isEmpty():
+            return seen.select("node", "nodes", F.array(*words).alias("sets"))
+        seen, front = seen.unionByName(new), new
+        seen = _cut(seen) if depth % ROUNDS == 0 else seen
+
+
 def distance_vectors(edges: DataFrame, roots: list[str]) -> DataFrame:
     """(category, vector): node counts of the paths from each root, in the order given; unreached ones are far away."""
-    spark = edges.sparkSession
-    found = distances(edges, spark.createDataFrame([(r,) for r in roots], "root string"))
-    by = found.groupBy(F.col("node").alias("category")).agg(F.map_from_entries(F.collect_list(F.struct("root", "nodes"))).alias("m"))
-    return by.select("category", F.array(*[F.coalesce(F.element_at("m", F.lit(r)).cast("double"), F.lit(UNREACHED)) for r in roots]).alias("vector"))
+    if not roots:
+        return edges.select(F.col("parent").alias("category"), F.array().cast("array<double>").alias("vector")).limit(0)
+    found = root_sets(edges, roots).groupBy(F.col("node").alias("category")).agg(F.collect_list(F.struct("nodes", "sets")).alias("at"))
+
+    def nodes(i: Column) -> Column:
+        held = F.filter("at", lambda a: F.call_function("shiftright", F.element_at(a["sets"], (F.floor(i / WORD) + 1).cast("int")), (i % WORD).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+        return F.coalesce(F.get(held, F.lit(0))["nodes"].cast("double"), F.lit(UNREACHED))
+
+    return found.select("category", F.transform(F.sequence(F.lit(0), F.lit(len(roots) - 1)), nodes).alias("vector"))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -94,5 +128,3 @@ def clean_edges(edges: DataFrame, dropped: list[str] | None = None) -> DataFrame
     names = HOUSEKEEPING if dropped is None else dropped
     fine = lambda c: ~F.col(c).isin(*names) & ~F.col(c).contains("_by_country") & ~F.col(c).contains("_by_nationality")
     return edges.filter(fine("parent") & fine("child"))
-
-
