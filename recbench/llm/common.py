@@ -69,10 +69,10 @@ def dropped_after() -> Iterator[None]:
     before, Tables.gathered = Tables.gathered, []
     try:
         yield
-        for made in Tables.gathered:
-            delete(made.spark, made.root)
     finally:
-        Tables.gathered = before
+        made, Tables.gathered = Tables.gathered, before
+        for x in made:
+            delete(x.spark, x.root)
 
 
 def text_of(col: Column) -> Column:

@@ -41,128 +41,6 @@ def _tokens(w: textkernel.Words) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(w.hashes, w.row_offsets[1:], END), w.row_offsets + np.arange(len(w.row_offsets))
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of wanted in sorted keys, -1 where absent."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == wanted, at, -1)
-
-
-class Model:
-    """The tree up to contexts of two words in one process's memory, by the rules of score_texts; for small corpora.
-
-    All tables are sorted by key.
-
-    words: hashes; n: their counts. next1: keys (context word, next word), place by place in words, with p1; keep1:
-    for each word whether it is a state, rest1: the log10 of the weight its distribution leaves to the empty context.
-    next2, p2, keep2, rest2: the same for contexts of two words, which are places in next1.
-    """
-
-    def __init__(self, words: np.ndarray, n: np.ndarray, total: int, distinct: int):
-        self.words, self.n, self.total, self.distinct = words, n, total, distinct
-        self.scale = math.log10(total + distinct + 1)
-        self.log0 = np.log10(n + 1.0) - self.scale
-        self.context = n >= LEAST_CONTEXT
-        self.context &= words != END
-        self.able = n >= LEAST_NEXT
-        none = np.zeros(0, np.int64)
-        self.next1 = self.next2 = none
-        self.n1 = self.n2 = none
-        self.p1 = self.p2 = np.zeros(0)
-        self.keep1, self.rest1 = np.zeros(len(words), bool), np.zeros(len(words))
-        self.keep2, self.rest2 = np.zeros(0, bool), np.zeros(0)
-
-    def places(self, tokens: np.ndarray) -> np.ndarray:
-        return _find(self.words, tokens)
-
-    @staticmethod
-    def _shift(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """x of the token before; -1 at the first token of a text."""
-        out = np.empty_like(x)
-        out[0:1], out[1:] = -1, x[:-1]
-        out[first] = -1
-        return out
-
-    def pairs(self, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Keys of (context word, next word) that may become entries."""
-        at = self.places(tokens)
-        before = self._shift(at, first)
-        ok = np.flatnonzero((at >= 0) & (before >= 0))
-        ok = ok[self.context[before[ok]] & self.able[at[ok]]]
-        return before[ok] << 32 | at[ok]
-
-    def pair_places(self, at: np.ndarray, before: np.ndarray) -> np.ndarray:
-        out = np.full(len(at), -1, np.int64)
-        ok = np.flatnonzero((at >= 0) & (before >= 0))
-        out[ok] = _find(self.next1, before[ok] << 32 | at[ok])
-        return out
-
-    def triples(self, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-        at = self.places(tokens)
-        pair = self.pair_places(at, self._shift(at, first))
-        before = self._shift(pair, first)
-        ok = np.flatnonzero((pair >= 0) & (before >= 0))
-        ok = ok[self.n1[before[ok]] >= LEAST_CONTEXT]
-        return before[ok] << 32 | at[ok]
-
-    def _test(self, keys: np.ndarray, n: np.ndarray, contexts: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(p, keep, rest) of contexts with counts `contexts`; shorter: each entry's probability after the shorter context.
-
-        A context stays if the divergence of its distribution from the shorter context's, times its count, exceeds what
-        its entries cost, half the logarithm of the training tokens each.
-        """
-        place = keys >> 32
-        share = (n - DISCOUNT) / contexts[place]
-        size = len(contexts)
-        rest = 1.0 - np.bincount(place, weights=share, minlength=size)
-        p = share + rest[place] * shorter
-        gain = np.bincount(place, weights=p * np.log(p / shorter), minlength=size)
-        left = rest * np.maximum(1e-12, 1.0 - np.bincount(place, weights=shorter, minlength=size))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            log_rest = np.log(np.maximum(rest, 1e-12))
-        gain = (gain + left * log_rest) * contexts
-        entries = np.bincount(place, minlength=size)
-        keep = (entries > 0) & (gain > 0.5 * math.log(self.total + 1) * entries)
-        return share, keep, np.maximum(rest, 1e-12)
-
-    def set_pairs(self, keys: np.ndarray, n: np.ndarray) -> None:
-        self.next1, self.n1 = keys, n
-        self.p1, self.keep1, self.rest1 = self._test(keys, n, self.n.astype(np.float64), 10 ** self.log0[keys & 0xFFFFFFFF])
-        self.keep2, self.rest2 = np.zeros(len(keys), bool), np.zeros(len(keys))
-
-    def set_triples(self, keys: np.ndarray, n: np.ndarray) -> None:
-        self.next2, self.n2 = keys, n
-        at, last = keys & 0xFFFFFFFF, self.next1[keys >> 32] & 0xFFFFFFFF
-        pair = self.pair_places(at, last)
-        p = self.rest1[last] * 10 ** self.log0[at] + np.where(pair >= 0, self.p1[pair], 0.0)
-        self.p2, self.keep2, self.rest2 = self._test(keys, n, self.n1.astype(np.float64), p)
-        self.keep1[last[self.keep2[keys >> 32]]] = True  # every suffix of a state is a state
-
-    def score(self, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, log10 base, log10 model) of each token; a token without a place lacks its own base log in both."""
-        at = self.places(tokens)
-        known = at >= 0
-        base = np.where(known, self.log0[np.maximum(at, 0)] if len(self.log0) else 0.0, 0.0)
-        if not len(self.next1):
-            return at, base, base
-        before = self._shift(at, first)
-        pair = self.pair_places(at, before)
-        state1 = (before >= 0) & self.keep1[np.maximum(before, 0)]
-        rest = np.where(state1, self.rest1[np.maximum(before, 0)], 1.0)
-        p = np.where(known, 10**base, 0.0)
-        p1 = rest * p + np.where(state1 & (pair >= 0), self.p1[np.maximum(pair, 0)], 0.0)
-        context2 = self._shift(self.pair_places(at, before), first)
-        state2 = (context2 >= 0) & self.keep2[np.maximum(context2, 0)]
-        triple = np.full(len(at), -1, np.int64)
-        ok = np.flatnonzero(state2 & known)
-        triple[ok] = _find(self.next2, context2[ok] << 32 | at[ok])
-        rest2 = np.where(state2, self.rest2[np.maximum(context2, 0)], 1.0)
-        p2 = rest2 * p1 + (np.where(triple >= 0, self.p2[np.maximum(triple, 0)], 0.0) if len(self.p2) else 0.0)
-        return at, base, np.log10(np.where(known, p2, rest * rest2))
-
-
 def _before(x: np.ndarray) -> np.ndarray:
     """x of the token before; what stands there at the first token has no meaning."""
     return np.concatenate((x[:1], x[:-1]))

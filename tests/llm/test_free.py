@@ -153,24 +153,6 @@ def test_lm_scores(spark, documents, tables):
     assert suffix_tree_lm.score_texts(documents.limit(0), tables).count() == 0
 
 
-def test_states_are_distributions():
-    rng = np.random.default_rng(3)
-    tokens = textkernel.mix(rng.integers(0, 12, 40_000).astype(np.uint64))
-    tokens[1::2] = textkernel.mix(tokens[:-1:2] + np.uint64(5))  # every second token follows from the one before
-    first = np.array([0])
-    keys, n = np.unique(tokens, return_counts=True)
-    model = suffix_tree_lm.Model(keys, n, len(tokens), len(keys))
-    for keys_of, put in ((model.pairs, model.set_pairs), (model.triples, model.set_triples)):
-        put(*np.unique(keys_of(tokens, first), return_counts=True))
-    assert model.keep1.any()
-    for a, b in ((3, 8), (0, 7), (20, 21)):
-        context = np.array([tokens[a], tokens[b]])
-        rows = [model.score(np.append(context, k), first)[2][-1] for k in keys]
-        rest = 1.0 / (len(tokens) + len(keys) + 1)  # the base model's share of words never seen
-        unseen = 10 ** model.score(np.append(context, np.uint64(1)), first)[2][-1] * rest
-        assert sum(10**x for x in rows) + unseen == pytest.approx(1.0, abs=1e-6)
-
-
 def brute_components(rows, percent=85):
     sets = []
     for _, t in rows:
