@@ -57,7 +57,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = taken.groupBy("taken_id", "taken_hash").agg(F.sum("times").cast("int").alias("times"), F.count(F.lit(1)).alias("alike"))
     rows = _rows(docs, id=F.col("doc_id"), hash=F.xxhash64(text_of(F.col("text"))))
     rows = rows.join(taken, F.col("id").eqNullSafe(F.col("taken_id")) & (F.col("hash") == F.col("taken_hash")))
-    # Rows alike in id and text share their copies.
+    # Rows alike in id and text share their copies, rounded up, so these may come to a little more than the mix takes.
     nth = F.expr("sequence(1, greatest(1, int(ceil(times / alike))))")
     return rows.withColumn("nth", F.explode(nth)).select("row.*")
 
