@@ -20,9 +20,14 @@ HEAVY = 2048
 
 
 def pairs_by_key(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """left and right joined on k, each pair once; keys with many rows are split, whatever share of all rows they hold."""
+    """left and right joined on k, each pair once; keys with many rows are split, whatever share of all rows they hold.
+
+    The rows of keys are counted as this is called; where no key has many, the join is a plain one.
+    """
     sizes = left.groupBy("k").agg(F.count(F.lit(1)).alias("_n")).unionByName(right.groupBy("k").agg(F.count(F.lit(1)).alias("_n")))
-    heavy = sizes.groupBy("k").agg(F.ceil(F.max("_n") / HEAVY).cast("int").alias("_blocks")).filter("_blocks > 1")
+    heavy = written(sizes.groupBy("k").agg(F.ceil(F.max("_n") / HEAVY).cast("int").alias("_blocks")).filter("_blocks > 1"), "heavy")
+    if heavy.isEmpty():
+        return left.join(right, "k")
 
     def dealt(rows: DataFrame, by: str, own: str, other: str) -> DataFrame:
         blocks = F.coalesce("_blocks", F.lit(1))

@@ -118,8 +118,8 @@ CELLS = "(select count(distinct \"user\") * count(distinct item) from train)"
 
 
 def _checked(predicted, train, test):
-    """One row: number of cells, whether each comes once, whether all lie in the range of ratings, and whether the
-    errors are below those of the mean of all ratings."""
+    """One row: number of cells, whether each comes once, whether all lie in the range of ratings, the rmse on the test
+    rows, and that of the mean of all training ratings (plain)."""
     ends = train.agg(F.min("rating").alias("low"), F.max("rating").alias("high"), F.avg("rating").alias("mean"))
     cells = predicted.crossJoin(F.broadcast(ends)).agg(F.count(F.lit(1)).alias("cells"), F.countDistinct("user", "item").alias("distinct_cells"), F.min((F.col("prediction") >= F.col("low") - 1e-9) & (F.col("prediction") <= F.col("high") + 1e-9)).alias("in_range"))
     plain = metrics.rmse(test, test.select("user", "item").crossJoin(F.broadcast(ends.select(F.col("mean").alias("prediction")))))
@@ -133,6 +133,26 @@ def r1_als_holds(spark, d):
     return _checked(factor.als(train), train, test).select("cells", "distinct_cells", "in_range", (F.col("rmse") < 1e6).alias("finite"))
 
 
+@query("r1_als_planted", "select count(*) > 0 as beats_mean, count(*) > 0 as close from lineitem")
+def r1_als_planted(spark, d):
+    """Of the pairs that customers bought, rated 5 where both keys are even or both odd and 1 elsewhere, ALS finds the rule."""
+    rated = X.ratings(spark, d, *MARKETS).withColumn("rating", F.when((F.col("user") + F.col("item")) % 2 == 0, 5.0).otherwise(1.0))
+    train, test = X.split(rated)
+    found = _checked(factor.als(train, rank=3), train, test)
+    return found.select((F.col("rmse") < F.col("plain") / 2).alias("beats_mean"), (F.col("rmse") < 1).alias("close"))
+
+
+@query("r12_kmeans_tight", "select 10::bigint as clusters, count(*)::bigint as items, true as tighter from part")
+def r12_kmeans_tight(spark, d):
+    """Ten clusters of the items leave less than nine tenths of the squared distances to the centre of all; clusters at random wouldn't."""
+    content = X.genre_content(spark, d)
+    spread = lambda key: F.sum(F.col("ss")).alias(key)
+    rows = content.join(content_based.cluster(content, 10), "item").select("item", "cluster", F.posexplode("vector").alias("at", "x"))
+    within = lambda *keys: rows.groupBy(*keys, "at").agg((F.sum(F.col("x") * F.col("x")) - F.sum("x") * F.sum("x") / F.count(F.lit(1))).alias("ss"))
+    sizes = rows.agg(F.countDistinct("cluster").alias("clusters"), F.countDistinct("item").alias("items"))
+    return sizes.crossJoin(within("cluster").agg(spread("own"))).crossJoin(within().agg(spread("whole"))).select("clusters", "items", (F.col("own") < 0.9 * F.col("whole")).alias("tighter"))
+
+
 @query("r15_random_holds", f"with {X.ratings_sql(*SUPPLIERS)} select {CELLS} as cells, true as in_range, true as mean_near_middle, true as same_again")
 def r15_random_holds(spark, d):
     """Uniform predictions for every cell, the same ones from the same seed."""
