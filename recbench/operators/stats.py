@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import global_rank
+from ..shared import global_rank, written
 from .knn import pairs_by_key
 
 
@@ -58,6 +58,39 @@ def share_above(rows: DataFrame, column: str, least: float) -> DataFrame:
     return rows.agg(F.sum(F.when(F.col(column) > least, 1).otherwise(0)).alias("above"), F.count(F.lit(1)).alias("all"), F.avg((F.col(column) > least).cast("double")).alias("share"))
 
 
+def able_pairs(left: DataFrame, right: DataFrame, of: str, over: str, common: int) -> DataFrame:
+    """(id1, id2) of the values id1 < id2 of `of` that may share `common` keys `over`: all that do, and few others.
+
+    Two values that share so many keys share one besides the common - 1 most frequent keys of either, as all keys stand
+    in one order. So pairs are made of the other, rarer keys only, and the most frequent keys, which make most pairs,
+    make none unless a value has few others.
+    """
+    if common < 1:
+        raise ValueError(f"common must be 1 or more: {common}")
+    a, b = (rows.select(F.col(of).alias("id"), F.col(over).alias("k")).distinct() for rows in (left, right))
+    often = a.unionByName(b).groupBy("k").agg(F.count(F.lit(1)).alias("f"))
+
+    def rarer(rows: DataFrame, name: str) -> DataFrame:
+        most = Window.partitionBy("id").orderBy(F.col("f").desc(), F.col("k").desc())
+        top = rows.join(often, "k").withColumn("rank", F.row_number().over(most)).filter(F.col("rank") <= common - 1).select("id", "k")
+        return rows.join(top, ["id", "k"], "left_anti").select("k", F.col("id").alias(name))
+
+    return pairs_by_key(rarer(a, "id1"), rarer(b, "id2"), "id1", "id2").filter("id1 < id2").select("id1", "id2").distinct()
+
+
+def close_pearson(left: DataFrame, right: DataFrame, of: str, over: str, least: float = 0.5, common: int = 5, places: int = 9) -> DataFrame:
+    """close_pairs of pearson, correlations in so many places, with moments of the pairs alone that may share enough keys.
+
+    The keys of an able pair are found by a join on its first value and one on (second value, key); nothing else is made.
+    Each (value, key) is on one row of a side. Pairs are written as this is called.
+    """
+    able = written(able_pairs(left, right, of, over, common), "able")
+    a = left.select(F.col(of).alias("id1"), F.col(over).alias("k"), F.col("rating").alias("x"))
+    b = right.select(F.col(of).alias("id2"), F.col(over).alias("k"), F.col("rating").alias("y"))
+    found = _correlated(able.join(a, "id1").join(b, ["id2", "k"]))
+    return close_pairs(found.withColumn("corr", F.round("corr", places)), least, common)
+
+
 def pearson(left: DataFrame, right: DataFrame, of: str, over: str) -> DataFrame:
     """(id1, id2, corr, n) of values id1 < id2 of `of` that share keys `over`; correlation 0 where a side is constant.
 
@@ -65,8 +98,13 @@ def pearson(left: DataFrame, right: DataFrame, of: str, over: str) -> DataFrame:
     """
     a = left.select(F.col(over).alias("k"), F.col(of).alias("id1"), F.col("rating").alias("x"))
     b = right.select(F.col(over).alias("k"), F.col(of).alias("id2"), F.col("rating").alias("y"))
+    return _correlated(pairs_by_key(a, b, "id1", "id2").filter("id1 < id2"))
+
+
+def _correlated(shared: DataFrame) -> DataFrame:
+    """(id1, id2, corr, n) of rows (id1, id2, x, y), one for each shared key."""
     x, y = F.col("x"), F.col("y")
-    m = pairs_by_key(a, b, "id1", "id2").filter("id1 < id2").groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"))
+    m = shared.groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"))
     n = F.col("n")
     cov = n * F.col("sxy") - F.col("sx") * F.col("sy")
     var = (n * F.col("sxx") - F.col("sx") * F.col("sx")) * (n * F.col("syy") - F.col("sy") * F.col("sy"))

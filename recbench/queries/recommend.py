@@ -261,6 +261,13 @@ def n3_n4_nearest_neighbours(spark, d):
     return rounded(_neighbours(spark, d), "corr").withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("n3_able_pairs_only", f"with {NEIGHBOURS_SQL} select id1, id2, corr, n from near")
+def n3_able_pairs_only(spark, d):
+    """The pairs that neighbours are taken from, without the moments of pairs that share too few items."""
+    train, test = X.split(X.ratings(spark, d, *MARKETS))
+    return stats.close_pearson(test, train, "user", "item", 0.05, 5)
+
+
 @query(
     "n5_neighbour_prediction",
     f"""with {NEIGHBOURS_SQL},

@@ -144,6 +144,19 @@ def test_sparse_vectors_equal_dense_ones(spark):
     assert content.attribute_vectors(books.limit(0), "id", columns).count() == 0
 
 
+def test_few_pairs_are_made_of_frequent_keys(spark):
+    """All users share three items that make nearly all pairs; no close pair is lost without them."""
+    rng = np.random.default_rng(6)
+    rows = {(u, i) for u in range(120) for i in (0, 1, 2)} | {(u, 10 + (u // 6) * 5 + k) for u in range(120) for k in range(5)} | {(int(u), int(i)) for u, i in zip(rng.integers(0, 120, 200), rng.integers(200, 400, 200), strict=True)} | {(500, 0), (501, 1)}
+    rated = spark.createDataFrame([(u, i, float(1 + (u * i * 7 + u) % 5)) for u, i in rows], "user long, item long, rating double")
+    for common in (1, 4, 5):
+        want = stats.close_pairs(stats.pearson(rated, rated, "user", "item").withColumn("corr", F.round("corr", 9)), 0.1, common)
+        got = stats.close_pearson(rated, rated, "user", "item", 0.1, common)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 20
+    whole = stats.pearson(rated, rated, "user", "item").count()
+    assert whole > 7000 and stats.able_pairs(rated, rated, "user", "item", 5).count() < whole / 10
+
+
 def test_quartile_is_that_of_all_values(spark):
     rows = spark.createDataFrame([(float(x),) for x in (5, 1, 9, 9, 2, 7)] + [(None,)], "v double")
     for share in (0.0, 0.25, 0.6, 0.75, 1.0):
