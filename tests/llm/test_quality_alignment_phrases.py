@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 
 from recbench.llm import alignment, phrases, quality, queries
-from tests.oracle import compare
+from oracle import compare
 
 DATA = "/root/testdata/sf0.001"
 CLASH = "1 as row, 2 as a, 3 as b, 'x' as label, 4 as h, 5 as n, 6 as part"
