@@ -50,6 +50,13 @@ def _pair_keys(keys: np.ndarray, on: np.ndarray) -> np.ndarray:
     return np.where(on, textkernel.combine([np.concatenate([keys[:1], keys[:-1]]), keys]), np.uint64(0))
 
 
+def _ahead(x: np.ndarray, by: int) -> np.ndarray:
+    """What stands so many places on in x, 0 beyond its end."""
+    out = np.zeros_like(x)
+    out[: max(0, len(x) - by)] = x[by:]
+    return out
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (size, key, n): occurrences of words (size 1) and pairs (size 2), and of all words of a language (size 0)."""
     held: dict[int, list[np.ndarray]] = {1: [], 2: []}
@@ -108,11 +115,11 @@ def _tries(sent):
             for w, keys, on in _words(batch.column(0), batch.column(1)):
                 on[on] = sent.value.may_have(_pair_keys(keys, on)[on])
                 # How many words go on from each: on[i] says that i goes on from i - 1.
-                follow = [np.concatenate([on[i:], np.zeros(i, bool)]) for i in range(1, DEPTH)]
+                follow = [_ahead(on, i) for i in range(1, DEPTH)]
                 columns, more = [keys], np.ones(len(keys), bool)
                 for i, f in enumerate(follow, 1):
                     more = more & f
-                    columns.append(np.where(more, np.concatenate([keys[i:], np.zeros(i, np.uint64)]), np.uint64(0)))
+                    columns.append(np.where(more, _ahead(keys, i), np.uint64(0)))
                 begin = follow[0]
                 held.append([x[begin] for x in columns])
                 size += DEPTH * int(begin.sum())
