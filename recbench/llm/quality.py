@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, tables: Tables, sample: int = SAMPLE
 
     Of each class the `sample` rows with the smallest hash of their id are taken, so that the fit is bounded however
     many labels there are; those of a fold of one in FOLDS (crc32 of the id as text) don't train, but calibrate:
-    a logistic curve from margins to the share of good rows (Platt). Where the fold lacks a class, margins stand as they are.
+    a logistic curve from margins to the share of good rows (Platt). Of rows that share an id one text trains, the least. Where the fold lacks a class, margins stand as they are.
     """
     told = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), (F.col(label_col) > 0).cast("double").alias("label")).distinct()
     chosen = None
@@ -201,7 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, tables: Tables, sample: int = SAMPLE
         some = told.filter(F.col("label") == label).orderBy(F.xxhash64("_id"), "_id").limit(sample)
         chosen = some if chosen is None else chosen.unionByName(some)
     texts = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("text")).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("label", "text", held_out(F.col("_id"), FOLDS).alias("held"))
+    rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id", "label").agg(F.min("text").alias("text"))
+    rows = rows.select("label", "text", held_out(F.col("_id"), FOLDS).alias("held"))
     rows = tables.write(rows.repartition(PARTS), "labelled")
     schema = StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())])
     train = tables.write(rows.filter("not held").select("label", "text").mapInArrow(released(_features), schema), "features")
