@@ -497,8 +497,9 @@ def geo_divisions(spark, d):
 @query(
     "geo_many_polygons",
     """with plots as (select p_partkey, (p_partkey * 7 % 600)::double as x, (p_partkey * 11 % 400)::double as y, (p_size * (1 + p_partkey % 3 * 4))::double as w, (1 + p_size % 7)::double as h from part),
-    places as (select s_suppkey, (s_suppkey * 13 % 620 + 0.5)::double as lon, (s_suppkey * 17 % 410 + 0.5)::double as lat from supplier)
-    select s_suppkey, min(p_partkey) as division from places left join plots on lon >= x and lon < x + w and lat >= y and lat < y + h and (lon - x) * h + (lat - y) * w < w * h group by 1""",
+    places as (select s_suppkey, (s_suppkey * 13 % 620 + 0.5)::double as lon, (s_suppkey * 17 % 410 + 0.5)::double as lat from supplier),
+    found as (select s_suppkey, min(p_partkey) as division from places join plots on lon >= x and lon < x + w and lat >= y and lat < y + h and (lon - x) * h + (lat - y) * w < w * h group by 1)
+    select s_suppkey, division from places left join found using (s_suppkey)""",
 )
 def geo_many_polygons(spark, d):
     """A triangle for each part, of many sizes; the first that each supplier's place lies in."""
