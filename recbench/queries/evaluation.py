@@ -297,17 +297,26 @@ def results(spark, d):
     )
 
 
+def _half_up(x: str, places: int) -> str:
+    """A double as a decimal number of twelve places, rounded halves up, as the query rounds; a product of doubles leaves halves to chance."""
+    return f"round(({x})::decimal(38, 12), {places})::double"
+
+
+LIKERT_RESULTS = RESULTS_SQL.replace("round(abs(c_acctbal) / 1000, 3)", _half_up("abs(c_acctbal) / 1000", 3)).replace("round(abs(c_acctbal) / 1500, 3)", _half_up("abs(c_acctbal) / 1500", 3))
+
+
 @query(
     "z9_likert",
-    f"""with {RESULTS_SQL},
+    f"""with {LIKERT_RESULTS},
 ends as (
     select *, min(rmse) filter (rmse <> 0) over g as rl, max(rmse) filter (rmse <> 0) over g as rh, min(mae) filter (rmse <> 0) over g as ml, max(mae) filter (rmse <> 0) over g as mh
     from results window g as (partition by dataset, user_vector))
-select dataset, user_vector, rmse, mae, round(case when rmse = 0 or rl = rh then 3 else (rh - rmse) * (4 / (rh - rl)) + 1 end, 6) as rmse_adj,
-       round(case when rmse = 0 or ml = mh then 3 else (mh - mae) * (4 / (mh - ml)) + 1 end, 6) as mae_adj from ends""",
+select dataset, user_vector, rmse, mae, {_half_up('case when rmse = 0 or rl = rh then 3 else (rh - rmse) * (4 / (rh - rl)) + 1 end', 6)} as rmse_adj,
+       {_half_up('case when rmse = 0 or ml = mh then 3 else (mh - mae) * (4 / (mh - ml)) + 1 end', 6)} as mae_adj from ends""",
 )
 def z9_likert(spark, d):
-    return rounded(experiment.likert(results(spark, d)).select("dataset", "user_vector", "rmse", "mae", "rmse_adj", "mae_adj"), "rmse_adj", "mae_adj")
+    out = experiment.likert(results(spark, d)).select("dataset", "user_vector", "rmse", "mae", "rmse_adj", "mae_adj")
+    return rounded(rounded(out, "rmse_adj", "mae_adj", places=12), "rmse_adj", "mae_adj")  # twelve places first, so that halves don't hang on the last bit
 
 
 @query("v1_select_run", f"""with {RESULTS_SQL} select dataset, alg_type, rmse, mae from results where "N" = 10 and "CF_CB" = 'CB' and dataset like '%NATION_1%' and user_vector = 'BUILDING'""")
