@@ -2,7 +2,7 @@
 
 import pytest
 
-from recbench.operators import bayes, knn
+from recbench.operators import bayes, factor, knn
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +38,8 @@ def test_rounded_order_and_exact_prediction(train):
     first = knn.item_item(train, n=3, exact=True).collect()
     cells = {(r["user"], r["item"]): r["prediction"] for r in knn.item_item(train).collect()}
     assert all(abs(cells[r["user"], r["item"]] - r["exact"]) < 1e-12 and round(r["exact"], 9) == pytest.approx(r["prediction"], abs=1e-12) for r in first)
+
+
+def test_factors_meet_in_blocks(train):
+    assert "Exchange hash" not in plan(factor.als(train))
+    assert factor.als(train).count() == train.select("user").distinct().count() * train.select("item").distinct().count()
