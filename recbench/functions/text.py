@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_PUNCTUATION_SET = r"[!-/:-@\[-`{-~]"
 
 
 def title_and_year(title: Column) -> tuple[Column, Column]:
@@ -100,7 +99,7 @@ def wiki_words(text: Column) -> Column:
 
 def stripped_words(text: Column) -> Column:
     """Lower-case words without punctuation at their ends."""
-    return F.transform(F.split(text, r"\s+"), lambda w: F.regexp_replace(F.lower(w), f"^{_PUNCTUATION_SET}+|{_PUNCTUATION_SET}+$", ""))
+    return F.transform(F.split(text, r"\s+"), lambda w: F.btrim(F.lower(w), F.lit(PUNCTUATION)))
 
 
 def code_tokens(line: Column) -> Column:
