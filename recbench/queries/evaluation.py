@@ -8,6 +8,7 @@ from .. import fixtures as X
 from ..operators import metrics as M
 from ..operators import stats
 from ..plans import experiment, explore
+from ..shared import written
 from . import query
 from .recommend import MARKETS, rounded
 
@@ -29,8 +30,8 @@ def parts(spark, d):
 
 
 def cut(spark, d):
-    train, test, predicted = parts(spark, d)
-    return train, test, M.top_n(predicted, N)
+    train, test = X.split(written(X.ratings(spark, d, *MARKETS), "ratings"))
+    return train, test, X.mean_predictions(train, N)
 
 
 @query("m1_rmse", f"with {BASE} select round(sqrt(avg((prediction - rating) ** 2)), 6) as rmse from predicted join test using (\"user\", item)")
@@ -221,7 +222,7 @@ select round((select sqrt(avg((prediction - rating) ** 2)) from cut join test us
 
 @query("m18_suite", SUITE_SQL)
 def m18_suite(spark, d):
-    train, test, predicted = parts(spark, d)
+    train, test, predicted = cut(spark, d)
     return rounded(M.suite(train, test, predicted, X.genre_content(spark, d), N), *KEYS)
 
 
