@@ -32,10 +32,14 @@ def _lines(rows: DataFrame, line: Column, encoding: str | None = None) -> str:
     return path
 
 
+#: XML elements of a file.
+ELEMENTS = 1 << 14
+
+
 def _dump(rows: DataFrame, element: Column, root: str) -> str:
-    """A few files of XML elements in a root element each."""
-    path = scratch(rows.sparkSession, "files")
-    parts = rows.select(element.alias("x")).groupBy(F.pmod(F.xxhash64("x"), F.lit(4)).alias("part")).agg(F.array_join(F.collect_list("x"), "\n").alias("all"))
+    """Files of about ELEMENTS XML elements, four at least, in a root element each."""
+    path, n = scratch(rows.sparkSession, "files"), max(4, -(-rows.count() // ELEMENTS))
+    parts = rows.select(element.alias("x")).groupBy(F.pmod(F.xxhash64("x"), F.lit(n)).alias("part")).agg(F.array_join(F.collect_list("x"), "\n").alias("all"))
     parts.select("part", F.concat(F.lit(f"<{root}>\n"), "all", F.lit(f"\n</{root}>")).alias("value")).write.partitionBy("part").text(path)
     return path
 
