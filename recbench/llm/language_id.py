@@ -27,6 +27,10 @@ SMALL = 1e-60
 #: Base of the hashes of pieces, which are short strings of code points; its powers and those of its inverse.
 _BASE = 0x9E3779B97F4A7C15
 
+#: Pieces are found by so many first bits of their hashes.
+BITS = 18
+_SHIFT = np.uint64(64 - BITS)
+
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))]) for base in (_BASE, pow(_BASE, -1, 1 << 64)))
@@ -85,8 +89,14 @@ class Marginal:
         self.longest = max(map(len, pieces))
         keys = np.array([self._key(p) for p in pieces], dtype=np.uint64)
         order = np.argsort(keys)
-        self.keys, self.p = keys[order], probabilities[order]
-        self.languages = probabilities.shape[1]
+        self.p, self.languages = probabilities[order], probabilities.shape[1]
+        self.index(keys[order])
+
+    def index(self, keys: np.ndarray) -> None:
+        """Rising keys by their first BITS bits, by which they stand together; one more, a 0, follows the last."""
+        self.held = np.bincount((keys >> _SHIFT).astype(np.intp), minlength=1 << BITS).astype(np.int32)
+        self.ends = np.cumsum(self.held).astype(np.int32)
+        self.starts, self.ended = self.ends - self.held, np.append(keys, np.uint64(0))
 
     @classmethod
     def _prefixes(cls, codes: np.ndarray) -> np.ndarray:
@@ -102,9 +112,16 @@ class Marginal:
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Places of pieces by their hash, -1 if there is none."""
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == keys, at, -1)
+        bucket = (keys >> _SHIFT).astype(np.intp)
+        at = self.starts[bucket]
+        out = np.where(self.ended[at] == keys, at, np.int32(-1))
+        left = np.flatnonzero((out < 0) & (self.held[bucket] > 1))
+        while len(left):
+            at[left] += 1
+            same = self.ended[at[left]] == keys[left]
+            out[left[same]] = at[left[same]]
+            left = left[~same & (at[left] + 1 < self.ends[bucket[left]])]
+        return out
 
     @staticmethod
     def _rescale(window: list[np.ndarray], scale: np.ndarray) -> None:
