@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +15,7 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from ..functions.scalars import number, truth
 from ..functions.text import ascii_only, genre_flags, mail_address, strip_html, title_and_year
-from ..shared import global_rank
+from ..shared import global_rank, written
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str | None = None, sample: float | None = None, seed: int = 41) -> DataFrame:
@@ -63,8 +67,8 @@ def joke_table(spark: SparkSession, path: str) -> DataFrame:
 def jokes(spark: SparkSession, path: str) -> DataFrame:
     """(joke_id, joke_text): blocks between blank lines; the first line is the id and a colon, the rest is HTML."""
     lines = numbered_lines(spark, path).withColumn("value", F.replace("value", F.lit("\r"), F.lit("")))
-    rows = _blocks(lines, F.col("value").rlike(r"^\s*$")).groupBy("path", "block").agg(F.array_sort(F.collect_list(F.struct("part", "number", "value"))).alias("lines"))
-    rows = rows.withColumn("block", F.trim(F.array_join("lines.value", "\n"), F.lit(" \n\t"))).filter(F.col("block").rlike(r"^\d+:"))
+    rows = _gathered(lines, F.col("value").rlike(r"^\s*$"), False)
+    rows = rows.withColumn("block", F.trim(F.array_join("lines", "\n"), F.lit(" \n\t"))).filter(F.col("block").rlike(r"^\d+:"))
     text = F.regexp_replace("block", r"^\d+:\s*", "")
     return rows.select(F.regexp_extract("block", r"^(\d+):", 1).cast("int").alias("joke_id"), F.btrim(F.regexp_replace(strip_html(text), r"\s+", " ")).alias("joke_text"))
 
@@ -203,6 +207,66 @@ def _blocks(lines: DataFrame, starts: F.Column) -> DataFrame:
     return marked.withColumn("block", F.sum("_start").over(_upto())).join(sums, ["path", "part"]).withColumn("block", F.col("block") + F.col("_before")).drop("_start", "_before")
 
 
+#: What tasks have of a block: its first line's place, its lines, and whether the block begins and ends there for certain.
+PIECES = "path string, part long, number long, lines array<string>, begun boolean, ended boolean"
+
+
+def _pieces(last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of PIECES from lines (path, part, number, value, marked); see _gathered."""
+
+    def rows(place: pa.RecordBatch, offsets: np.ndarray, values: pa.Array, begun: np.ndarray, ended: np.ndarray) -> pa.RecordBatch:
+        lines = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+        return pa.RecordBatch.from_arrays([*place.select(["path", "part", "number"]).columns, lines, pa.array(begun), pa.array(ended)], ["path", "part", "number", "lines", "begun", "ended"])
+
+    def open_piece(held: list[pa.RecordBatch], begun: bool, ended: bool) -> pa.RecordBatch:
+        values = pa.concat_arrays([x.column("value") for x in held])
+        return rows(held[0].slice(0, 1), np.array([0, len(values)]), values, np.array([begun]), np.array([ended]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, begun, before = [], False, (None, None, None, False)  # the piece that goes on, and the last line's place and mark
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            path = batch.column("path")
+            part, number, marked = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "number", "marked"))
+            torn = np.empty(len(part), bool)  # the line before isn't the task's line before
+            torn[0] = before[:3] != (path[0].as_py(), part[0], number[0] - 1)
+            torn[1:] = (number[1:] != number[:-1] + 1) | (part[1:] != part[:-1]) | pc.not_equal(path[1:], path[:-1]).to_numpy(zero_copy_only=False)
+            behind = np.concatenate([[before[3]], marked[:-1]])
+            begins, ends = (behind & ~torn, behind) if last else (marked, ~torn)  # of a piece at a line, and of the piece before it
+            cuts = np.flatnonzero(torn | begins)
+            if not len(cuts):
+                held.append(batch)
+            else:
+                if cuts[0]:
+                    held.append(batch.slice(0, cuts[0]))
+                if held:
+                    yield open_piece(held, begun, ends[cuts[0]])
+                if len(cuts) > 1:
+                    yield rows(batch.take(pa.array(cuts[:-1])), cuts, batch.column("value"), begins[cuts[:-1]], ends[cuts[1:]])
+                held, begun = [batch.slice(cuts[-1])], begins[cuts[-1]]
+            before = path[-1].as_py(), part[-1], number[-1], marked[-1]
+        if held:
+            yield open_piece(held, begun, last and before[3])
+
+    return run
+
+
+def _gathered(lines: DataFrame, marked: F.Column, last: bool) -> DataFrame:
+    """(path, lines) of each block of a file's lines, in order; a marked line is the last of its block, or else the first.
+
+    Tasks put blocks together from lines that follow one another in them, and write them as this is called. Only pieces of
+    blocks that may go on elsewhere are shuffled, as a task's first and last ones, not the lines.
+    """
+    rows = _in_parts(lines).select("path", F.col("part").cast("long").alias("part"), F.col("number").cast("long").alias("number"), "value", F.coalesce(marked, F.lit(False)).alias("marked"))
+    pieces, whole = written(rows.mapInArrow(_pieces(last), PIECES), "pieces"), F.col("begun") & F.col("ended")
+    torn = _blocks(pieces.filter(~whole), F.col("ended" if last else "begun"))
+    if last:
+        torn = torn.withColumn("block", F.col("block") - F.col("ended").cast("long"))
+    torn = torn.groupBy("path", "block").agg(F.array_sort(F.collect_list(F.struct("part", "number", "lines"))).alias("x"))
+    return pieces.filter(whole).select("path", "lines").unionByName(torn.select("path", F.flatten("x.lines").alias("lines")))
+
+
 def _last(lines: DataFrame, value: F.Column, name: str) -> DataFrame:
     """lines with the last value in their file, up to each, that isn't null; handed on as in _blocks."""
     marked = _in_parts(lines).withColumn(name, value)
@@ -228,12 +292,12 @@ def git_blame(lines: DataFrame) -> DataFrame:
     A block ends with the line's text behind a tab; its first line is the commit and line numbers, the others are
     pairs of name and value.
     """
-    text = F.col("value").startswith("\t")
-    rows = _blocks(lines, text).withColumn("block", F.col("block") - text.cast("long")).filter("value != ''")
-    key = F.when(text, F.lit("line")).otherwise(F.substring_index("value", " ", 1))
-    value = F.when(text, F.expr("substring(value, 2)")).otherwise(F.regexp_replace("value", r"^\S+ ?", ""))
-    first = F.min_by("value", F.struct("part", "number")).alias("first")
-    blocks = rows.groupBy("path", "block").agg(first, F.map_from_entries(F.collect_list(F.struct(key.alias("k"), value.alias("v")))).alias("m")).filter(F.map_contains_key("m", "line") & ~F.col("first").startswith("\t"))
+    text = lambda x: x.startswith("\t")
+    rows = _gathered(lines, text(F.col("value")), True).select("path", F.filter("lines", lambda x: x != "").alias("lines"))
+    rows = rows.filter(text(F.get("lines", F.size("lines") - 1)) & ~text(F.get("lines", F.lit(0))))
+    key = lambda x: F.when(text(x), F.lit("line")).otherwise(F.substring_index(x, " ", 1))
+    value = lambda x: F.when(text(x), F.substring(x, 2, F.length(x))).otherwise(F.regexp_replace(x, r"^\S+ ?", ""))
+    blocks = rows.select("path", F.get("lines", F.lit(0)).alias("first"), F.map_from_entries(F.transform("lines", lambda x: F.struct(key(x).alias("k"), value(x).alias("v")))).alias("m"))
     m = lambda k: F.element_at("m", F.lit(k))
     head = F.split("first", " ")
     return blocks.select(
